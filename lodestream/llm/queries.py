@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, exact
+from lodestream.llm import bpe, exact, minhash, mixing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,56 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.ordered(mixing.plan(_documents(spark, sf_dir)))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_position")
+
+
+def _op7_sql(weights: tuple[float, ...] = (5, 2, 1)) -> str:
+    """The schedules' ends enter as constants; a two-point schedule with integral 1 inverts in closed form."""
+    ends = " ".join(f"WHEN {k} THEN {{'a': {a[1]!r}::DOUBLE, 'd': {b[1] - a[1]!r}::DOUBLE}}" for k, (a, b) in enumerate(mixing.ramp(weights)))
+    weight = " ".join(f"WHEN {k} THEN {float(w)}::DOUBLE" for k, w in enumerate(weights))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS o
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} AS slot FROM d GROUP BY source
+), c AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, CASE slot {weight} END AS weight FROM s
+), r AS (
+  SELECT *, row_number() OVER w AS k, sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+    1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over
+  FROM c WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)
+), f AS (
+  SELECT min(k) AS k FROM r WHERE left_over / rest * weight <= cap
+), t AS (
+  SELECT r.source, source_size, slot,
+    CASE WHEN (SELECT k FROM f) IS NULL OR r.k < (SELECT k FROM f) THEN cap
+         ELSE (SELECT left_over / rest FROM r x WHERE x.k = (SELECT k FROM f)) * weight END AS target
+  FROM r
+), p AS (
+  SELECT doc_id, size, source_size, target, slot, round(target)::BIGINT AS goal,
+    (sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS b
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), g AS (
+  SELECT *, greatest(0, least(size, goal - b)) AS g0, greatest(0, least(size, goal - source_size - b)) AS g1,
+    greatest(0, least(size, goal - 2 * source_size - b)) AS g2, CASE slot {ends} END AS e
+  FROM p
+), h AS (
+  SELECT *, CASE WHEN g0 > 0 THEN (b + g0 / 2.0::DOUBLE) / target END AS at0 FROM g
+)
+SELECT doc_id, size, source_size, target, g0 + g1 + g2 AS taken,
+  CASE WHEN at0 IS NOT NULL THEN least(2 * at0 / (e.a + sqrt(greatest(e.a * e.a + 2 * e.d * at0, 0))), 1.0::DOUBLE) END AS first_position
+FROM h
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact.resolve_duplicates(_documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -40,9 +90,11 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
+        "op2_minhash": op2_minhash,
+        "op7_mixing": op7_mixing,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op7_mixing": _op7_sql(), "op9_exact_dedup": OP9_SQL}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def put_bytes(spark: SparkSession, name: str, data: bytes) -> str:
+    """A file in the shared folder; its path is returned."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data))
+    out.close()
+    return path.toString()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever the driver found it. Once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestream_shipped", False):
+        return
+    top, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    context.addPyFile(put_bytes(spark, f"{top.name}-{uuid.uuid4().hex}.zip", packed.getvalue()))
+    context._lodestream_shipped = True
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
