@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.lexicon import Lexicon, compile_lexicon
-from lodestream.session import shared_dir
+from lodestream.session import put_bytes, written
 
 #: The split pattern of byte-level pre-tokenizers of this family (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -227,19 +227,30 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, most: int, text_col: str = "text") -> list[str]:
+    """The words of the highest count classes that hold at most `most` words together.
+
+    Classes are sixteenths of a doubling, so that the driver gets a histogram of bounded length and then at most
+    `most` words, whatever the number of tasks.
+    """
+    classed = word_counts(docs, text_col).where("n > 1").withColumn("class", F.floor(F.log2("n") * 16).cast("int"))
+    classed = written(classed.select("word", "class"), "words")
+    cut, room = None, most
+    for c, k in sorted(classed.groupBy("class").count().collect(), reverse=True):
+        if k > room:
+            break
+        cut, room = c, room - k
+    return [] if cut is None else [r.word for r in classed.where(F.col("class") >= cut).select("word").collect()]
+
+
 def ship_lexicon(spark: SparkSession, docs: DataFrame, bpe: ByteBpe, lexicon_words: int = 65_536, text_col: str = "text") -> str:
-    """Compile the most frequent words (ties by word) and hand the file to the executors; its name there is returned."""
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").toPandas()["word"]
+    """Compile the most frequent words and hand the file to the executors; its name there is returned."""
+    top = frequent_words(docs, lexicon_words, text_col)
     bpe = bpe.open()
     words = sorted({w.encode() for w in top if len(w) <= 128})
     data = compile_lexicon([(w, bpe.merge(w)) for w in words])
     name = f"lexicon-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
-    out.write(bytearray(data))
-    out.close()
-    spark.sparkContext.addFile(where.toString())
+    spark.sparkContext.addFile(put_bytes(spark, name, data))
     return name
 
 
