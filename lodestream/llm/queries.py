@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, exact, minhash, mixing
+from lodestream.llm import bpe, exact, minhash, mixing, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,30 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), p AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w
+), m AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(ws[i:i + 12], ' ')) AS f FROM p
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM m WHERE f < doc_id
+), g AS (
+  SELECT doc_id, list(k) AS ks FROM c GROUP BY doc_id
+), r AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ks), 0) AS n_removed,
+    CASE WHEN ks IS NULL THEN ws ELSE list_select(ws, list_sort(list_filter(range(1, len(ws) + 1), lambda x: NOT list_contains(ks, x)))) END AS kept
+  FROM w LEFT JOIN g USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM r
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.ordered(mixing.plan(_documents(spark, sf_dir)))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_position")
@@ -91,10 +115,11 @@ def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
         "op2_minhash": op2_minhash,
+        "op3_substring": op3_substring,
         "op7_mixing": op7_mixing,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _op7_sql(), "op9_exact_dedup": OP9_SQL}
+    return {"op3_substring": OP3_SQL, "op7_mixing": _op7_sql(), "op9_exact_dedup": OP9_SQL}
