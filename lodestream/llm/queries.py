@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, exact, minhash, mixing, substring
+from lodestream.llm import bpe, exact, langid, minhash, mixing, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,14 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sh
 """
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    identifier = langid.fit(langid.training_rows(docs))
+    held_out = F.coalesce(~langid.learned_from("doc_id"), F.lit(False))
+    out = langid.identify(docs, identifier).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.ordered(mixing.plan(_documents(spark, sf_dir)))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_position")
@@ -116,6 +124,7 @@ def queries() -> dict:
         "op1_bpe": op1_bpe,
         "op2_minhash": op2_minhash,
         "op3_substring": op3_substring,
+        "op4_language": op4_language,
         "op7_mixing": op7_mixing,
         "op9_exact_dedup": op9_exact_dedup,
     }
