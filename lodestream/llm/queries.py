@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, exact, langid, minhash, mixing, substring
+from lodestream.llm import bpe, exact, fingerprint, langid, minhash, mixing, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.ordered(mixing.plan(_documents(spark, sf_dir)))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_position")
@@ -125,6 +129,7 @@ def queries() -> dict:
         "op2_minhash": op2_minhash,
         "op3_substring": op3_substring,
         "op4_language": op4_language,
+        "op5_fingerprints": op5_fingerprints,
         "op7_mixing": op7_mixing,
         "op9_exact_dedup": op9_exact_dedup,
     }
