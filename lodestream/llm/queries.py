@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, exact, fingerprint, langid, minhash, mixing, substring
+from lodestream.llm import bpe, exact, fingerprint, langid, minhash, mixing, substring, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,24 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.read_archives(warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+), r AS (
+  SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first AS again FROM f
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to FROM r
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.ordered(mixing.plan(_documents(spark, sf_dir)))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_position")
@@ -130,10 +148,11 @@ def queries() -> dict:
         "op3_substring": op3_substring,
         "op4_language": op4_language,
         "op5_fingerprints": op5_fingerprints,
+        "op6_warc": op6_warc,
         "op7_mixing": op7_mixing,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": OP3_SQL, "op7_mixing": _op7_sql(), "op9_exact_dedup": OP9_SQL}
+    return {"op3_substring": OP3_SQL, "op6_warc": OP6_SQL, "op7_mixing": _op7_sql(), "op9_exact_dedup": OP9_SQL}
