@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, exact, fingerprint, langid, minhash, mixing, substring, warc
+from lodestream.llm import bpe, exact, fingerprint, langid, minhash, mixing, pii, substring, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +123,10 @@ FROM h
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact.resolve_duplicates(_documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -150,6 +154,7 @@ def queries() -> dict:
         "op5_fingerprints": op5_fingerprints,
         "op6_warc": op6_warc,
         "op7_mixing": op7_mixing,
+        "op8_pii": op8_pii,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
