@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, exact, fingerprint, langid, minhash, mixing, pii, substring, warc
+from lodestream.llm import bpe, exact, fingerprint, langid, minhash, mixing, pii, quality, substring, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +145,11 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.sampled(_documents(spark, sf_dir), labels).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -156,6 +161,7 @@ def queries() -> dict:
         "op7_mixing": op7_mixing,
         "op8_pii": op8_pii,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_quality": op10_quality,
     }
 
 
