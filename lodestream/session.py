@@ -60,6 +60,13 @@ def ship_package(spark: SparkSession) -> None:
     context._lodestream_shipped = True
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most this many rows in an Arrow batch of this session: rows here are whole texts, some of them very long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
