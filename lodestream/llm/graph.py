@@ -33,6 +33,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         mark = signature
         both = now.union(now.select("v", "u"))
-        large = _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         small = _with_least(large)
         now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -6,9 +6,13 @@
   that half the evaluations of plain MinHash are needed; both agree between two sets with the sets' similarity.
 * Documents with equal sets are one node from then on. Nodes that agree on a whole band share a bucket.
 * Candidates are confirmed on full sets. First every node is held against one hub, the least node it shares a bucket
-  with; then nodes whose buckets still hold several components against a node of another component; last, what
-  remains between components of a bucket is held against each other in full. Pairs within a component are never
-  made, so a large group of copies costs one pair a document, and no candidate link is lost.
+  with, and components are formed. Pairs within a component are never made, so a large group of copies costs one pair
+  a document.
+* Buckets that still hold several components are open. For each node in one, its shingles that any other open node
+  has are counted; no intersection is larger than that count, which rules out heavily edited copies at once. What is
+  left is held against a second hub, one that has few shingles of its own. The intersections with it bound those
+  between any two nodes of the bucket; only pairs between components that pass this bound are confirmed. No candidate
+  link is lost.
 
 With 32 bands of 4 rows a pair at similarity 0.75 is missed with a probability of 5e-6.
 
@@ -22,21 +26,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.llm.graph import components
-from lodestream.session import written
+from lodestream.session import small_batches, written
 
 #: Members of a hub that one task confirms.
 SALT_ROWS = 1000
 #: Words whose hashes a worker remembers at most.
-MEMO = 600_000
+MEMO = 200_000
 #: Bytes of a shingle hash that are kept for confirmation.
 KEPT = 5
 
@@ -137,8 +141,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (hub, node) whose full sets have 100 * intersection >= percent * union, as a, b.
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """hub, node, both (the intersection of their full sets), linked (100 * intersection >= percent * union).
 
     A hub's set goes to as many tasks as its members need; each task streams its members past it, holding one hub.
     """
@@ -152,31 +156,89 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, against = None, []
         for batch in batches:
-            a, b = [], []
+            out = []
             for h, node, salt, role, packed in zip(*(batch.column(c).to_pylist() for c in ("hub", "node", "salt", "role", "set"))):
                 s = _unpacked(packed)
                 if role == 0:
                     against = [*against, s] if hub == (h, salt) else [s]
                     hub = (h, salt)
                     continue
-                for x in against:
-                    both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, s), len(x) - 1)] == s))
-                    if 100 * both >= percent * (len(x) + len(s) - both):
-                        a.append(h)
-                        b.append(node)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                both = [int(np.count_nonzero(x[np.minimum(np.searchsorted(x, s), len(x) - 1)] == s)) for x in against]
+                out.append((h, node, max(both), any(100 * k >= percent * (len(x) + len(s) - k) for k, x in zip(both, against))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["hub", "node", "both", "linked"])
 
-    return rows.select("hub", "node", "salt", "role", "set").mapInArrow(run, "a long, b long")
+    return rows.select("hub", "node", "salt", "role", "set").mapInArrow(run, "hub long, node long, both long, linked boolean")
 
 
-def _could_link(n: str, m: str, percent: int):
-    """Whether sets of these sizes can be so similar at all."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def shared_counts(sets: DataFrame, ranges: int) -> DataFrame:
+    """node, shared: how many shingles of each set another node's set has too, of rows (node, set).
+
+    A task settles chunks of its nodes: shingles that several nodes of the chunk have are counted there, and one entry
+    without a node speaks for them elsewhere. The entries go packed to the owners of hash ranges, which count the rest.
+    """
+
+    def settle(names: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        name, node = np.concatenate(names), np.concatenate(nodes)
+        order = np.argsort(name, kind="stable")
+        name, node = name[order], node[order]
+        starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        several = np.diff(np.append(starts, len(name))) > 1
+        told, k = np.unique(node[np.repeat(several, np.diff(np.append(starts, len(name))))], return_counts=True)
+        rows = [(int(i) % ranges, None, x.tobytes()) for i, x in enumerate(np.stack([told, k], 1).astype("<i8"))]
+        name, node = name[starts], np.where(several, -1, node[starts])
+        cuts = np.searchsorted(name, np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 40) // ranges))
+        rows += [(i, n.tobytes(), d.astype("<i8").tobytes()) for i, (n, d) in enumerate(zip(np.split(name, cuts), np.split(node, cuts))) if len(n)]
+        for at in range(0, len(rows), 2000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2000]), (pa.int32(), pa.binary(), pa.binary()))], names=["range", "names", "nodes"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, nodes, held = [], [], 0
+        for batch in batches:
+            for node, packed in zip(batch.column("node").to_pylist(), batch.column("set")):
+                names.append(_unpacked(packed.as_py()))
+                nodes.append(np.full(len(names[-1]), node, np.int64))
+                held += len(names[-1])
+                if held >= 1_000_000:
+                    yield from settle(names, nodes)
+                    names, nodes, held = [], [], 0
+        if held:
+            yield from settle(names, nodes)
+
+    def own(table: pa.Table) -> pa.Table:
+        told, names, nodes = [np.zeros((0, 2), np.int64)], [], []
+        for n, d in zip(table.column("names").to_pylist(), table.column("nodes").to_pylist()):
+            if n is None:
+                told.append(np.frombuffer(d, "<i8").reshape(1, 2))
+            else:
+                names.append(np.frombuffer(n, "<u8"))
+                nodes.append(np.frombuffer(d, "<i8"))
+        if names:
+            name, node = np.concatenate(names), np.concatenate(nodes)
+            order = np.argsort(name, kind="stable")
+            name, node = name[order], node[order]
+            again = np.concatenate([[False], name[1:] == name[:-1]])
+            again[:-1] |= again[1:]
+            told.append(np.stack(np.unique(node[again & (node != -1)], return_counts=True), 1))
+        found = np.concatenate(told)
+        return pa.table({"node": pa.array(found[:, 0], pa.int64()), "shared": pa.array(found[:, 1], pa.int64())})
+
+    packed = sets.select("node", "set").mapInArrow(gather, "range int, names binary, nodes binary")
+    return packed.groupBy("range").applyInArrow(own, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
+def _could_link(percent: int) -> F.Column:
+    """Whether the sets of x and y can be so similar at all.
+
+    n: size; h: intersection with the bucket's hub; e: shingles outside the hub that other nodes have. What x and y
+    have in common lies in the hub, at most the lesser h, or outside of it, at most the lesser e.
+    """
+    sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    return sizes & ((100 + percent) * (F.least("hx", "hy") + F.least("ex", "ey")) >= percent * (F.col("nx") + F.col("ny")))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
     """id, n_shingles, component_id, kept of every row of `docs`."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = written(signatures(slim, words, bands, rows), "signatures")
     usable = found.where(F.col("id").isNotNull() & (F.col("n") > 0))
@@ -190,35 +252,44 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     text_of = slim.where(F.col("id").isNotNull()).select(F.col("id").alias("node"), "text")
     sets = written(packed_sets(text_of.join(wanted.hint("merge"), "node", "left_semi"), words), "sets")
 
+    def labelled(label: DataFrame, rows: DataFrame) -> DataFrame:
+        """rows with a node and its component."""
+        named = label.select(F.bitwise_not("node").alias("key"), "component")
+        return rows.withColumn("key", F.bitwise_not("node")).join(named, "key", "left").select(*rows.columns, F.coalesce("component", "node").alias("component"))
+
+    def still_open(state: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components; key is the bucket, in a form that isn't aggregated by."""
+        several = state.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+        return state.withColumn("key", F.bitwise_not("band")).join(several.select(F.bitwise_not("band").alias("key")), "key").drop("key")
+
     pairs = written(members.where("hub < node").groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node"), "pairs")
-    links = [written(confirmed(pairs, sets, percent), "links")]
-    done = [pairs]
-    turn = 0
-    while True:
-        label = written(components(reduce(DataFrame.union, links)), "labels")
-        turn += 1
-        state = members.select(F.bitwise_not("node").alias("key"), "band", "node", "n").join(label.select(F.bitwise_not("node").alias("key"), "component"), "key", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed_bands = state.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select(F.bitwise_not("band").alias("key"), "c0")
-        state = written(state.withColumn("key", F.bitwise_not("band")).join(mixed_bands, "key").drop("key"), "open")
-        per = state.groupBy("band", "component").agg(F.count(F.lit(1)).cast("double").alias("k"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("hub"))
-        cross = per.groupBy("band").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("x"), F.sum("k").alias("k")).agg(F.sum("x") / 2, F.sum("k")).first()
-        if not cross[0]:
-            break
-        last = cross[0] <= 4 * cross[1] or turn > 8
-        if last:
-            left = state.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-            right = state.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-            ways = left.join(right, "band").where((F.col("cx") < F.col("cy")) & _could_link("nx", "ny", percent))
-        else:
-            hub = per.select("band", "component", "hub.node", "hub.n").toDF("band", "c0", "x", "nx")
-            ways = state.withColumnsRenamed({"node": "y", "n": "ny"}).join(hub, ["band", "c0"]).where((F.col("component") != F.col("c0")) & _could_link("nx", "ny", percent))
-        pairs = ways.select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")).distinct()
-        pairs = written(pairs.join(reduce(DataFrame.union, done), ["hub", "node"], "left_anti"), "pairs")
-        links.append(written(confirmed(pairs, sets, percent), "links"))
-        done.append(pairs)
-        if last:
-            label = written(components(reduce(DataFrame.union, links)), "labels")
-            break
+    linked = lambda found: found.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    first = written(compared(pairs, sets, percent), "compared")
+    label = written(components(linked(first)), "labels")
+    state = written(still_open(labelled(label, members.select("band", "node", "n"))), "open")
+    if not state.isEmpty():
+        some = sets.join(state.select("node").distinct().hint("merge"), "node", "left_semi")
+        ranges = max(1, int(state.select("node", "n").distinct().agg(F.sum("n")).first()[0] // 1_500_000))
+        counts = shared_counts(some, ranges).where("shared > 0").select(F.bitwise_not("node").alias("key"), "shared")
+        state = state.withColumn("key", F.bitwise_not("node")).join(counts, "key").drop("key")
+        # a partner has at least percent % of the size, so this much of a set must be found elsewhere
+        state = written(still_open(state.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("n") * percent / 100))), "open")
+    if not state.isEmpty():
+        # a hub near the middle of its bucket: little of its set is its own
+        hub = state.groupBy("band").agg(F.max_by("node", F.struct(F.col("shared") / F.col("n"), F.xxhash64("node"))).alias("hub"))
+        state = written(state.withColumn("key", F.bitwise_not("band")).join(hub.select(F.bitwise_not("band").alias("key"), "hub"), "key").drop("key"), "hubs")
+        second = written(compared(state.where("hub != node").select("hub", "node").distinct(), sets, percent), "compared")
+        label = written(components(linked(first).union(linked(second))), "labels")
+        state = still_open(labelled(label, state.drop("component")))
+        inside = second.select(F.bitwise_not("node").alias("key"), "hub", "both")
+        state = state.withColumn("key", F.bitwise_not("node")).join(inside, ["key", "hub"], "left").select("band", "node", "component", "n", "shared", F.coalesce("both", "n").alias("h"))
+        # a pair is made in the first of the buckets that it shares
+        state = written(state.withColumn("all", F.collect_list("band").over(W.partitionBy("node"))), "open")
+        side = lambda x: state.select("band", F.col("node").alias(x), F.col("all").alias(f"all{x}"), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"), (F.col("shared") - F.col("h")).alias(f"e{x}"))
+        ways = side("x").join(side("y"), "band").where((F.col("cx") < F.col("cy")) & _could_link(percent) & (F.col("band") == F.array_min(F.array_intersect("allx", "ally"))))
+        pairs = written(ways.select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")).distinct(), "pairs")
+        third = written(compared(pairs, sets, percent), "compared")
+        label = written(components(linked(first).union(linked(second)).union(linked(third))), "labels")
 
     named = narrow.select(F.bitwise_not("node").alias("key"), "id", "n", "node").join(label.select(F.bitwise_not("node").alias("key"), "component"), "key", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
     apart = found.where(F.col("id").isNull() | (F.col("n") == 0)).select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.minhash import MEMO, mixed
-from lodestream.session import written
+from lodestream.session import small_batches, written
 
 #: Names that a task holds before it settles them, and that the owner of a range gets on average.
-CHUNK, RANGE = 1_000_000, 1_500_000
+CHUNK, RANGE = 500_000, 1_000_000
 #: The first length is at most this.
 SHORTEST = 8
 
@@ -246,6 +246,7 @@ def repeated_windows(docs: DataFrame, window: int, smaller: bool = True) -> Data
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of every row of `docs`; with_text adds kept, the words that stay."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = repeated_windows(slim, window)
 
