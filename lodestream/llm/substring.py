@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from lodestream.llm.minhash import MEMO, mixed
 from lodestream.session import small_batches, written
 
-#: Names that a task holds before it settles them, and that the owner of a range gets on average.
-CHUNK, RANGE = 500_000, 1_000_000
+#: Names that a task holds before it settles them, and that the owner of a range gets on average; the least number of
+#: ranges, so that tables of any size are dealt widely and answers in rows of (range, document) grow with the documents.
+CHUNK, RANGE, RANGES = 500_000, 1_000_000, 64
 #: The first length is at most this.
 SHORTEST = 8
 
@@ -236,7 +237,7 @@ def repeated_windows(docs: DataFrame, window: int, smaller: bool = True) -> Data
     share = 2 / (sparse + 1)
     now = docs
     for k in range(1, len(levels) + 1):
-        ranges = max(1, round(chars / 6 * share / RANGE))
+        ranges = max(RANGES, round(chars / 6 * share / RANGE))
         found = written(shared_positions(now, levels[:k], smaller and k == len(levels), ranges, sparse if k <= 2 else 1), "repeats")
         if k == len(levels) or found.isEmpty():
             return found
