@@ -47,11 +47,12 @@ MEMO, MEMO_CHARS = 400_000, 20_000_000
 def ngram_hash(codes: np.ndarray, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
     """Hash of the `length` characters that end before `at`."""
     n = int(np.max(length)) if len(at) else 0
-    x = np.zeros(len(at), np.uint64) + np.asarray(length, np.uint64)
+    x = (np.zeros(len(at), np.uint64) + np.asarray(length, np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     for k in range(n, 0, -1):
         use = k <= np.asarray(length)
         c = codes[np.maximum(at - k, 0)].astype(np.uint64)
-        x = np.where(use, (x ^ c) * np.uint64(0x9E3779B97F4A7C15) + (x >> np.uint64(29)), x)
+        step = (x ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        x = np.where(use, step ^ (step >> np.uint64(29)), x)
     return mixed(x)
 
 
@@ -243,7 +244,7 @@ def _calibrate(identifier: Identifier, held: DataFrame, slack: float) -> None:
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(h.tolist(), pa.list_(pa.float64()))], names=["lang", "h"])
 
     rows = held.mapInArrow(run, "lang string, h array<double>").toPandas()
-    h = np.array(rows["h"].tolist()).reshape(len(rows), -1)
+    h = np.array(rows["h"].tolist()).reshape(len(rows), len(identifier.languages))
     truth = np.array([identifier.languages.index(x) if x in identifier.languages else -1 for x in rows["lang"]], int)
     ok = (truth >= 0) & np.isfinite(h).all(1) if len(rows) else np.zeros(0, bool)
     h, truth = h[ok], truth[ok]
