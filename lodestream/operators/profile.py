@@ -92,8 +92,9 @@ def bigram_curve(rows: DataFrame, group: str, order: str, text: str) -> DataFram
 def knee(curve: DataFrame, group: str, order: str, total: str, least_gain: float = 0.05) -> DataFrame:
     """group, k: items up to where a rising curve departs most from its chord (at least `least_gain`); 1 if flat, null if none."""
     at = W.partitionBy(group)
-    c = curve.select(group, total, (F.row_number().over(at.orderBy(order)) - 1).alias("i"), F.count(F.lit(1)).over(at).alias("n"), F.min(total).over(at).alias("lo"), F.max(total).over(at).alias("hi"))
-    gain = F.round((F.col(total) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)) - F.col("i") / F.nullif(F.col("n") - 1, F.lit(0)), 9)
+    y = F.col(total)
+    c = curve.select(group, y.alias("__y"), (F.row_number().over(at.orderBy(order)) - 1).alias("i"), F.count(F.lit(1)).over(at).alias("size"), F.min(y).over(at).alias("lo"), F.max(y).over(at).alias("hi"))
+    gain = F.round((F.col("__y") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)) - F.col("i") / F.nullif(F.col("size") - 1, F.lit(0)), 9)
     best = c.withColumn("gain", gain).groupBy(group).agg(F.max(F.struct("gain", (-F.col("i")).alias("back"))).alias("m"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
     k = F.when(F.col("hi") == F.col("lo"), 1).when(F.col("m.gain") >= least_gain, 1 - F.col("m.back"))
     return best.select(group, k.cast("long").alias("k"))

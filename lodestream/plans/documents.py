@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
-from lodestream.operators import graphs, ranking, similarity
+from lodestream.operators import compressors, graphs, ranking, similarity
 from lodestream.plans.registry import query, table
 
 _SPACE = r"[ \t\n\x0B\f\r]+"
@@ -296,3 +296,32 @@ def simhash(spark, sf_dir):
 SELECT x.id AS a, y.id AS b, bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS distance FROM o x JOIN o y ON x.id < y.id WHERE distance <= 3""")
 def near_duplicate_pairs(spark, sf_dir):
     return similarity.simhash_pairs(simhash(spark, sf_dir))
+
+
+_STRIP = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<(script|style|nav|header|footer|aside)[^>]*>.*?</(script|style|nav|header|footer|aside)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'), ' ')"""
+
+
+@query(f"SELECT page_id, md5({_STRIP}) AS text_md5, length({_STRIP}) AS chars FROM pages")
+def page_text(spark, sf_dir):
+    text = compressors.page_text(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.cast("binary")).alias("text_md5"), F.length(text).alias("chars"))
+
+
+@query()
+def compressed_logs(spark, sf_dir):
+    return compressors.compressed_logs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def crushed_text(spark, sf_dir):
+    return compressors.crushed_text(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def crushed_arrays(spark, sf_dir):
+    """One array for each user, of that user's events."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", "event_type", "value").alias("r"))
+    arrays = rows.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("items"))
+    return compressors.crushed_arrays(arrays, "user_id", "items")
