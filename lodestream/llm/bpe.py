@@ -75,15 +75,13 @@ class ByteBpe:
         from tokenizers.pre_tokenizers import ByteLevel
 
         split, odd = ByteLevel(add_prefix_space=False), []
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        runs = [regex.findall(p, every) for p in (r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]")]
-        for k, run in enumerate(runs):
-            anchor = ("a", "1", " ", "!")[k]
-            joined = anchor + "".join(run)
-            pieces = split.pre_tokenize_str(joined)
-            if len(pieces) > 1:
-                probes = [(c, split.pre_tokenize_str(anchor + c + anchor)) for c in {c for _, (a, b) in pieces[1:] for c in joined[a:b]} | {joined[a - 1] for _, (a, _) in pieces[1:]}]
-                odd += [ord(c) for c, got in probes if len(got) > 1 and c not in "'\n\t "]
+        kinds = (("a", regex.compile(r"\p{L}+")), ("1", regex.compile(r"\p{N}+")), (" ", regex.compile(r"\s+")), ("!", regex.compile(r"[^\s\p{L}\p{N}]+")))
+        for block in range(0, 0x110000, 0x800):
+            some = "" if 0xD800 <= block < 0xE000 else "".join(map(chr, range(block, block + 0x800)))
+            for anchor, kind in kinds:
+                run = anchor + "".join(kind.findall(some))
+                if len(split.pre_tokenize_str(run)) > 1:
+                    odd += [ord(c) for c in run if c not in "'\n\t " and len(split.pre_tokenize_str(anchor + c + anchor)) > 1]
         odd = sorted(set(odd))
         ranges = []
         for c in odd:

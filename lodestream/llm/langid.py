@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -227,8 +228,11 @@ def fit(docs: DataFrame, order: int = 4, most_docs: int = 1500, held_back: int =
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(own), pa.string()), "gram": pa.array(own.keys(), pa.string()), "n": pa.array(own.values(), pa.int64())})
 
     grams = sample.where(~F.col("back")).select("text", "lang").mapInArrow(count, "lang string, gram string, n long")
-    table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count).toPandas()
-    models = {lang: CharModel(dict(zip(own["gram"], own["n"].astype(int))), order) for lang, own in table.groupby("lang")}
+    table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count).toArrow()
+    models = {}
+    for lang in table.column("lang").unique().to_pylist():
+        own = table.filter(pc.equal(table.column("lang"), lang))
+        models[lang] = CharModel(dict(zip(own.column("gram").to_pylist(), own.column("n").to_pylist())), order)
     identifier = Identifier(models, order)
     if models:
         _calibrate(identifier, sample.where("back").select("text", "lang"), slack)
@@ -243,10 +247,10 @@ def _calibrate(identifier: Identifier, held: DataFrame, slack: float) -> None:
             h = identifier.entropies(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(h.tolist(), pa.list_(pa.float64()))], names=["lang", "h"])
 
-    rows = held.mapInArrow(run, "lang string, h array<double>").toPandas()
-    h = np.array(rows["h"].tolist()).reshape(len(rows), len(identifier.languages))
-    truth = np.array([identifier.languages.index(x) if x in identifier.languages else -1 for x in rows["lang"]], int)
-    ok = (truth >= 0) & np.isfinite(h).all(1) if len(rows) else np.zeros(0, bool)
+    rows = held.mapInArrow(run, "lang string, h array<double>").toArrow()
+    h = np.array(rows.column("h").to_pylist(), float).reshape(rows.num_rows, len(identifier.languages))
+    truth = np.array([identifier.languages.index(x) if x in identifier.languages else -1 for x in rows.column("lang").to_pylist()], int)
+    ok = (truth >= 0) & np.isfinite(h).all(1)
     h, truth = h[ok], truth[ok]
     for k in range(len(identifier.languages)):
         own = h[truth == k, k]
