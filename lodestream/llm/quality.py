@@ -99,7 +99,7 @@ def kth_greatest(keys: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def sampled(docs: DataFrame, labels: DataFrame, share: float = 0.5, temper: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", quality_col: str = "quality", **options) -> DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, share: float = 0.8, temper: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", quality_col: str = "quality", **options) -> DataFrame:
     """id, n_features, log_weight, score, sample_key, kept of every row; kept are ceil(share * rows) of the greatest keys.
 
     score is the importance weight per feature as a probability: the mean log ratio through the logistic function.
