@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestream.operators.similarity import runs
+
 
 def field_statistics(rows: DataFrame, group: str, value: str, digits: int = 4) -> DataFrame:
     """Per group: n, distinct, is_constant, least, greatest, mean, sample variance."""
@@ -82,9 +84,8 @@ def rare_keys(rows: DataFrame, id_col: str, document: str, share: float = 0.2) -
 
 def bigram_curve(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
     """group, order, total: how many distinct word pairs the group's items have brought so far."""
-    words = F.split(F.lower(F.trim(text)), r"\s+")
-    pairs = F.when(F.size(words) < 2, words).otherwise(F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))))
-    first = rows.select(group, order, F.explode(pairs).alias("pair")).groupBy(group, "pair").agg(F.min(order).alias(order))
+    words = rows.select(group, order, F.split(F.lower(F.trim(text)), r"\s+").alias("words"))
+    first = words.select(group, order, F.explode(runs(F.col("words"), 2, " ")).alias("pair")).groupBy(group, "pair").agg(F.min(order).alias(order))
     new = first.groupBy(group, order).agg(F.count(F.lit(1)).alias("new"))
     return rows.select(group, order).join(new, [group, order], "left").select(group, order, F.sum(F.coalesce("new", F.lit(0))).over(W.partitionBy(group).orderBy(order)).alias("total"))
 

@@ -14,7 +14,8 @@ K1, B, LN2 = 1.5, 0.75, 0.6931471805599453
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, term, tf, and the document's number of terms."""
     terms = docs.select(F.col(id_col).alias("id"), T.terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    return terms.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = terms.select("id", F.size("terms").alias("length"), "terms")  # below the explode, which then carries no array
+    return terms.select("id", "length", F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def keyword_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, corpus_idf: bool = False) -> DataFrame:

@@ -43,7 +43,7 @@ def word_jaccard_pairs(rows: DataFrame, id_col: str, text_col: str, least: float
     n - ceil(least * n) + 1 words of each, so that only those words are joined on.
     """
     sets = rows.select(F.col(id_col).alias("id"), F.array_distinct(T.words(F.coalesce(F.col(text_col), F.lit("")))).alias("words")).where(F.size("words") > 0)
-    long = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    long = sets.select("id", F.size("words").alias("n"), "words").select("id", "n", F.explode("words").alias("word"))
     df = long.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(W.partitionBy("id").orderBy("df", "word"))
     prefix = long.join(df, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("word", "id", "n")
@@ -56,11 +56,18 @@ def word_jaccard_pairs(rows: DataFrame, id_col: str, text_col: str, least: float
     return scored.where(F.col("jaccard") >= least)
 
 
+def runs(items: Column, n: int, glue: str = "") -> Column:
+    """All runs of n items, joined; a list that is shorter, but not empty, is one. `items` should be a column, not an
+    expression: the lambda would evaluate it again for each run.
+    """
+    count = F.greatest(F.lit(1), F.size(items) - n + 1)
+    return F.when(F.size(items) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(items, i, n), glue)))
+
+
 def grams(rows: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, gram: runs of n characters; a text that is shorter, but not empty, is one. Cut from an array of its characters."""
-    chars = rows.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "").alias("chars"), F.length(text_col).alias("size"))
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("size") - n + 1))).alias("at")
-    return chars.where("size > 0").select("id", "chars", at).select("id", F.array_join(F.slice("chars", F.col("at"), n), "").alias("gram"))
+    """id, gram: runs of n characters; a text that is shorter, but not empty, is one."""
+    chars = rows.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.split(text_col, "").alias("chars"))
+    return chars.select("id", F.explode(runs(F.col("chars"), n)).alias("gram"))
 
 
 def char_entropy(rows: DataFrame, id_col: str, text_col: str, digits: int = 4) -> DataFrame:
@@ -102,11 +109,10 @@ def simhash_pairs(hashes: DataFrame, most: int = 3) -> DataFrame:
 
 
 def contained_share(rows: DataFrame, key: list[str], output: str, context: str, n: int = 8) -> DataFrame:
-    """key, echo: the share of an output's runs of n words that its context has too."""
-    def runs(col: str) -> Column:
-        w = T.words(F.coalesce(F.col(col), F.lit("")))
-        return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
-
-    grams = rows.select(*key, runs(output).alias("o"), F.array_distinct(runs(context)).alias("c"))
-    known = F.size(F.filter("o", lambda g: F.array_contains("c", g)))
-    return grams.select(*key, F.round(F.when(F.size("o") == 0, 0.0).otherwise(known / F.size("o")), 6).alias("echo"))
+    """key, echo: the share of an output's runs of n words that its context has too; runs meet by key and run."""
+    words = rows.select(*key, *[T.words(F.coalesce(F.col(c), F.lit(""))).alias(a) for c, a in ((output, "o"), (context, "c"))])
+    each = lambda side: words.where(F.size(side) >= n).select(*key, F.explode(runs(F.col(side), n, " ")).alias("gram"))
+    said = each("o").groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("times"))
+    known = each("c").distinct().withColumn("known", F.lit(True))
+    share = said.join(known, [*key, "gram"], "left").groupBy(*key).agg((F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)) / F.sum("times")).alias("share"))
+    return rows.select(*key).join(share, key, "left").select(*key, F.round(F.coalesce("share", F.lit(0.0)), 6).alias("echo"))
