@@ -23,6 +23,7 @@ import heapq
 import json
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from lodestream.session import put_bytes, written
 #: The split pattern of byte-level pre-tokenizers of this family (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a worker remembers at most.
-MEMO = 600_000
+MEMO = 800_000
 
 
 def byte_letters() -> list[str]:
@@ -167,20 +168,24 @@ class ByteBpe:
 
 
 class _Memo(dict):
-    """Word to ids: filled from the lexicon, else by merging."""
+    """Word to ids: filled from the lexicon, else by merging. When half of MEMO is met, the words of the half before go."""
 
     def __init__(self, bpe: ByteBpe, lexicon: Lexicon):
-        self.bpe, self.lexicon = bpe, lexicon
+        self.bpe, self.lexicon, self.before = bpe, lexicon, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = self.lexicon.get(raw)
+        ids = self.before.get(word)
         if ids is None:
-            ids = np.array(self.bpe.merge(raw), "<u4").tobytes()
-        if len(raw) <= 128:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = ids
+            raw = word.encode()
+            ids = self.lexicon.get(raw)
+            if ids is None:
+                ids = array("I", self.bpe.merge(raw)).tobytes()
+            if len(raw) > 128:
+                return ids
+        if len(self) >= MEMO // 2:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -209,6 +214,9 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def out() -> pa.RecordBatch:
             pieces: Counter[str] = Counter()
             for w, n in found.items():
+                if w.isalpha():  # one piece
+                    pieces[" " + w] += n
+                    continue
                 for p in split(" " + w):
                     pieces[p] += n
             return pa.RecordBatch.from_pydict({"word": pa.array(pieces.keys(), pa.string()), "n": pa.array(pieces.values(), pa.int64())})

@@ -15,6 +15,7 @@ import numpy as np
 #: Arrays of the file: name, type, index of its count in the header.
 _PARTS = (("first", "<u4", 1), ("target", "<u4", 2), ("add", "<u4", 2), ("offset", "<u4", 4), ("ids", "<u4", 5), ("final", "u1", 3), ("label", "u1", 2))
 _HEAD = struct.Struct("<6I")
+_BYTES = [bytes([b]) for b in range(256)]
 
 
 class _State:
@@ -103,13 +104,14 @@ class Lexicon:
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit integers, or None."""
-        state, rank, first, find, base = self._root, 0, self._first, self._map.find, self._labels_at
-        for i in range(len(word)):
-            at = find(word[i : i + 1], base + first[state], base + first[state + 1]) - base
+        state, rank, first, find = self._root, 0, self._first, self._map.find
+        base, add, target = self._labels_at, self._add, self._target
+        for b in word:
+            at = find(_BYTES[b], base + first[state], base + first[state + 1]) - base
             if at < 0:
                 return None
-            rank += self._add[at]
-            state = self._target[at]
+            rank += add[at]
+            state = target[at]
         if not self._final[state]:
             return None
         return self._ids[self._offset[rank] : self._offset[rank + 1]].tobytes()
