@@ -35,6 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.llm.minhash import mixed
+from lodestream.session import written
 
 UNKNOWN = "und"
 #: Stands before and after a run of letters.
@@ -43,6 +44,8 @@ _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 #: Pieces, and characters in them, whose scores a worker remembers before it starts anew.
 MEMO, MEMO_CHARS = 400_000, 20_000_000
+#: Rows (id, language) of the training sample up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def ngram_hash(codes: np.ndarray, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
@@ -214,7 +217,9 @@ def fit(docs: DataFrame, order: int = 4, most_docs: int = 1500, held_back: int =
     keys = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull()).select("lang", "id", F.xxhash64("id").alias("h"))
     # the least hashes of each language by way of an ordered limit in each task: a language may hold any share of the rows
     chosen = keys.withColumn("r", rank).where(F.col("r") <= most_docs).select("id", "lang", (F.col("r") % held_back == 0).alias("back"))
-    sample = docs.select("id", "text").join(F.broadcast(chosen), "id")
+    chosen = written(chosen, "sample")
+    small = chosen.count() <= BROADCAST_ROWS  # so many languages that it isn't: let both sides be shuffled
+    sample = docs.select("id", "text").join(F.broadcast(chosen) if small else chosen, "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
