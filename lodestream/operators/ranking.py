@@ -47,16 +47,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (size == 0), 0.0).otherwise(dot(a, b) / size)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, least: float = -1.0) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, least: float = -1.0, block: int = 5_000) -> DataFrame:
     """query, id, similarity, rank: the k most similar vectors of each query that reach `least`, by exact cosine.
 
-    The stated queries are held against all vectors; ranking keeps k rows a query in each task before the shuffle.
+    The stated queries are held against all vectors in blocks of about `block` queries, each small enough to broadcast;
+    ranking keeps k rows a query in each task before the shuffle.
     """
     asked = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("q"))
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(asked, F.col("id") != F.col("query"))
-    scored = pairs.select("query", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    blocks = max(1, -(-asked.count() // block))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(some), F.col("id") != F.col("query"))
+        scored = pairs.select("query", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("similarity")).where(F.col("similarity") >= least)
+        best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def recency(age_days: Column, half: float = 30.0) -> Column:

@@ -80,8 +80,9 @@ def char_entropy(rows: DataFrame, id_col: str, text_col: str, digits: int = 4) -
 
 def gram_repetition(rows: DataFrame, id_col: str, text_col: str, n: int = 3, digits: int = 6) -> DataFrame:
     """id, repetition: 1 - distinct / all runs of n characters."""
-    g = grams(rows.where(F.length(text_col) >= n), id_col, text_col, n).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    return g.groupBy("id").agg(F.round(1 - F.count(F.lit(1)) / F.sum("n"), digits).alias("repetition"))
+    chars = rows.where(F.length(text_col) >= n).select(F.col(id_col).alias("id"), F.split(text_col, "").alias("chars"))
+    g = chars.select("id", runs(F.col("chars"), n).alias("g"))
+    return g.select("id", F.round(1 - F.size(F.array_distinct("g")) / F.size("g"), digits).alias("repetition"))
 
 
 def simhash(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

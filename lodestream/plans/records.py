@@ -122,7 +122,7 @@ def priority_budget(spark, sf_dir):
     events = selection.edges(_events(spark, sf_dir), "user_id", TIMELINE, 3, 2)
     stats = events.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
     must = (F.col("event_type") == "error") | (F.abs(F.col("value") - F.col("m")) > 2 * F.col("sd"))
-    kept = selection.budgeted(events.join(F.broadcast(stats), "event_type"), "user_id", must, [F.col("is_edge").desc(), F.col("pos")], 15)
+    kept = selection.budgeted(events.join(stats, "event_type"), "user_id", must, [F.col("is_edge").desc(), F.col("pos")], 15)
     return kept.select("event_id", "user_id", "pos")
 
 
