@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions import detect
+from lodestream.functions import text as T
 from lodestream.operators import ranking
 from lodestream.plans.registry import query, table
+from lodestream.sources import stores
 
 
 def _share(lines: str, pattern: str) -> str:
@@ -111,8 +113,6 @@ def exchange_pairs(spark, sf_dir):
 l AS (UNPIVOT w ON tags, comments INTO NAME kind VALUE total)
 SELECT kind, total, round(100.0 * total / max(total) OVER (), 2)::DOUBLE AS percent_of_most FROM l""")
 def waste_histogram(spark, sf_dir):
-    from lodestream.functions import text as T
-
     w = T.waste(F.col("html"))
     sums = table(spark, sf_dir, "pages").agg(F.sum(w["tags"]).alias("tags"), F.sum(w["comments"]).alias("comments")).unpivot([], ["tags", "comments"], "kind", "total")
     return sums.withColumn("percent_of_most", F.round(100 * F.col("total") / F.max("total").over(W.partitionBy()), 2))
@@ -131,3 +131,78 @@ def information_recall(spark, sf_dir):
     c = c.withColumn("facts", _facts(F.col("before")))
     kept = F.size(F.filter("facts", lambda x: F.contains(F.col("text"), x)))
     return c.select("conv_id", "turn", F.size("facts").alias("facts"), F.when(F.size("facts") == 0, 1.0).otherwise(F.round(kept / F.size("facts"), 4)).alias("recall"))
+
+
+@query("""WITH k AS (SELECT event_type, unnest(json_keys(props)) AS key, props FROM events), v AS (SELECT event_type, key, json_extract_string(props, '$.' || key) AS value FROM k)
+SELECT event_type, key, count(*) AS n, CASE WHEN bool_and(regexp_matches(value, '^-?[0-9]+$')) THEN 'int' WHEN bool_and(regexp_matches(value, '^-?[0-9]+([.][0-9]+)?$')) THEN 'float' ELSE 'string' END AS tag FROM v GROUP BY event_type, key""")
+def schema_inference(spark, sf_dir):
+    """Keys of JSON objects with how many rows have them and one type for all their values."""
+    v = table(spark, sf_dir, "events").select("event_type", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    all_match = lambda p: F.bool_and(F.col("value").rlike(p))
+    tag = F.when(all_match("^-?[0-9]+$"), "int").when(all_match("^-?[0-9]+([.][0-9]+)?$"), "float").otherwise("string")
+    return v.groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("n"), tag.alias("tag"))
+
+
+@query("""WITH k AS (SELECT DISTINCT event_type, unnest(json_keys(props)) AS key FROM events)
+SELECT event_type, substr(sha256(string_agg(key, ',' ORDER BY key)), 1, 16) AS signature FROM k GROUP BY event_type""")
+def tool_signature(spark, sf_dir):
+    """A structural hash of the objects of each kind."""
+    k = table(spark, sf_dir, "events").select("event_type", F.explode(F.expr("json_object_keys(props)")).alias("key"))
+    keys = F.array_join(F.array_sort(F.collect_set("key")), ",")
+    return k.groupBy("event_type").agg(F.substring(F.sha2(keys.cast("binary"), 256), 1, 16).alias("signature"))
+
+
+@query("""WITH l AS (UNPIVOT (SELECT o_orderstatus, o_orderpriority FROM orders) ON o_orderstatus, o_orderpriority INTO NAME field VALUE value),
+s AS (SELECT field, count(DISTINCT value) AS kinds, count(*) AS n FROM l GROUP BY field)
+SELECT field, kinds FROM s WHERE kinds BETWEEN 2 AND 8 AND kinds <= 0.7 * n AND n = (SELECT count(*) FROM orders) ORDER BY kinds DESC, field LIMIT 1""")
+def discriminator(spark, sf_dir):
+    """The text column that best parts records into a few kinds: present in all rows, 2 to 8 values, the most of them."""
+    orders = table(spark, sf_dir, "orders")
+    total = orders.agg(F.count(F.lit(1)).alias("total"))
+    s = orders.unpivot([], ["o_orderstatus", "o_orderpriority"], "field", "value").groupBy("field").agg(F.countDistinct("value").alias("kinds"), F.count("value").alias("n"))
+    fit = s.join(F.broadcast(total)).where(F.col("kinds").between(2, 8) & (F.col("kinds") <= 0.7 * F.col("n")) & (F.col("n") == F.col("total")))
+    return fit.orderBy(F.desc("kinds"), "field").limit(1).select("field", "kinds")
+
+
+@query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events),
+c AS (SELECT user_id, event_type, count(*) AS n FROM r WHERE r > 5 GROUP BY ALL)
+SELECT user_id, string_agg(n || ' ' || event_type, ', ' ORDER BY n DESC, event_type) AS summary FROM c GROUP BY user_id""")
+def dropped_summary(spark, sf_dir):
+    """What a selection left out, by kind, as a sentence for each group."""
+    rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
+    c = table(spark, sf_dir, "events").withColumn("r", rank).where("r > 5").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "event_type", F.concat_ws(" ", "n", "event_type").alias("text"))))
+    return c.groupBy("user_id").agg(F.array_join(F.transform(kinds, lambda x: x["text"]), ", ").alias("summary"))
+
+
+@query("""WITH a AS (SELECT event_type, count(*) AS samples, sum(value::DECIMAL(28, 2))::DOUBLE / count(*) AS mean FROM events WHERE user_id % 2 = 0 GROUP BY event_type),
+b AS (SELECT event_type, count(*) AS samples, sum(value::DECIMAL(28, 2))::DOUBLE / count(*) AS mean FROM events WHERE user_id % 2 = 1 GROUP BY event_type)
+SELECT event_type, sum(samples)::BIGINT AS samples, round(sum(mean * samples) / sum(samples), 6) AS mean FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY event_type""")
+def pattern_merge(spark, sf_dir):
+    """Two instances' learned means as one, weighted by samples."""
+    mean = F.sum(F.col("value").cast("decimal(28,2)")).cast("double") / F.count(F.lit(1))
+    learned = lambda rows: rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("samples"), mean.alias("mean"))
+    events = table(spark, sf_dir, "events")
+    both = stores.merged_patterns(learned(events.where("user_id % 2 = 0")), learned(events.where("user_id % 2 = 1")), "event_type", "samples", ["mean"])
+    return both.withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH d AS (SELECT doc_id, source, md5(text) AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS k FROM d)
+SELECT source, count(*) AS reads, count(*) FILTER (k > 1) AS rereads FROM r GROUP BY source""")
+def read_redundancy(spark, sf_dir):
+    """How often each source gave what had been read before."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("h"))
+    first = d.groupBy("h").agg(F.min("doc_id").alias("first")).select(F.upper("h").alias("key"), "first")
+    r = d.withColumn("key", F.upper("h")).join(first, "key")
+    return r.groupBy("source").agg(F.count(F.lit(1)).alias("reads"), F.count(F.when(F.col("doc_id") != F.col("first"), 1)).alias("rereads"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, len(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS words FROM conversations),
+s AS (SELECT conv_id, count(*) FILTER (role = 'user') AS turns, count(*) FILTER (role = 'assistant' AND words >= 150) AS long_answers, count(*) FILTER (role = 'assistant') AS answers FROM t GROUP BY conv_id)
+SELECT conv_id, turns, CASE WHEN turns < 10 THEN 2 WHEN long_answers / greatest(1, answers) >= 0.3 THEN 3 WHEN long_answers / greatest(1, answers) >= 0.1 THEN 2 ELSE 1 END AS level FROM s""")
+def verbosity_levels(spark, sf_dir):
+    """The level of brevity that a conversation's long answers speak for."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "role", F.size(T.words(F.col("text"))).alias("words"))
+    answer = F.col("role") == "assistant"
+    s = t.groupBy("conv_id").agg(F.count(F.when(F.col("role") == "user", 1)).alias("turns"), F.count(F.when(answer & (F.col("words") >= 150), 1)).alias("long"), F.count(F.when(answer, 1)).alias("answers"))
+    return s.select("conv_id", "turns", T.verbosity_level(F.col("long") / F.greatest(F.lit(1), F.col("answers")), F.col("turns")).alias("level"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, or a new one where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lodestream-")
+        own = tempfile.mkdtemp(prefix="lodestream-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = "file://" + own
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
