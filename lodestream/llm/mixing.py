@@ -105,7 +105,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     goal_words = F.round("target").cast("long")
     gets = F.transform(epochs, lambda e: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal_words - e * F.col("source_size") - F.col("begin"))))
     rows = rows.withColumn("gets", gets)
-    middle = F.transform("gets", lambda g, e: F.struct(g.alias("g"), ((e * F.col("source_size") + F.col("begin") + g / 2) / F.col("target")).alias("at")))
+    middle = F.transform("gets", lambda g, e: F.struct(g.alias("g"), ((e * F.col("source_size") + F.col("begin") + g / 2) / F.nullif(F.col("target"), F.lit(0.0))).alias("at")))
 
     def place(x: Column) -> Column:
         out = F.lit(None).cast("double")

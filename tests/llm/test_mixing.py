@@ -81,3 +81,11 @@ def test_mix_is_in_training_order(odd, none):
     want = [i for _, i in sorted((p, str(r.id)) for r in planned for p in r.positions)]
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(want)
     assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+def test_sources_without_words(spark):
+    df = spark.createDataFrame([(1, "", "a"), (2, None, "a"), (3, "x y z", "b")], "doc_id long, text string, source string")
+    assert {r.id: (r.target, r.taken) for r in mixing.plan(df).collect()} == {1: (0.0, 0), 2: (0.0, 0), 3: (4.5, 5)}
+    assert {r.target for r in mixing.plan(df.where("source = 'a'")).collect()} == {0.0}
+    assert sorted(r.doc_id for r in mixing.mix(df).collect()) == [3, 3]
+    assert mixing.ordered(mixing.plan(df)).count() == 3
