@@ -142,3 +142,22 @@ def search_bloat(text: Column, least: int = 10) -> Column:
 
 def json_bloat(text: Column) -> Column:
     return F.least(F.lit(1.0), F.regexp_count(text, F.lit(r"[}][ \t\n]*,")) / 49)
+
+
+def opaque_words(text: Column, least: float = 0.7) -> Column:
+    """Words of eight and more ASCII letters and digits, both among them, whose characters' entropy is high for their length."""
+    found = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]{8,}"), F.lit(0)), lambda w: w.rlike("[A-Za-z]") & w.rlike("[0-9]"))
+
+    def entropy(w: Column) -> Column:
+        share = lambda c: (F.length(w) - F.length(F.replace(w, c, F.lit("")))) / F.length(w)
+        return F.aggregate(F.array_distinct(F.split(w, "")), F.lit(0.0), lambda a, c: a - F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c)))) / F.log2(F.length(w))
+
+    return F.filter(found, lambda w: F.round(entropy(w), 6) >= least)
+
+
+def diff_noise(hunk: Column, path: Column) -> Column:
+    """lockfile, whitespace or null: hunks that say nothing to a reader. A hunk without changes is white space only."""
+    lines = F.split(hunk, "\n")
+    body = lambda sign: F.regexp_replace(F.array_join(F.transform(F.filter(lines, lambda x: x.startswith(sign)), lambda x: F.substring(x, 2, 1 << 30)), ""), r"[ \t\r]+", "")
+    locked = path.rlike(r"(^|/)([a-z-]+[.]lock|package-lock[.]json|pnpm-lock[.]yaml|go[.]sum)$")
+    return F.when(locked, "lockfile").when(body("+") == body("-"), "whitespace")

@@ -66,3 +66,14 @@ def test_json_paths(spark):
     got = sorted(tuple(r) for r in nested.json_paths(df, "key", "value").collect())
     assert got == [(1, "$.a.b", "1"), (1, "$.a.c[0]", "1"), (1, "$.a.c[1].d", None), (3, "$", "[]"), (5, "$", "7")]
     assert nested.json_paths(df.where("key = 1"), "key", "value", 1).collect()[0]["path"] == "$.a"
+
+
+def test_opaque_words(spark):
+    assert column(spark, ["key a1b2c3d4e5 aaaaaaa1 wordwordword 12345678", "", None], X.opaque_words) == [["a1b2c3d4e5"], [], None]
+
+
+def test_diff_noise(spark):
+    hunks = [("@@ -1 +1 @@\n-a b\n+a  b", "x.py"), ("@@ -1 +1 @@\n-a\n+b", "x.py"), ("-a\n+b", "web/yarn.lock"), (None, "x.py")]
+    df = spark.createDataFrame([(i, *h) for i, h in enumerate(hunks)], "i int, hunk string, path string")
+    out = df.select("i", X.diff_noise(F.col("hunk"), F.col("path")).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in out] == ["whitespace", None, "lockfile", None]
