@@ -17,7 +17,7 @@ KNOWN_TAGS = (
 MIXED = {"fence": r"```", "json": r"(?m)^[ \t]*[\[{]", "search": r"(?m)^[^ \t\n:]+:[0-9]+:"}
 SENTENCE = r"[.!?]+[ \t\n]+[A-Z]"
 SEGMENT_END = r"\n|[.!?]+[ \t]+"
-SALIENT = r"[0-9]|(^|[^A-Za-z])[A-Z]{2,}($|[^A-Za-z])|[A-Za-z_]+[.][A-Za-z_]+[.][A-Za-z_]+"
+SALIENT = r"[0-9]|(^|[^A-Za-z])[A-Z]{2,}($|[^A-Za-z])|[A-Za-z_][.][A-Za-z_]+[.][A-Za-z_]"
 LANGUAGE_VOTES = {
     "python": r"(?m)^ *(def [a-z_]|class [A-Z]|import [a-z]|from [a-z.]+ import|elif |if __name__)",
     "javascript": r"(?m)(^ *(const|let|var|function) |=> [{(]|console[.]log|require[(])",
