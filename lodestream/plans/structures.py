@@ -176,7 +176,7 @@ _STATISTICS = {"digits": "[0-9]", "capitals": "[A-Z]", "commas": ",", "marks": "
        + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {k}" for k, p in _STATISTICS.items()) + f" FROM (SELECT doc_id, text, {_WORDS} AS ws FROM documents)")
 def text_statistics(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", T.words(F.col("text")).alias("ws"))
-    mean = F.aggregate("ws", F.lit(0), lambda a, w: a + F.length(w)) / F.size("ws")
+    mean = F.length(F.array_join("ws", "")) / F.size("ws")
     counts = [F.regexp_count("text", F.lit(p)).alias(k) for k, p in _STATISTICS.items()]
     sizes = [F.length("text").alias("chars"), F.size("ws").alias("words"), F.size(F.array_distinct("ws")).alias("distinct_words")]
     return d.select("doc_id", *sizes, F.when(F.size("ws") == 0, 0.0).otherwise(F.round(mean, 6)).alias("mean_word"), *counts)
