@@ -10,7 +10,8 @@ Every level works alike. A task gathers the names of its documents, in chunks of
 within the chunk what it can: of the documents that share a name there, all but the one with the least id are
 answered at once. What is left, one document a name, goes as packed arrays to the task that owns the name's range;
 it answers those documents that share the name with one from another chunk. So a passage that a third of all
-documents hold sends one row a chunk. Answers meet their texts by id for the next level.
+documents hold sends one row a chunk. Answers meet their texts by id and text hash (`key`) for the next level, so that rows
+that repeat an id with other texts keep their own positions; ids alone say what is earlier.
 
 Defined results
 * null texts have no words. Texts shorter than the window lose nothing.
@@ -124,55 +125,55 @@ def _answers(name: np.ndarray, id_: np.ndarray, at: np.ndarray, smaller: bool) -
     return shared, leads
 
 
-def _by_document(id_: np.ndarray, at: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """One row an id: its positions in order, as differences."""
-    order = np.lexsort((at, id_))
-    id_, at = id_[order], at[order]
-    starts = _runs(id_)
-    return [int(i) for i in id_[starts]], [np.diff(p, prepend=0).astype("<i4").tobytes() for p in np.split(at, starts[1:])] if len(starts) else []
+def _by_document(id_: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """One row an id and key: its positions in order, as differences."""
+    order = np.lexsort((at, key, id_))
+    id_, key, at = id_[order], key[order], at[order]
+    starts = np.union1d(_runs(id_), _runs(key))
+    return id_[starts].tolist(), key[starts].tolist(), [np.diff(p, prepend=0).astype("<i4").tobytes() for p in np.split(at, starts[1:])] if len(starts) else []
 
 
 def _positions(parts: list[bytes] | None) -> np.ndarray:
     return np.concatenate([np.cumsum(np.frombuffer(p, "<i4")) for p in parts]) if parts else np.zeros(0, np.int64)
 
 
-_OUT = "range int, names binary, ids binary, at binary"
+_OUT = "range int, names binary, ids binary, keys binary, at binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["range", "names", "ids", "at"])
+    columns = list(zip(*rows)) or [[], [], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4))], names=["range", "names", "ids", "keys", "at"])
 
 
 def shared_positions(docs: DataFrame, levels: list[int], smaller: bool, ranges: int, least_of: int = 1) -> DataFrame:
-    """id, at: the positions of each document's windows of levels[-1] words that another (or a smaller) id shares.
+    """id, key, at: the positions of each document's windows of levels[-1] words that another (or a smaller) id shares.
 
-    docs has id, text and, after the first level, `known`: the positions that survived the level before. least_of over
+    docs has id, key, text and, after the first level, `known`: the positions that survived the level before. least_of over
     1 looks only at the least name within that many consecutive windows.
     """
     final, first = levels[-1], len(levels) == 1
 
-    def settle(names: list[np.ndarray], ids: list[np.ndarray], ats: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        name, id_, at = np.concatenate(names), np.concatenate(ids), np.concatenate(ats)
+    def settle(names: list[np.ndarray], ids: list[np.ndarray], keys: list[np.ndarray], ats: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        name, id_, key, at = (np.concatenate(x) for x in (names, ids, keys, ats))
         order = np.lexsort((id_, name))
-        name, id_, at = name[order], id_[order], at[order]
+        name, id_, key, at = name[order], id_[order], key[order], at[order]
         told, leads = _answers(name, id_, at, smaller)
         rows = []
-        for k, (doc, positions) in enumerate(zip(*_by_document(id_[told], at[told]))):
-            rows.append((k % ranges, None, np.int64(doc).tobytes(), positions))
+        for k, (doc, own_key, positions) in enumerate(zip(*_by_document(id_[told], key[told], at[told]))):
+            rows.append((k % ranges, None, np.int64(doc).tobytes(), np.int64(own_key).tobytes(), positions))
         # a name that is settled as shared still leads, for documents of other chunks
-        name, id_, at = name[leads], id_[leads], at[leads]
+        name, id_, key, at = name[leads], id_[leads], key[leads], at[leads]
         owner = ((name >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         cuts = np.searchsorted(owner, np.arange(1, ranges, dtype=np.uint64))
-        rows += [(k, n.tobytes(), i.tobytes(), a.astype("<i4").tobytes()) for k, (n, i, a) in enumerate(zip(np.split(name, cuts), np.split(id_, cuts), np.split(at, cuts))) if len(n)]
+        rows += [(k, n.tobytes(), i.tobytes(), y.tobytes(), a.astype("<i4").tobytes()) for k, (n, i, y, a) in enumerate(zip(*(np.split(x, cuts) for x in (name, id_, key, at)))) if len(n)]
         for k in range(0, len(rows), 2000):
             yield _batch(rows[k : k + 2000])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids, ats, held = [], [], [], 0
+        names, ids, keys, ats, held = [], [], [], [], 0
         for batch in batches:
             known = None if first else batch.column("known")
-            for k, (doc, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text"))):
+            for k, (doc, key, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"))):
                 words = _split(text.as_py())
                 if len(words) < final:
                     continue
@@ -184,36 +185,39 @@ def shared_positions(docs: DataFrame, levels: list[int], smaller: bool, ranges:
                 if len(at):
                     names.append(x[at])
                     ids.append(np.full(len(at), doc, np.int64))
+                    keys.append(np.full(len(at), key, np.int64))
                     ats.append(at)
                     held += len(at)
                 if held >= CHUNK:
-                    yield from settle(names, ids, ats)
-                    names, ids, ats, held = [], [], [], 0
+                    yield from settle(names, ids, keys, ats)
+                    names, ids, keys, ats, held = [], [], [], [], 0
         if held:
-            yield from settle(names, ids, ats)
+            yield from settle(names, ids, keys, ats)
 
     def own(table: pa.Table) -> pa.Table:
-        docs_, positions, names, ids, ats = [], [], [], [], []
-        for n, i, a in zip(*(table.column(c).to_pylist() for c in ("names", "ids", "at"))):
+        docs_, texts, positions, names, ids, keys, ats = [], [], [], [], [], [], []
+        for n, i, y, a in zip(*(table.column(c).to_pylist() for c in ("names", "ids", "keys", "at"))):
             if n is None:
                 docs_.append(int(np.frombuffer(i, "<i8")[0]))
+                texts.append(int(np.frombuffer(y, "<i8")[0]))
                 positions.append(a)
             else:
                 names.append(np.frombuffer(n, "<u8"))
                 ids.append(np.frombuffer(i, "<i8"))
+                keys.append(np.frombuffer(y, "<i8"))
                 ats.append(np.frombuffer(a, "<i4"))
         if names:
-            name, id_, at = np.concatenate(names), np.concatenate(ids), np.concatenate(ats)
+            name, id_, key, at = (np.concatenate(x) for x in (names, ids, keys, ats))
             order = np.lexsort((id_, name))
-            name, id_, at = name[order], id_[order], at[order]
+            name, id_, key, at = name[order], id_[order], key[order], at[order]
             told, _ = _answers(name, id_, at, smaller)
-            more = _by_document(id_[told], at[told].astype(np.int64))
-            docs_, positions = docs_ + more[0], positions + more[1]
-        return pa.table({"id": pa.array(docs_, pa.int64()), "at": pa.array(positions, pa.binary())})
+            more = _by_document(id_[told], key[told], at[told].astype(np.int64))
+            docs_, texts, positions = docs_ + more[0], texts + more[1], positions + more[2]
+        return pa.table({"id": pa.array(docs_, pa.int64()), "key": pa.array(texts, pa.int64()), "at": pa.array(positions, pa.binary())})
 
     packed = docs.mapInArrow(gather, _OUT)
-    told = packed.groupBy("range").applyInArrow(own, "id long, at binary")
-    return told.groupBy("id").agg(F.collect_list("at").alias("at"))
+    told = packed.groupBy("range").applyInArrow(own, "id long, key long, at binary")
+    return told.groupBy("id", "key").agg(F.collect_list("at").alias("at"))
 
 
 def candidates(words: list[bytes], levels: list[int], known: np.ndarray, least_of: int) -> np.ndarray:
@@ -229,7 +233,7 @@ def candidates(words: list[bytes], levels: list[int], known: np.ndarray, least_o
 
 
 def repeated_windows(docs: DataFrame, window: int, smaller: bool = True) -> DataFrame:
-    """id, at: packed positions of windows that another document shares (smaller: one with a smaller id); docs has id, text."""
+    """id, key, at: packed positions of windows that another document shares (smaller: one with a smaller id); docs has id, key, text."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     levels = lengths(window)
     docs = docs.where(F.col("id").isNotNull())
@@ -241,14 +245,14 @@ def repeated_windows(docs: DataFrame, window: int, smaller: bool = True) -> Data
         found = written(shared_positions(now, levels[:k], smaller and k == len(levels), ranges, sparse if k <= 2 else 1), "repeats")
         if k == len(levels) or found.isEmpty():
             return found
-        now = docs.join(found.withColumnRenamed("at", "known").hint("merge"), "id")
+        now = docs.join(found.withColumnRenamed("at", "known").hint("merge"), ["id", "key"])
         share = 0.5
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of every row of `docs`; with_text adds kept, the words that stay."""
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     found = repeated_windows(slim, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +262,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 words = _split(text.as_py())
                 ends = np.zeros(len(words) + 1, np.int64)
                 if at.is_valid:
-                    # rows that repeat an id may be shorter than the row that the positions come from
-                    p = _positions(at.as_py())
-                    p = np.unique(p[p + window <= len(words)])
+                    # rows that repeat both id and text give each position again
+                    p = np.unique(_positions(at.as_py()))
                     ends[p] += 1
                     ends[p + window] -= 1
                 covered = np.cumsum(ends[:-1]) > 0
@@ -273,5 +276,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), *[pa.array(kept, pa.string())] * with_text]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text])
 
-    rows = slim.join(found.hint("merge"), "id", "left").select("id", "text", "at")
+    rows = slim.join(found.hint("merge"), ["id", "key"], "left").select("id", "text", "at")
     return rows.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

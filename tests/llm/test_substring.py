@@ -41,6 +41,18 @@ def test_across_many_chunks(spark, monkeypatch):
     assert sorted(map(tuple, substring.remove_repeats(df).collect()), key=str) == brute(rows, 13)
 
 
+def test_one_id_on_texts_of_other_lengths(spark):
+    shared, clean = [f"s{i}" for i in range(20)], [f"c{i}" for i in range(60)]
+    rows = [
+        (1, " ".join(shared)),
+        (2, " ".join(clean[:40] + shared)), (2, " ".join(clean[40:54])), (2, " ".join(clean)), (2, " ".join(shared[:15] + clean[:5])),
+        (3, " ".join(clean[30:50])), (3, " ".join(clean[30:50])), (None, " ".join(shared)), (2, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for window in (7, 13, 25):
+        assert sorted(map(tuple, substring.remove_repeats(df, window).collect()), key=str) == brute(rows, window)
+
+
 def test_levels_double():
     assert substring.lengths(13) == [7, 13] and substring.lengths(50) == [7, 13, 25, 50] and substring.lengths(5) == [5]
     words = [f"w{i}".encode() for i in range(60)]
