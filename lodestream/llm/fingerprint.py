@@ -125,7 +125,8 @@ def codes_of(text: str) -> np.ndarray:
 def in_id_order(docs: DataFrame) -> DataFrame:
     """Rows (id, text) as (slot, role, id, text), each slot whole within a partition and in ascending order of id.
 
-    A slot's last row, with role 1, is a copy of the next slot's first one. The driver holds, for four slots a shuffle
+    A slot's last row, with role 1, is a copy of the next slot's first one; if that one is repeated, its copies are
+    equal and the first of them tells all. The driver holds, for four slots a shuffle
     partition, a split point and a first row's id and hash. Texts are shuffled once.
     """
     slots = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -170,15 +171,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         held = None
         for batch in batches:
             rows = []
-            for slot, doc, value in zip(batch.column("slot").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
+            for slot, role, doc, value in zip(batch.column("slot").to_pylist(), batch.column("role").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
+                if held and held[:2] == (slot, 1):
+                    continue  # one more copy of the next slot's first row
                 text = value.as_py()
                 hashes = PrefixHashes(codes_of(text))
                 own = fingerprint(hashes)
                 if held and held[0] == slot:
-                    rows.append(described(*held[1:4], text, own, held[4]))
-                held = (slot, doc, text, hashes, own)
+                    rows.append(described(*held[2:5], text, own, held[5]))
+                held = (slot, role, doc, text, hashes, own)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_id_order(slim).select("slot", "id", "text").mapInArrow(run, schema)
+    return in_id_order(slim).select("slot", "role", "id", "text").mapInArrow(run, schema)

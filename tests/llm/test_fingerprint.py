@@ -73,6 +73,16 @@ def test_over_odd_rows(odd, odd_rows):
     assert fp.fingerprints(odd).count() == len(odd_rows)
 
 
+def test_repeated_rows_that_lead_their_slots(spark):
+    two = spark.createDataFrame([(1, "abcdefgh")] * 2, "doc_id long, text string")
+    assert [r.edited_sha256 for r in fp.fingerprints(two).collect()] == [hashlib.sha256(b"abcdefab").hexdigest()] * 2
+    r = random.Random(6)
+    rows = [(i, "".join(r.choice("abcd ") for _ in range(200))) for i in range(40)]
+    rows = [x for x in rows for _ in range(1 + x[0] % 4)] + [rows[0]] * 5
+    got = fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("near_edited", "near_next").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
 def test_small_tables(spark, none):
     assert fp.fingerprints(none).count() == 0
     one = fp.fingerprints(spark.createDataFrame([(7, "abcdefgh")], "doc_id long, text string")).collect()
