@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
+from lodestream.session import written
 
 
 def first_of_equal(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -109,6 +110,18 @@ def simhash_pairs(hashes: DataFrame, most: int = 3) -> DataFrame:
     return a.join(b, ["block", "bits"]).where(F.col("a") < F.col("b")).withColumn("distance", distance).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
 
 
+def simhash_links(hashes: DataFrame, most: int = 3) -> DataFrame:
+    """a, b, distance: the pairs between least ids of hashes, and (least id, id, 0) for every other id of a hash.
+
+    So each id with a hash is linked, and the pairs of all ids follow from the links of their least ids. Empty and null
+    texts have no hash.
+    """
+    hashes = written(hashes, "simhashes")
+    least = hashes.groupBy("hi", "lo").agg(F.min("id").alias("a"))
+    same = hashes.join(least.hint("merge"), ["hi", "lo"]).where(F.col("a") < F.col("id"))
+    return simhash_pairs(hashes, most).union(same.select("a", F.col("id").alias("b"), F.lit(0).alias("distance")))
+
+
 def contained_share(rows: DataFrame, key: list[str], output: str, context: str, n: int = 8) -> DataFrame:
     """key, echo: the share of an output's runs of n words that its context has too; runs meet by key and run."""
     words = rows.select(*key, *[T.words(F.coalesce(F.col(c), F.lit(""))).alias(a) for c, a in ((output, "o"), (context, "c"))])

@@ -298,6 +298,12 @@ def near_duplicate_pairs(spark, sf_dir):
     return similarity.simhash_pairs(simhash(spark, sf_dir))
 
 
+@query()
+def near_duplicate_documents(spark, sf_dir):
+    """Over all documents, with the members of each hash."""
+    return similarity.simhash_links(similarity.simhash(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 _STRIP = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
   '(?is)<(script|style|nav|header|footer|aside)[^>]*>.*?</(script|style|nav|header|footer|aside)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'), ' ')"""

@@ -101,6 +101,29 @@ def test_simhash_as_brute_force(spark):
         assert r.hi << 32 | r.lo == brute(dict(rows)[r.id])
 
 
+def test_simhash_links_reach_every_near_pair(spark):
+    import random
+
+    r = random.Random(4)
+    seeds = [(r.getrandbits(32), r.getrandbits(32)) for _ in range(12)]
+    near = [(hi ^ 1 << r.randrange(32), lo ^ r.choice([0, 1 << r.randrange(32)])) for hi, lo in seeds for _ in range(2)]
+    rows = [(k, hi, lo) for k, (hi, lo) in enumerate(r.choices(seeds + near, k=150))]
+    links = similarity.simhash_links(spark.createDataFrame(rows, "id long, hi long, lo long")).collect()
+    distance = lambda x, y: (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count()
+    least = {}
+    for k, hi, lo in rows:
+        least.setdefault((hi, lo), k)
+    own = {k: least[hi, lo] for k, hi, lo in rows}
+    assert {(x.a, x.b) for x in links if x.distance == 0} == {(a, k) for k, a in own.items() if a < k}
+    between = {frozenset((x.a, x.b)): x.distance for x in links if x.distance}
+    for x in rows:
+        for y in rows[: x[0]]:
+            d = 0 if own[x[0]] == own[y[0]] else between.get(frozenset((own[x[0]], own[y[0]])))
+            assert d == (distance(x, y) if distance(x, y) <= 3 else None)
+    texts = spark.createDataFrame([(1, "The quick brown fox"), (2, "the QUICK brown fox"), (3, "something else altogether"), (4, ""), (5, None)], "id long, t string")
+    assert [tuple(x) for x in similarity.simhash_links(similarity.simhash(texts, "id", "t")).collect()] == [(1, 2, 0)]
+
+
 def test_walks(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 3), (9, 9)], "src long, dst long")
     assert {r.node: r.depth for r in graphs.neighbourhood(e, spark.createDataFrame([(4,)], "n long"), 2).collect()} == {4: 0, 3: 1, 2: 2, 1: 2}
