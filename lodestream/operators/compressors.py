@@ -7,13 +7,76 @@ what has been chosen before, folds a document in one task.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
 from lodestream.operators import similarity
+from lodestream.session import small_batches
+
+
+def line_digests(rows: DataFrame, group: str, order: str, line: str, chunk: int = 1 << 16) -> DataFrame:
+    """group, md5: of each group's lines in order, with line ends between them; null lines are left out.
+
+    Lines are sorted over all tasks and packed into chunks of about `chunk` characters, several groups' in a task. MD5
+    can't be put together from parts: one task reads the chunks of a group, one after another.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = rows.where(F.col(line).isNotNull()).select(F.col(group).alias("group"), F.col(order).alias("order"), F.col(line).alias("line"))
+    spread = slim.repartitionByRange(parts, "group", "order", "line").sortWithinPartitions("group", "order", "line")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held, size, nth = None, [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            values = (*head, nth, "\n".join(held).encode())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in ("group", "order", "line")] + [pa.int64(), pa.binary()]
+            for of, at, text in zip(*(batch.column(c).to_pylist() for c in ("group", "order", "line"))):
+                if held and (size >= chunk or of != head[0]):
+                    yield out()
+                    held, size, nth = [], 0, nth + 1
+                if not held:
+                    head = (of, at, text)
+                held.append(text)
+                size += len(text) + 1
+        if held:
+            yield out()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([digest.hexdigest()])], names=["group", "md5"])
+
+        for batch in batches:
+            kind = batch.schema.field("group").type
+            for of, body in zip(batch.column("group").to_pylist(), batch.column("body")):
+                if digest and of == now:
+                    digest.update(b"\n")
+                else:
+                    if digest:
+                        yield out()
+                    now, digest = of, hashlib.md5()
+                digest.update(body.as_buffer())
+        if digest:
+            yield out()
+
+    names = ["group", "order", "line", "nth", "body"]
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+    small_batches(rows.sparkSession)
+    chunks = spread.mapInArrow(pack, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", nth long, body binary")
+    # chunks that begin alike come from one task, which numbers them
+    inorder = chunks.repartition("group").sortWithinPartitions("group", "order", "line", "nth").select("group", "body")
+    return inorder.mapInArrow(fold, f"`group` {kinds['group']}, md5 string")
 
 
 def lines_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -168,13 +231,12 @@ def array_items(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.posexplode(items).alias("at", "item"))
 
 
-def crushed_arrays(rows: DataFrame, id_col: str, json_col: str, keep: int = 15, sigmas: float = 2.0, query: str = "") -> DataFrame:
-    """id, items (JSON array text), kept, of, dropped_key: arrays of records cut to about `keep` items.
+def marked_items(items: DataFrame, keep: int = 15, sigmas: float = 2.0, query: str = "") -> DataFrame:
+    """items (id, at, item) with of and __keep: which ones stay of arrays of records cut to about `keep` items.
 
     Never cut: items that name an error, with a number over `sigmas` deviations from its field's mean, or with a word
     of the query. Then come the first 30 and last 15 percent of `keep` and the rest by position; equal items count once.
     """
-    items = array_items(rows, id_col, json_col)
     items = items.withColumn("__nth", F.row_number().over(W.partitionBy("id", F.md5(F.col("item").cast("binary"))).orderBy("at")))
     fields = items.select("id", "at", F.explode(F.from_json("item", "map<string,string>")).alias("field", "value")).withColumn("x", F.expr("try_cast(value AS double)")).where(F.col("x").isNotNull())
     by = W.partitionBy("id", "field")
@@ -189,7 +251,25 @@ def crushed_arrays(rows: DataFrame, id_col: str, json_col: str, keep: int = 15,
     edge = (F.col("at") < first) | (F.col("at") >= F.col("of") - last)
     items = items.withColumn("of", size).withColumn("__must", must & (F.col("__nth") == 1))
     rank = F.row_number().over(W.partitionBy("id").orderBy((F.col("__nth") > 1).cast("int"), F.col("__must").desc(), edge.desc(), "at"))
-    items = items.withColumn("__keep", (F.col("of") <= keep) | F.col("__must") | ((rank <= keep) & (F.col("__nth") == 1)))
+    return items.withColumn("__keep", (F.col("of") <= keep) | F.col("__must") | ((rank <= keep) & (F.col("__nth") == 1)))
+
+
+def crushed_items(items: DataFrame, keep: int = 15, sigmas: float = 2.0, query: str = "") -> DataFrame:
+    """id, at, item of the items (id, at, item) that stay, with kept, of, dropped_key of their array.
+
+    Arrays may be longer than a cell holds: dropped ones are told by an aggregated hash of their places and texts.
+    """
+    marked = marked_items(items, keep, sigmas, query)
+    gone = F.when(~F.col("__keep"), F.xxhash64("at", "item"))
+    key = F.when(F.count(gone) > 0, T.content_key(F.concat_ws(":", F.bit_xor(gone), F.count(gone)), 12))
+    whole = marked.groupBy(F.col("id").alias("__id")).agg(F.count(F.when(F.col("__keep"), 1)).alias("kept"), F.count(F.lit(1)).alias("of"), key.alias("dropped_key"))
+    stay = marked.where("__keep").select("id", "at", "item")
+    return stay.join(whole, F.col("id").eqNullSafe(F.col("__id"))).drop("__id")
+
+
+def crushed_arrays(rows: DataFrame, id_col: str, json_col: str, keep: int = 15, sigmas: float = 2.0, query: str = "") -> DataFrame:
+    """id, items (JSON array text), kept, of, dropped_key: arrays in cells, crushed as by `marked_items`."""
+    items = marked_items(array_items(rows, id_col, json_col), keep, sigmas, query)
     part = lambda keep_it: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep_it, F.struct("at", "item")))), lambda x: x["item"]), ",")
     out = items.groupBy("id").agg(F.concat(F.lit("["), part(F.col("__keep")), F.lit("]")).alias("items"), F.count(F.when(F.col("__keep"), 1)).alias("kept"), F.max("of").alias("of"), part(~F.col("__keep")).alias("__gone"))
     return out.select("id", "items", "kept", "of", F.when(F.col("kept") < F.col("of"), T.content_key(F.col("__gone"), 12)).alias("dropped_key"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import detect
 from lodestream.functions import text as T
-from lodestream.operators import ranking
+from lodestream.operators import compressors, ranking
 from lodestream.plans.registry import query, table
 from lodestream.sources import stores
 
@@ -69,11 +69,11 @@ def json_types(spark, sf_dir):
 @query("""SELECT event_type, '[' || count(*) || ']{event_id:int,value:float}' AS header, md5(string_agg(event_id || ',' || user_id, chr(10) ORDER BY event_id)) AS body_md5 FROM events GROUP BY event_type""")
 def table_compaction(spark, sf_dir):
     """Arrays of like records as a schema line and rows."""
-    e = table(spark, sf_dir, "events")
-    rows = F.array_sort(F.collect_list(F.struct("event_id", F.concat_ws(",", "event_id", "user_id").alias("line"))))
-    body = F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
+    e = table(spark, sf_dir, "events").withColumn("line", F.concat(F.col("event_id").cast("string"), F.lit(","), F.col("user_id").cast("string")))
+    digests = compressors.line_digests(e, "event_type", "event_id", "line")
     header = F.concat(F.lit("["), F.count(F.lit(1)).cast("string"), F.lit("]{event_id:int,value:float}"))
-    return e.groupBy("event_type").agg(header.alias("header"), F.md5(body.cast("binary")).alias("body_md5"))
+    heads = e.groupBy("event_type").agg(header.alias("header"))
+    return heads.join(digests, F.col("event_type").eqNullSafe(F.col("group")), "left").select("event_type", "header", F.col("md5").alias("body_md5"))
 
 
 @query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island,

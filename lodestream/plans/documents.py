@@ -327,7 +327,8 @@ def crushed_text(spark, sf_dir):
 
 @query()
 def crushed_arrays(spark, sf_dir):
-    """One array for each user, of that user's events."""
-    rows = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", "event_type", "value").alias("r"))
-    arrays = rows.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("items"))
-    return compressors.crushed_arrays(arrays, "user_id", "items")
+    """One array for each user, of that user's events, as rows of items."""
+    record = F.struct("event_id", "event_type", "value")
+    at = F.row_number().over(W.partitionBy("user_id").orderBy(record)) - 1
+    items = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), at.alias("at"), F.to_json(record).alias("item"))
+    return compressors.crushed_items(items).withColumnRenamed("id", "user_id")

@@ -124,6 +124,39 @@ def test_simhash_links_reach_every_near_pair(spark):
     assert [tuple(x) for x in similarity.simhash_links(similarity.simhash(texts, "id", "t")).collect()] == [(1, 2, 0)]
 
 
+def test_line_digests_in_bounded_chunks(spark):
+    import hashlib
+
+    rows = [(g, k % 70, f"{g} line {k}" if k % 9 else None) for g in ("a", "b", None) for k in range(200)] + [("one", 1, ""), ("one", 0, ""), ("no", 1, None)]
+    lines = {}
+    for g, k, line in sorted((r for r in rows if r[2] is not None), key=lambda r: r[1:]):
+        lines.setdefault(g, []).append(line)
+    df = spark.createDataFrame(rows, "g string, k long, line string").repartition(5)
+    for chunk in (1, 50, 1 << 16):
+        got = compressors.line_digests(df, "g", "k", "line", chunk)
+        assert {r.group: r.md5 for r in got.collect()} == {g: hashlib.md5("\n".join(x).encode()).hexdigest() for g, x in lines.items()}
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["table_compaction", "crushed_arrays"])
+def test_queries_that_collect_no_group(spark, small, name):
+    import __spark_entry__ as entry
+
+    assert "collect_list" not in entry.queries()[name](spark, small)._jdf.queryExecution().toString()
+
+
+def test_item_rows_crush_as_arrays_do(spark, small):
+    import __spark_entry__ as entry
+
+    rows = spark.read.parquet(f"{small}/events.parquet").select("user_id", F.struct("event_id", "event_type", "value").alias("r"))
+    arrays = rows.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("items"))
+    cells = {r.id: (json.loads(r.items), r.kept, r.of, r.dropped_key is None) for r in compressors.crushed_arrays(arrays, "user_id", "items").collect()}
+    got = {}
+    for r in sorted(entry.queries()["crushed_arrays"](spark, small).collect(), key=lambda r: r.at):
+        got.setdefault(r.user_id, ([], r.kept, r.of, r.dropped_key is None))[0].append(json.loads(r.item))
+    assert got == cells
+
+
 def test_walks(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 3), (9, 9)], "src long, dst long")
     assert {r.node: r.depth for r in graphs.neighbourhood(e, spark.createDataFrame([(4,)], "n long"), 2).collect()} == {4: 0, 3: 1, 2: 2, 1: 2}
