@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,9 +31,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or a new one where that is unset (tests).
+
+    A cluster must name one: executors that each wrote to a disk of their own would lose rows.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="lodestream-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = "file://" + own
@@ -65,7 +71,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most this many rows in an Arrow batch of this session: rows here are whole texts, some of them very long."""
+    """At most this many rows in an Arrow batch of this session: rows here are whole texts, some of them very long.
+
+    The setting is read when a result is computed, after the operator has returned, so it stays lowered in the session.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
         spark.conf.set(name, str(rows))
@@ -75,4 +84,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by `written` that no plan in use reads any more; other DataFrames and None are left alone."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
