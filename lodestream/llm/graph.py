@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.session import written
+from lodestream.session import discard, written
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         signature = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if signature == mark or not signature[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        mark = signature
+        mark, last = signature, now
         both = now.union(now.select("v", "u"))
         large = _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         small = _with_least(large)
         now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(last)
