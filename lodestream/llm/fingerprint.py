@@ -3,18 +3,21 @@
 A text's prefix arrays hold, for two primes, the polynomial hash of every prefix. They answer the equality of any two
 spans in constant time, and bisection over them finds longest common extensions (`PrefixHashes`).
 
-A fingerprint is a bounded extract of them: length, hash of the whole, and hashes of prefixes and suffixes at up to
-2 * GRID places each. Places are multiples of a power of two that grows with the length, so that the places of two
-texts of different length nest. The likeness of two fingerprints bisects over the places that both have for the
-longest common prefix, and for the longest common suffix, and divides what they cover by the longer length; it is 1
-for equal fingerprints only.
+* Likeness of two texts (`shared`): the longest common prefix and suffix, by one extension each way, and between them
+  every block of BLOCK code points of the one text that occurs anywhere in the other, extended either way as far as
+  the texts agree. What is covered, divided by the longer length, is the likeness; it is 1 for equal texts only.
+* A fingerprint is a bounded extract of the arrays for keeping and exchange: length, hash of the whole, and hashes of
+  prefixes and suffixes at up to 2 * GRID places each. Places are multiples of a power of two that grows with the
+  length, so that the places of two texts of different length nest. `likeness` compares two of them where the texts
+  are no longer at hand: it bisects over the common places for the longest common prefix and suffix, and is never more
+  than what those two cover.
 
 The next document of each one is found by one range partition of the texts by id: split points are fixed first, each
 range's first document is copied to the range before it, and each range is then read in order.
 
 Defined results
 * null texts count as empty; the likeness of two empty texts is 1, of an empty and another 0.
-* null ids stand before all others; rows that repeat an id stand in the order of their texts.
+* null ids stand before all others; rows that repeat an id stand in the order of their texts' hashes, in one range.
 * the document after the last is the first; a single document is its own next. An empty table gives an empty result.
 * other columns are never looked at.
 """
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 PRIMES = ((2147483647, 1_103_515_245), (2147483629, 1_664_525_011))
 #: A fingerprint has from GRID to 2 * GRID places from either end.
 GRID = 16
-#: Rows of a range of ids.
-RANGE_ROWS = 5_000
+#: Code points of a block that is looked for between common prefix and suffix.
+BLOCK = 24
 
 _POWERS: list[list[np.ndarray]] = []
 
@@ -86,6 +89,42 @@ class PrefixHashes:
         return low
 
 
+    def extension_back(self, other: PrefixHashes, to: int, there: int, most: int) -> int:
+        """Length, at most `most`, of the longest common extension that ends before `to` and `there`."""
+        low, high = 0, min(to, there, most)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if self.same(other, to - middle, there - middle, middle) else (low, middle - 1)
+        return low
+
+
+def shared(a: PrefixHashes, b: PrefixHashes, block: int = BLOCK) -> float:
+    """What the common prefix, the common suffix and common passages between them cover of the longer text."""
+    if a.n == b.n and a.same(b, 0, 0, a.n):
+        return 1.0
+    prefix = a.extension(b)
+    suffix = a.extension_back(b, a.n, b.n, min(a.n, b.n) - prefix)
+    covered = prefix + suffix
+    end, last = a.n - suffix, b.n - block  # blocks of a lie between prefix and suffix, those of b anywhere
+    at = np.arange(prefix, end - block + 1, block)
+    if len(at) and last >= 0:
+        there = np.arange(last + 1)
+        names = b.span(there, there + block)
+        order = np.argsort(names, kind="stable")
+        names, own = names[order], a.span(at, at + block)
+        place = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        free = prefix
+        for k in np.flatnonzero(names[place] == own).tolist():
+            i, j = int(at[k]), int(order[place[k]])
+            if i < free:
+                continue
+            back = a.extension_back(b, i, j, i - free)
+            ahead = min(a.extension(b, i, j), end - i)
+            covered += back + ahead
+            free = i + ahead
+    return min(covered, a.n, b.n) / max(a.n, b.n)
+
+
 def step(n: int) -> int:
     """The distance of a fingerprint's places: the power of two that gives GRID to 2 * GRID of them."""
     return 1 << max(0, (n // (2 * GRID)).bit_length())
@@ -126,27 +165,40 @@ def in_id_order(docs: DataFrame) -> DataFrame:
     """Rows (id, text) as (slot, role, id, text), each slot whole within a partition and in ascending order of id.
 
     A slot's last row, with role 1, is a copy of the next slot's first one; if that one is repeated, its copies are
-    equal and the first of them tells all. The driver holds, for four slots a shuffle
-    partition, a split point and a first row's id and hash. Texts are shuffled once.
+    equal and the first of them tells all. The driver holds, for four slots a shuffle partition, a split point and a
+    first row's id and hash; they go to the tasks as one broadcast of that size, and are looked up by bisection over
+    the ids alone. Texts are shuffled once.
     """
-    slots = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    spark = docs.sparkSession
+    slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     splits = docs.agg(F.percentile_approx("id", [k / slots for k in range(1, slots)], 100 * slots)).first()[0]
-    cut = F.array(*[F.lit(x) for x in sorted(set(splits or []))]).cast("array<bigint>")
-    slot = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(cut, lambda x: x < F.col("id"))))
-    slotted = docs.withColumn("slot", slot).withColumn("hash", F.xxhash64("text"))
+    cut = spark.sparkContext.broadcast(np.array(sorted(set(splits or [])), np.int64))
+
+    def slots_of(id_: pa.Array) -> np.ndarray:
+        return np.where(np.asarray(id_.is_valid()), np.searchsorted(cut.value, np.asarray(id_.fill_null(0)), side="left"), 0)
+
+    @F.arrow_udf("int")
+    def slot_of(id_: pa.Array) -> pa.Array:
+        return pa.array(slots_of(id_), pa.int32())
+
     first = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "hash")).alias("first")
-    heads = {r["slot"]: r["first"] for r in slotted.groupBy("slot").agg(first).collect()}
-    order = sorted(heads)
-    if not order:
-        return slotted.select("slot", F.lit(0).alias("role"), "id", "text")
-    by_slot = {s: (heads[s]["id"], heads[s]["hash"], order[k - 1]) for k, s in enumerate(order)}
-    rows = [by_slot.get(s, (None, 0, 0)) for s in range(order[-1] + 1)]
-    of = lambda k, kind: F.element_at(F.array(*[F.lit(r[k]).cast(kind) for r in rows]), F.col("slot") + 1)
-    leads = F.col("id").eqNullSafe(of(0, "long")) & (F.col("hash") == of(1, "long"))
-    here = F.struct(F.col("slot").cast("int").alias("slot"), F.lit(0).alias("role"))
-    places = F.when(leads, F.array(here, F.struct(of(2, "int").alias("slot"), F.lit(1).alias("role")))).otherwise(F.array(here))
-    placed = slotted.select(F.explode(places).alias("p"), "id", "hash", "text").select("p.slot", "p.role", "id", "hash", "text")
+    heads = sorted((r["slot"], r["first"]) for r in docs.select("id", "hash").withColumn("slot", slot_of("id")).groupBy("slot").agg(first).collect())
+    rows = [(None, 0, 0)] * (heads[-1][0] + 1 if heads else 0)
+    for k, (slot, head) in enumerate(heads):
+        rows[slot] = (head["id"], head["hash"], heads[k - 1][0])
+    lead = spark.sparkContext.broadcast(rows)
+
+    @F.arrow_udf("array<struct<slot:int,role:int>>")
+    def places(id_: pa.Array, hash_: pa.Array) -> pa.Array:
+        """Its own slot with role 0; for a slot's first row also the slot before with role 1."""
+        out = []
+        for doc, h, slot in zip(id_.to_pylist(), hash_.to_pylist(), slots_of(id_).tolist()):
+            own, head, before = lead.value[slot]
+            out.append([{"slot": slot, "role": 0}] + [{"slot": before, "role": 1}] * (doc == own and h == head))
+        return pa.array(out, pa.list_(pa.struct([("slot", pa.int32()), ("role", pa.int32())])))
+
+    placed = docs.select(F.explode(places("id", "hash")).alias("p"), "id", "hash", "text").select("p.slot", "p.role", "id", "hash", "text")
     return placed.repartition("slot").sortWithinPartitions("slot", "role", F.col("id").asc_nulls_first(), "hash").drop("hash")
 
 
@@ -156,13 +208,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has its last quarter (rounded down) replaced by as many first characters of the next document.
     """
 
-    def described(doc: int | None, text: str, hashes: PrefixHashes, after: str, its: str, own: str) -> tuple:
+    def described(doc: int | None, text: str, hashes: PrefixHashes, own: str, after: str, its: PrefixHashes) -> tuple:
         n = hashes.n
         take = n // 4
         codes, more = codes_of(text), codes_of(after[:take])
         edited = PrefixHashes(np.concatenate([codes[: n - take], more]), hashes, n - take)
-        changed = fingerprint(edited)
-        return doc, n, hashlib.sha256((text[: n - take] + after[:take]).encode()).hexdigest(), own, changed, likeness(own, changed), likeness(own, its)
+        digest = hashlib.sha256((text[: n - take] + after[:take]).encode()).hexdigest()
+        return doc, n, digest, own, fingerprint(edited), shared(hashes, edited), shared(hashes, its)
 
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -176,10 +228,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue  # one more copy of the next slot's first row
                 text = value.as_py()
                 hashes = PrefixHashes(codes_of(text))
-                own = fingerprint(hashes)
                 if held and held[0] == slot:
-                    rows.append(described(*held[2:5], text, own, held[5]))
-                held = (slot, role, doc, text, hashes, own)
+                    rows.append(described(*held[2:], text, hashes))
+                held = (slot, role, doc, text, hashes, fingerprint(hashes))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

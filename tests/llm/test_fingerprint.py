@@ -1,8 +1,6 @@
 import hashlib
 import random
 
-import numpy as np
-
 from lodestream.llm import fingerprint as fp
 
 
@@ -52,25 +50,85 @@ def test_likeness():
     assert fp.likeness(empty, empty) == 1 and fp.likeness(own, empty) == 0
 
 
-def brute(rows):
-    from lodestream.llm import fingerprint
+def brute_shared(a, b, block=fp.BLOCK):
+    """Greedy coverage by comparing characters."""
+    if a == b:
+        return 1.0
+    prefix = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    suffix = 0
+    while suffix < min(len(a), len(b)) - prefix and a[len(a) - 1 - suffix] == b[len(b) - 1 - suffix]:
+        suffix += 1
+    end, covered, free = len(a) - suffix, prefix + suffix, prefix
+    for i in range(prefix, end - block + 1, block):
+        j = b.find(a[i : i + block])
+        if i < free or j < 0:
+            continue
+        back = 0
+        while back < min(i - free, j) and a[i - back - 1] == b[j - back - 1]:
+            back += 1
+        ahead = 0
+        while i + ahead < end and j + ahead < len(b) and a[i + ahead] == b[j + ahead]:
+            ahead += 1
+        covered, free = covered + back + ahead, i + ahead
+    return min(covered, len(a), len(b)) / max(len(a), len(b))
+
+
+def test_shared_as_brute_force():
+    r = random.Random(8)
+    for k in range(150):
+        t = "".join(r.choice("abcd efg") for _ in range(r.randrange(400)))
+        parts = [t[:100], t[100:220], t[220:]]
+        r.shuffle(parts)
+        u = r.choice([t, "#" + t[1:-1] + "#", t[: len(t) // 2], "".join(parts), t[:90] + "zz" + t[130:], t[::-1]])
+        assert fp.shared(hashes(t), hashes(u)) == brute_shared(t, u), (t, u)
+    t = "".join(r.choice("abcdef ") for _ in range(5000))
+    assert fp.shared(hashes("#" + t + "#"), hashes("!" + t + "!")) > 0.99  # edits at both ends
+    assert fp.shared(hashes(""), hashes("")) == 1 and fp.shared(hashes(""), hashes("a")) == 0
+
 
+def brute(rows):
     docs = sorted(((i is not None, i or 0, i, t or "") for i, t, *_ in rows), key=lambda d: d[:2])
     out = []
     for k, (*_, i, t) in enumerate(docs):
         u = docs[(k + 1) % len(docs)][3]
         n = len(t) // 4
         e = t[: len(t) - n] + u[:n]
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint.fingerprint(hashes(t)), fingerprint.fingerprint(hashes(e))))
+        digest = lambda x: f"{len(x):x}:{direct(x)}"
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), digest(t), digest(e), brute_shared(t, e), brute_shared(t, u)))
     return out
 
 
+def direct(text):
+    """Hash of the whole text by the definition, term by term."""
+    out = 0
+    for p, base in fp.PRIMES:
+        out = out << 31 | sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(text)) % p
+    return f"{out:016x}"
+
+
+def plain(rows):
+    """Rows of the operator with length and whole hash of the fingerprints only, as `brute` tells them."""
+    head = lambda f: ":".join(f.split(":")[:2])
+    return sorted((r.id, r.n_chars, r.edited_sha256, head(r.fingerprint), head(r.edited_fingerprint), r.near_edited, r.near_next) for r in rows)
+
+
 def test_over_odd_rows(odd, odd_rows):
     rows = [r for k, r in enumerate(odd_rows) if r[0] is not None and k != 15]  # ties of ids stand by hash: order not checked here
-    plain = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    got = fp.fingerprints(plain).drop("near_edited", "near_next").collect()
-    assert sorted(map(tuple, got)) == sorted(brute(rows))
+    some = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    assert plain(fp.fingerprints(some).collect()) == sorted(brute(rows))
     assert fp.fingerprints(odd).count() == len(odd_rows)
+    assert sorted((r.id for r in fp.fingerprints(odd).collect()), key=str) == sorted((r[0] for r in odd_rows), key=str)
+
+
+def test_query_as_brute_force(spark, small):
+    from lodestream.llm.queries import op5_fingerprints
+    from lodestream.session import ship_package
+
+    ship_package(spark)
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 3000")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert plain(fp.fingerprints(docs).collect()) == sorted(brute(rows))
+    assert op5_fingerprints(spark, small).where("near_edited BETWEEN 0 AND 1 AND near_next BETWEEN 0 AND 1").count() == spark.read.parquet(f"{small}/documents.parquet").count()
 
 
 def test_repeated_rows_that_lead_their_slots(spark):
@@ -79,12 +137,12 @@ def test_repeated_rows_that_lead_their_slots(spark):
     r = random.Random(6)
     rows = [(i, "".join(r.choice("abcd ") for _ in range(200))) for i in range(40)]
     rows = [x for x in rows for _ in range(1 + x[0] % 4)] + [rows[0]] * 5
-    got = fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("near_edited", "near_next").collect()
-    assert sorted(map(tuple, got)) == sorted(brute(rows))
+    got = fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert plain(got) == sorted(brute(rows))
 
 
 def test_small_tables(spark, none):
     assert fp.fingerprints(none).count() == 0
     one = fp.fingerprints(spark.createDataFrame([(7, "abcdefgh")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one[0].near_next == 1
-    assert np.isclose(fp.likeness(one[0].fingerprint, one[0].edited_fingerprint), one[0].near_edited)
+    assert one[0].near_edited == 0.75
