@@ -1,7 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-* A text is split at white space; each piece gives its runs of letters in lower case, and each run is scored as a
-  sequence of characters between boundary marks. Models don't look across words, so that a word has one score in each
+* A text is split at white space; each piece without digits gives its runs of letters in lower case, and each run is
+  scored as a sequence of characters between boundary marks; a text that has letters beside digits only is scored on
+  those. Models don't look across words, so that a word has one score in each
   language, which a worker remembers.
 * For each language: counts of character n-grams of the highest order; continuation counts (distinct characters
   before) below; one discount an order, n1 / (n1 + 2 n2); interpolation down to a uniform distribution.
@@ -9,11 +10,15 @@
   context hashes with back-off weights.
 * The language of least cross-entropy per character wins (ties: the first in code-point order). Its score is its
   posterior from the length-normalised cross-entropies, with a scale that is fitted on held-back training documents.
-* Rejection: a text is rejected if it has no letters, or if its least cross-entropy exceeds its language's limit. The
-  limit lies above all but a thousandth of the language's held-back documents, by a margin of `slack` nats.
+* Rejection: a text is rejected if it has no letters, or if its least cross-entropy lies too far above what its
+  language's own texts have. The distance is measured in deviations that shrink with the text's length (a document
+  part and a character part, both fitted), so that short texts aren't rejected for being short. The limit is calibrated
+  on held-back documents, of which it rejects at most the share `false_rejections`, and on negatives made from them:
+  their words with letters shuffled, random strings over their letters, and their texts under models of other
+  languages only. Between the two it lies halfway. `Identifier.rates` holds the measured rate on each of them.
 
 Fitting takes at most `most_docs` documents a language, those least by hash of id, so that models have a bounded size;
-every document is scored on its whole text.
+each language's arrays are built by one task, from that sample. Every document is scored on its whole text.
 
 Defined results
 * null or letterless texts: language `und`, score 0, rejected.
@@ -23,12 +28,13 @@ Defined results
 
 from __future__ import annotations
 
+import pickle
+import random
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -42,6 +48,7 @@ UNKNOWN = "und"
 MARK = "\x02"
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
+_DIGIT = regex.compile(r"\p{N}")
 #: Pieces, and characters in them, whose scores a worker remembers before it starts anew.
 MEMO, MEMO_CHARS = 400_000, 20_000_000
 #: Rows (id, language) of the training sample up to which it is broadcast.
@@ -137,17 +144,23 @@ class Identifier:
         self.languages = sorted(models)
         self.models = [models[x] for x in self.languages]
         self.order = order
-        self.limits = np.full(len(self.languages), np.inf)
+        #: Rows a language: usual cross-entropy, its deviation between documents, and that of a single character.
+        self.usual = np.tile([0.0, 1.0, 1.0], (len(self.languages), 1))
+        self.limit = np.inf
+        self.rates: dict[str, float] = {}
         self.scale = 20.0
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("memo", "memory", "chars")}
 
-    def piece_scores(self, pieces: list[str]) -> np.ndarray:
-        """A row for each piece: log probability in each language, then the number of characters scored."""
+    def piece_scores(self, pieces: list[str], digits: bool = False) -> np.ndarray:
+        """A row for each piece: log probability in each language, then the number of characters scored.
+
+        Pieces with a digit are identifiers rather than words: without `digits` they score nothing.
+        """
         runs, owner = [], []
         for i, piece in enumerate(pieces):
-            for run in _LETTERS.findall(piece):
+            for run in _LETTERS.findall(piece) if digits or not _DIGIT.search(piece) else ():
                 runs.append(run.lower())
                 owner.append(i)
         out = np.zeros((len(pieces), len(self.languages) + 1))
@@ -167,7 +180,7 @@ class Identifier:
         return out
 
     def entropies(self, texts: list[str | None]) -> np.ndarray:
-        """A row for each text: cross-entropy per character in each language; infinite without letters.
+        """A row for each text: cross-entropy per character in each language, infinite without letters; then the characters scored.
 
         The pieces of a batch that the worker doesn't remember are scored together.
         """
@@ -182,24 +195,34 @@ class Identifier:
         memo.update(zip(fresh, range(len(memo), len(memo) + len(fresh))))
         rows = [self.piece_scores(fresh[k : k + 20_000]).astype(np.float32) for k in range(0, len(fresh), 20_000)]
         self.memory = np.concatenate([self.memory, *rows])
-        out = np.full((len(texts), len(self.languages)), np.inf)
+        out = np.full((len(texts), len(self.languages) + 1), np.inf)
+        out[:, -1] = 0
         for i, pieces in enumerate(split):
             total = self.memory[np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces))].sum(0, dtype=float)
+            if not total[-1]:  # no words: what letters there are must do
+                total = self.piece_scores(pieces, digits=True).sum(0)
             if total[-1]:
-                out[i] = -total[:-1] / total[-1]
+                out[i, :-1] = -total[:-1] / total[-1]
+                out[i, -1] = total[-1]
         return out
 
+    def distance(self, h: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many deviations cross-entropies h of n characters lie above what is usual for the languages `best`."""
+        usual, between, single = self.usual[best].T
+        return (h - usual) / np.sqrt(between**2 + single**2 / np.maximum(n, 1))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, least cross-entropy and rejection of each text."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.inf), np.ones(len(texts), bool)
         h = self.entropies(texts)
+        h, n = h[:, :-1], h[:, -1]
         has = np.isfinite(h[:, 0]) & np.array([t is not None and bool(_LETTER.search(t)) for t in texts], bool)
         best = np.where(has, h.argmin(1), 0)
         least = np.where(has, h[np.arange(len(h)), best], np.inf)
         gap = np.where(has[:, None], h - np.where(has, least, 0)[:, None], 0)
         score = np.where(has, 1 / np.exp(-self.scale * gap).sum(1), 0.0)
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, has)], score, least, ~has | (least > self.limits[best])
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, has)], score, least, ~has | (self.distance(least, best, n) > self.limit)
 
 
 def learned_from(id_col: str) -> F.Column:
@@ -207,16 +230,28 @@ def learned_from(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
 
 
-def fit(docs: DataFrame, order: int = 4, most_docs: int = 1500, held_back: int = 10, slack: float = 1.0, least_count: int = 1) -> Identifier:
+def sample_of(keys: DataFrame, most_docs: int) -> DataFrame:
+    """id, lang, r: for each language the `most_docs` rows (id, lang) least by hash of id, numbered from 1.
+
+    Of a language with more, only rows whose hash lies in a leading part that holds about four times as many are
+    ranked (the chance that it holds too few is below e^-1000), so that no task orders a whole language.
+    """
+    keys = keys.withColumn("h", F.xxhash64("id"))
+    totals = written(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    some = totals.withColumn("upto", F.least(F.lit(1.0), F.lit(4.0 * most_docs + 100) / F.col("n"))).select("lang", "upto")
+    near = (F.col("h").cast("double") / 2.0**64 + 0.5) <= F.col("upto")
+    leading = keys.join(F.broadcast(some) if totals.count() <= BROADCAST_ROWS else some, "lang").where(near)
+    return leading.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= most_docs).select("id", "lang", "r")
+
+
+def fit(docs: DataFrame, order: int = 4, most_docs: int = 1500, held_back: int = 10, false_rejections: float = 0.002, least_count: int = 1) -> Identifier:
     """An identifier from rows (id, text, lang), of which the caller has removed those not to be learned from.
 
-    One in `held_back` documents of the sample sets limits and scale. n-grams are counted in the tasks and summed by
-    Spark; the driver gets the counts of the sample's n-grams.
+    One in `held_back` documents of the sample sets limit and scale. n-grams are counted in the tasks and summed by
+    Spark, each language's arrays are built from the sums by one task, and the driver gets the arrays.
     """
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))
-    keys = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull()).select("lang", "id", F.xxhash64("id").alias("h"))
-    # the least hashes of each language by way of an ordered limit in each task: a language may hold any share of the rows
-    chosen = keys.withColumn("r", rank).where(F.col("r") <= most_docs).select("id", "lang", (F.col("r") % held_back == 0).alias("back"))
+    keys = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "lang")
+    chosen = sample_of(keys, most_docs).select("id", "lang", (F.col("r") % held_back == 0).alias("back"))
     chosen = written(chosen, "sample")
     small = chosen.count() <= BROADCAST_ROWS  # so many languages that it isn't: let both sides be shuffled
     sample = docs.select("id", "text").join(F.broadcast(chosen) if small else chosen, "id")
@@ -226,48 +261,84 @@ def fit(docs: DataFrame, order: int = 4, most_docs: int = 1500, held_back: int =
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 own = found.setdefault(lang, Counter())
-                for run in _LETTERS.findall(text):
+                for run in _LETTERS.findall(" ".join(p for p in text.split() if not _DIGIT.search(p))):
                     run = MARK + run.lower() + MARK
                     own.update(run[max(0, e - order) : e] for e in range(2, len(run) + 1))
         for lang, own in found.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(own), pa.string()), "gram": pa.array(own.keys(), pa.string()), "n": pa.array(own.values(), pa.int64())})
 
+    def build(table: pa.Table) -> pa.Table:
+        model = CharModel(dict(zip(table.column("gram").to_pylist(), table.column("n").to_pylist())), order)
+        return pa.table({"lang": table.column("lang")[:1], "model": pa.array([pickle.dumps(model)], pa.binary())})
+
     grams = sample.where(~F.col("back")).select("text", "lang").mapInArrow(count, "lang string, gram string, n long")
-    table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count).toArrow()
-    models = {}
-    for lang in table.column("lang").unique().to_pylist():
-        own = table.filter(pc.equal(table.column("lang"), lang))
-        models[lang] = CharModel(dict(zip(own.column("gram").to_pylist(), own.column("n").to_pylist())), order)
+    sums = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
+    models = {r.lang: pickle.loads(r.model) for r in sums.groupBy("lang").applyInArrow(build, "lang string, model binary").collect()}
     identifier = Identifier(models, order)
     if models:
-        _calibrate(identifier, sample.where("back").select("text", "lang"), slack)
+        _calibrate(identifier, sample.where("back").select("text", "lang"), false_rejections)
     return identifier
 
 
-def _calibrate(identifier: Identifier, held: DataFrame, slack: float) -> None:
-    """Limits and scale from documents that the models haven't seen; the driver gets a few numbers for each."""
+def negatives(text: str, seed: int = 0) -> dict[str, str]:
+    """Texts of no language from one of a language: its letters shuffled within words, and drawn at random."""
+    draw = random.Random(f"{seed}:{len(text)}:{text[:50]}")
+    letters = sorted(set("".join(_LETTERS.findall(text.lower())))) or ["x"]
+    shuffled = lambda m: "".join(draw.sample(m[0], len(m[0])))
+    return {"shuffled": _LETTERS.sub(shuffled, text), "random": _LETTERS.sub(lambda m: "".join(draw.choices(letters, k=len(m[0]))), text)}
+
+
+def _calibrate(identifier: Identifier, held: DataFrame, false_rejections: float) -> None:
+    """Limit and scale from documents that the models haven't seen; the driver gets a few numbers for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = identifier.entropies(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(h.tolist(), pa.list_(pa.float64()))], names=["lang", "h"])
-
-    rows = held.mapInArrow(run, "lang string, h array<double>").toArrow()
-    h = np.array(rows.column("h").to_pylist(), float).reshape(rows.num_rows, len(identifier.languages))
-    truth = np.array([identifier.languages.index(x) if x in identifier.languages else -1 for x in rows.column("lang").to_pylist()], int)
-    ok = (truth >= 0) & np.isfinite(h).all(1)
-    h, truth = h[ok], truth[ok]
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                kinds = {"own": text, **negatives(text)}
+                h = identifier.entropies(list(kinds.values()))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(kinds.keys()), pa.array(h.tolist(), pa.list_(pa.float64()))], names=["lang", "kind", "h"])
+
+    rows = held.mapInArrow(run, "lang string, kind string, h array<double>").toArrow()
+    every = np.array(rows.column("h").to_pylist(), float).reshape(rows.num_rows, len(identifier.languages) + 1)
+    names = {x: k for k, x in enumerate(identifier.languages)}
+    truth = np.array([names.get(x, -1) for x in rows.column("lang").to_pylist()], int)
+    kind = np.array(rows.column("kind").to_pylist(), str)
+    usable = (truth >= 0) & np.isfinite(every).all(1)
+    own = usable & (kind == "own")
+    h, n, of = every[own, :-1], every[own, -1], truth[own]
+    right = h.argmin(1) == of
     for k in range(len(identifier.languages)):
-        own = h[truth == k, k]
-        if len(own):
-            identifier.limits[k] = np.quantile(own, 0.999) + slack
-    if len(h):
-        def loss(scale: float) -> float:
-            z = -scale * h
-            z -= z.max(1, keepdims=True)
-            return float(-(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(1))).mean())
-
-        identifier.scale = min((2.0**k for k in range(-1, 9)), key=loss)
+        x, m = h[right & (of == k), k], n[right & (of == k)]
+        if len(x) > 1:
+            # squared residuals are about between^2 + single^2 / n: a least-squares line through them, without outliers
+            centre = float(np.median(x))
+            square = np.minimum((x - centre) ** 2, np.quantile((x - centre) ** 2, 0.98))
+            slope = np.polyfit(1 / m, square, 1) if len(set(m)) > 2 else (0.0, float(square.mean()))
+            identifier.usual[k] = centre, max(np.sqrt(max(slope[1], 0.0)), 1e-2), np.sqrt(max(slope[0], 0.0))
+    if not right.any():
+        return
+    far = identifier.distance(h[right, of[right]], of[right], n[right])
+    unlike = {}
+    for name in ("shuffled", "random"):
+        some = every[usable & (kind == name)]
+        best = some[:, :-1].argmin(1)
+        unlike[name] = identifier.distance(some[np.arange(len(some)), best], best, some[:, -1])
+    if len(identifier.languages) > 1:
+        other = h.copy()
+        other[np.arange(len(h)), of] = np.inf
+        best = other.argmin(1)
+        unlike["foreign"] = identifier.distance(other[np.arange(len(h)), best], best, n)
+    low = float(np.quantile(far, 1 - false_rejections))
+    high = float(np.quantile(np.concatenate(list(unlike.values())), 0.05))
+    identifier.limit = max(low, (low + high) / 2)
+    identifier.rates = {"own": float((far > identifier.limit).mean()), **{k: float((x > identifier.limit).mean()) for k, x in unlike.items()}}
+
+    def loss(scale: float) -> float:
+        z = -scale * h
+        z -= z.max(1, keepdims=True)
+        return float(-(z[np.arange(len(z)), of] - np.log(np.exp(z).sum(1))).mean())
+
+    identifier.scale = min((2.0**k for k in range(-1, 9)), key=loss)
 
 
 def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,10 +80,60 @@ def test_the_fold_is_not_learned_from(fitted):
 
 def test_rejects_what_is_unlike_any_language(fitted, spark):
     _, identifier = fitted
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 -- !!"), (4, "ⴰⴱⴳ ⴷⴹⴻ ⴼⴽⵀ"), (5, text("de", 999))], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 -- !!"), (4, "ⴰⴱⴳ ⴷⴹⴻ ⴼⴽⵀ"), (5, text("de", 999)), (6, "a1 b2")], "doc_id long, text string")
     got = {r.id: (r.lang_pred, r.rejected) for r in langid.identify(odd, identifier).collect()}
     assert got[1] == got[2] == got[3] == ("und", True) and got[4][1] and got[5] == ("de", False)
-    assert [r.doc_id for r in langid.accepted(odd.selectExpr("*", "'' AS lang"), identifier).collect()] == [5]
+    assert got[6][0] in identifier.languages  # letters beside digits only
+    assert [r.doc_id for r in langid.accepted(odd.where("doc_id <= 5").selectExpr("*", "'' AS lang"), identifier).collect()] == [5]
+
+
+def test_rejection_rates(fitted):
+    """On texts that neither models nor limit have seen: few of a language go, most of no language do."""
+    _, identifier = fitted
+    own = [text(lang, 5000 + i, 30) for i in range(100) for lang in SYLLABLES]
+    assert np.mean(identifier.predict(own)[3]) <= 0.03
+    for kind in ("shuffled", "random"):
+        unlike = [langid.negatives(t, 1)[kind] for t in own]
+        assert np.mean(identifier.predict(unlike)[3]) >= 0.9, kind
+    assert set(identifier.rates) == {"own", "shuffled", "random", "foreign"} and identifier.rates["own"] <= 0.05
+
+
+def test_prediction_score_and_limit_as_brute_force(fitted):
+    _, identifier = fitted
+    for t in (text("en", 7000, 12), text("fr", 7001, 3), "the eau 9x9", langid.negatives(text("de", 7002, 20))["random"]):
+        runs = [r.lower() for p in t.split() if not any(c.isdigit() for c in p) for r in langid._LETTERS.findall(p)]
+        n = sum(len(r) + 1 for r in runs)
+        h = []
+        for k in range(len(identifier.languages)):
+            h.append(-sum(float(identifier.piece_scores([r])[0][k]) for r in runs) / n)
+        best = h.index(min(h))
+        score = 1 / sum(math.exp(-identifier.scale * (x - h[best])) for x in h)
+        usual, between, single = identifier.usual[best]
+        rejected = (h[best] - usual) / math.sqrt(between**2 + single**2 / n) > identifier.limit
+        lang, got, least, out = identifier.predict([t])
+        assert lang == [identifier.languages[best]] and got[0] == pytest.approx(score, abs=1e-4)
+        assert least[0] == pytest.approx(h[best], abs=1e-4) and bool(out[0]) == rejected
+
+
+def test_ties_go_to_the_first_language():
+    model = langid.CharModel({langid.MARK + "a": 3, langid.MARK + "b": 1}, 2)
+    identifier = langid.Identifier({"zz": model, "aa": model}, 2)
+    assert identifier.predict(["ab"])[0] == ["aa"] and identifier.predict(["ab"])[1][0] == pytest.approx(0.5)
+
+
+def test_sample_takes_the_least_hashes_of_each_language(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(30_000).select("id", F.when(F.col("id") % 10 > 0, "big").otherwise(F.when(F.col("id") % 1000 == 0, "small").otherwise("mid")).alias("lang"))
+    rows = keys.withColumn("h", F.xxhash64("id")).collect()
+    want = {}
+    for r in sorted(rows, key=lambda r: r.h):
+        if len(want.setdefault(r.lang, [])) < 50:
+            want[r.lang].append(r.id)
+    got = {}
+    for r in sorted(langid.sample_of(keys, 50).collect(), key=lambda r: r.r):
+        got.setdefault(r.lang, []).append(r.id)
+    assert got == want
 
 
 def test_odd_rows_and_empty_tables(odd, odd_rows, none):
