@@ -2,9 +2,13 @@
 
 * Features: words (A-Z in lower case) and pairs of neighbouring words, hashed to `buckets` places.
 * Two generative models: the share of each place among the features of the target (labelled documents of quality 1)
-  and among those of all documents, both smoothed. A document's importance weight is the ratio of its likelihoods.
-* Sampling without replacement in proportion to weights raised to `temper`: the documents with the greatest keys,
-  key = temper * log weight + Gumbel noise, stay. Noise comes from a hash of id and seed, so that reruns agree.
+  and among those of all documents, both smoothed. A document's log weight is the log ratio of its likelihoods; per
+  feature (`mean_log_ratio`) it doesn't depend on the document's length.
+* Sampling without replacement in proportion to exp(temper * mean log ratio): the documents with the greatest keys,
+  key = temper * mean log ratio + Gumbel noise, stay. Noise comes from a hash of id and seed, so that reruns agree.
+* temper says how hard the weights pull. Unless given it is fitted: the greatest of a fixed ladder of values at which
+  the weights' effective sample size, (sum w)^2 / sum w^2, is still `effective` of all documents. A greater value
+  would make the sample a plain top-k, in which noise decides nothing.
 * The k-th greatest key is found exactly by counting keys in ever narrower ranges; no keys meet in one place.
 
 `target_rows` bounds the labelled rows that are looked up (those least by hash); everything else covers all documents.
@@ -99,7 +103,26 @@ def kth_greatest(keys: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def sampled(docs: DataFrame, labels: DataFrame, share: float = 0.8, temper: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", quality_col: str = "quality", **options) -> DataFrame:
+#: Values of temper that are tried: sixth roots of two apart.
+TEMPERS = [2.0 ** (k / 6) for k in range(-36, 61)]
+
+
+def fitted_temper(found: DataFrame, effective: float) -> float:
+    """The greatest of TEMPERS at which the effective sample size is at least `effective` of all rows (0 if none is).
+
+    One pass: for each value, sums of w and w^2 relative to the greatest weight.
+    """
+    top = found.agg(F.max("mean_log_ratio")).first()[0]
+    if top is None:
+        return 0.0
+    x = F.col("mean_log_ratio") - F.lit(top)
+    sums = [f(F.exp(k * t * x)).alias(f"s{k}_{i}") for i, t in enumerate(TEMPERS) for k, f in ((1, F.sum), (2, F.sum))]
+    row = found.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    fit = [t for i, t in enumerate(TEMPERS) if row[f"s1_{i}"] ** 2 / row[f"s2_{i}"] >= effective * row.n]
+    return max(fit, default=0.0)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, share: float = 0.8, temper: float | None = None, effective: float = 0.5, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", quality_col: str = "quality", **options) -> DataFrame:
     """id, n_features, log_weight, score, sample_key, kept of every row; kept are ceil(share * rows) of the greatest keys.
 
     score is the importance weight per feature as a probability: the mean log ratio through the logistic function.
@@ -107,11 +130,12 @@ def sampled(docs: DataFrame, labels: DataFrame, share: float = 0.8, temper: floa
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     own = labels.select(F.col(label_id_col).alias("id"), F.col(quality_col).alias("quality"))
     found = weights(slim, fit(slim, own, **options))
+    mean = F.col("log_weight") / F.greatest(F.col("n_features"), F.lit(1))
+    found = written(found.withColumn("mean_log_ratio", mean).withColumn("score", 1 / (1 + F.exp(-mean))), "weights")
+    temper = fitted_temper(found, effective) if temper is None else temper
     noise = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed)), F.lit(2**52)).cast("double")
     uniform = (noise + 0.5) / 2.0**52
-    found = found.withColumn("sample_key", F.lit(float(temper)) * F.col("log_weight") - F.log(-F.log(uniform)))
-    mean = F.col("log_weight") / F.greatest(F.col("n_features"), F.lit(1))
-    found = written(found.withColumn("score", 1 / (1 + F.exp(-mean))), "weights")
+    found = found.withColumn("sample_key", F.lit(float(temper)) * F.col("mean_log_ratio") - F.log(-F.log(uniform)))
     n = found.count()
     least = kth_greatest(found, "sample_key", -int(-n * share // 1))
     kept = F.lit(False) if least is None else F.col("sample_key") >= F.lit(least)
