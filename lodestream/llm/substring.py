@@ -6,6 +6,10 @@ extended to twice that length (the last length stops at `window`), a window's na
 halves, until `window` is reached or no candidates survive. At the first length it is enough to look at the least
 name within each window of the next length, about a quarter of all positions.
 
+At the last length, where words are removed, a name has 128 bits, of two independent hashes of the words: at 1e14
+windows the chance that any two different ones share a name is below 1e-10. Before that, 64 bits do, since a shared
+name only keeps a candidate.
+
 Every level works alike. A task gathers the names of its documents, in chunks of bounded size, sorts them and settles
 within the chunk what it can: of the documents that share a name there, all but the one with the least id are
 answered at once. What is left, one document a name, goes as packed arrays to the task that owns the name's range;
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.minhash import MEMO, mixed
-from lodestream.session import small_batches, written
+from lodestream.session import discard, small_batches, written
 
 #: Names that a task holds before it settles them, and that the owner of a range gets on average; the least number of
 #: ranges, so that tables of any size are dealt widely and answers in rows of (range, document) grow with the documents.
@@ -44,8 +48,11 @@ SHORTEST = 8
 
 
 class _Names(dict):
+    def __init__(self, seed: int = 0):
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word, self.seed)
         if len(word) <= 64:
             if len(self) >= MEMO:
                 self.clear()
@@ -53,7 +60,7 @@ class _Names(dict):
         return h
 
 
-_NAMES = _Names()
+_NAMES, _SECOND = _Names(), _Names(1)
 
 
 def lengths(window: int) -> list[int]:
@@ -68,9 +75,9 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def first_names(words: list[bytes], length: int) -> np.ndarray:
+def first_names(words: list[bytes], length: int, of: _Names = _NAMES) -> np.ndarray:
     """A 64-bit name of each run of `length` words."""
-    w = np.fromiter(map(_NAMES.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
     n = len(w) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -108,12 +115,12 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def _answers(name: np.ndarray, id_: np.ndarray, at: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
+def _answers(name: np.ndarray, second: np.ndarray, id_: np.ndarray, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
     """For names in order, with ids in order within a name: which entries are answered, and which stand for their name.
 
     smaller: answered are those whose name a smaller id has; else those whose name another id has.
     """
-    starts = _runs(name)
+    starts = np.union1d(_runs(name), _runs(second))
     if not len(starts):
         return np.zeros(0, bool), np.zeros(0, bool)
     size = np.diff(np.append(starts, len(name)))
@@ -137,40 +144,44 @@ def _positions(parts: list[bytes] | None) -> np.ndarray:
     return np.concatenate([np.cumsum(np.frombuffer(p, "<i4")) for p in parts]) if parts else np.zeros(0, np.int64)
 
 
-_OUT = "range int, names binary, ids binary, keys binary, at binary"
+_OUT = "range int, names binary, seconds binary, ids binary, keys binary, at binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[], [], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4))], names=["range", "names", "ids", "keys", "at"])
+    columns = list(zip(*rows)) or [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 5))], names=["range", "names", "seconds", "ids", "keys", "at"])
 
 
-def shared_positions(docs: DataFrame, levels: list[int], smaller: bool, ranges: int, least_of: int = 1) -> DataFrame:
+def shared_positions(docs: DataFrame, levels: list[int], smaller: bool, ranges: int, least_of: int = 1, last: bool = False) -> DataFrame:
     """id, key, at: the positions of each document's windows of levels[-1] words that another (or a smaller) id shares.
 
     docs has id, key, text and, after the first level, `known`: the positions that survived the level before. least_of over
-    1 looks only at the least name within that many consecutive windows.
+    1 looks only at the least name within that many consecutive windows. `last` names windows by 128 bits.
     """
     final, first = levels[-1], len(levels) == 1
 
-    def settle(names: list[np.ndarray], ids: list[np.ndarray], keys: list[np.ndarray], ats: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        name, id_, key, at = (np.concatenate(x) for x in (names, ids, keys, ats))
-        order = np.lexsort((id_, name))
-        name, id_, key, at = name[order], id_[order], key[order], at[order]
-        told, leads = _answers(name, id_, at, smaller)
+    def in_order(*columns: list[np.ndarray]) -> list[np.ndarray]:
+        """Name, second, id, key, at by name and id."""
+        x = [np.concatenate(c) for c in columns]
+        order = np.lexsort((x[2], x[1], x[0]) if last else (x[2], x[0]))
+        return [c[order] for c in x]
+
+    def settle(*columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        name, second, id_, key, at = in_order(*columns)
+        told, leads = _answers(name, second, id_, smaller)
         rows = []
-        for k, (doc, own_key, positions) in enumerate(zip(*_by_document(id_[told], key[told], at[told]))):
-            rows.append((k % ranges, None, np.int64(doc).tobytes(), np.int64(own_key).tobytes(), positions))
+        for doc, own_key, positions in zip(*_by_document(id_[told], key[told], at[told])):
+            rows.append((xxhash.xxh3_64_intdigest(f"{doc} {own_key}") % ranges, None, None, np.int64(doc).tobytes(), np.int64(own_key).tobytes(), positions))
         # a name that is settled as shared still leads, for documents of other chunks
-        name, id_, key, at = name[leads], id_[leads], key[leads], at[leads]
+        name, second, id_, key, at = (x[leads] for x in (name, second, id_, key, at))
         owner = ((name >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         cuts = np.searchsorted(owner, np.arange(1, ranges, dtype=np.uint64))
-        rows += [(k, n.tobytes(), i.tobytes(), y.tobytes(), a.astype("<i4").tobytes()) for k, (n, i, y, a) in enumerate(zip(*(np.split(x, cuts) for x in (name, id_, key, at)))) if len(n)]
+        rows += [(k, n.tobytes(), s.tobytes() if last else None, i.tobytes(), y.tobytes(), a.astype("<i4").tobytes()) for k, (n, s, i, y, a) in enumerate(zip(*(np.split(x, cuts) for x in (name, second, id_, key, at)))) if len(n)]
         for k in range(0, len(rows), 2000):
             yield _batch(rows[k : k + 2000])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids, keys, ats, held = [], [], [], [], 0
+        names, seconds, ids, keys, ats, held = [], [], [], [], [], 0
         for batch in batches:
             known = None if first else batch.column("known")
             for k, (doc, key, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"))):
@@ -184,33 +195,33 @@ def shared_positions(docs: DataFrame, levels: list[int], smaller: bool, ranges:
                     at = candidates(words, levels, _positions(known[k].as_py()), least_of)
                 if len(at):
                     names.append(x[at])
+                    seconds.append(first_names(words, final, _SECOND)[at] if last else np.zeros(len(at), np.uint64))
                     ids.append(np.full(len(at), doc, np.int64))
                     keys.append(np.full(len(at), key, np.int64))
                     ats.append(at)
                     held += len(at)
                 if held >= CHUNK:
-                    yield from settle(names, ids, keys, ats)
-                    names, ids, keys, ats, held = [], [], [], [], 0
+                    yield from settle(names, seconds, ids, keys, ats)
+                    names, seconds, ids, keys, ats, held = [], [], [], [], [], 0
         if held:
-            yield from settle(names, ids, keys, ats)
+            yield from settle(names, seconds, ids, keys, ats)
 
     def own(table: pa.Table) -> pa.Table:
-        docs_, texts, positions, names, ids, keys, ats = [], [], [], [], [], [], []
-        for n, i, y, a in zip(*(table.column(c).to_pylist() for c in ("names", "ids", "keys", "at"))):
+        docs_, texts, positions, names, seconds, ids, keys, ats = [], [], [], [], [], [], [], []
+        for n, s, i, y, a in zip(*(table.column(c).to_pylist() for c in ("names", "seconds", "ids", "keys", "at"))):
             if n is None:
                 docs_.append(int(np.frombuffer(i, "<i8")[0]))
                 texts.append(int(np.frombuffer(y, "<i8")[0]))
                 positions.append(a)
             else:
                 names.append(np.frombuffer(n, "<u8"))
+                seconds.append(np.frombuffer(s, "<u8") if last else np.zeros(len(names[-1]), np.uint64))
                 ids.append(np.frombuffer(i, "<i8"))
                 keys.append(np.frombuffer(y, "<i8"))
                 ats.append(np.frombuffer(a, "<i4"))
         if names:
-            name, id_, key, at = (np.concatenate(x) for x in (names, ids, keys, ats))
-            order = np.lexsort((id_, name))
-            name, id_, key, at = name[order], id_[order], key[order], at[order]
-            told, _ = _answers(name, id_, at, smaller)
+            name, second, id_, key, at = in_order(names, seconds, ids, keys, ats)
+            told, _ = _answers(name, second, id_, smaller)
             more = _by_document(id_[told], key[told], at[told].astype(np.int64))
             docs_, texts, positions = docs_ + more[0], texts + more[1], positions + more[2]
         return pa.table({"id": pa.array(docs_, pa.int64()), "key": pa.array(texts, pa.int64()), "at": pa.array(positions, pa.binary())})
@@ -239,10 +250,11 @@ def repeated_windows(docs: DataFrame, window: int, smaller: bool = True) -> Data
     docs = docs.where(F.col("id").isNotNull())
     sparse = levels[1] - levels[0] + 1 if len(levels) > 1 else 1
     share = 2 / (sparse + 1)
-    now = docs
+    now, found = docs, None
     for k in range(1, len(levels) + 1):
         ranges = max(RANGES, round(chars / 6 * share / RANGE))
-        found = written(shared_positions(now, levels[:k], smaller and k == len(levels), ranges, sparse if k <= 2 else 1), "repeats")
+        found, before = written(shared_positions(now, levels[:k], smaller and k == len(levels), ranges, sparse if k <= 2 else 1, k == len(levels)), "repeats"), found
+        discard(before)
         if k == len(levels) or found.isEmpty():
             return found
         now = docs.join(found.withColumnRenamed("at", "known").hint("merge"), ["id", "key"])

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from lodestream.llm import substring
@@ -53,6 +54,20 @@ def test_one_id_on_texts_of_other_lengths(spark):
         assert sorted(map(tuple, substring.remove_repeats(df, window).collect()), key=str) == brute(rows, window)
 
 
+def test_names_that_clash_remove_nothing(spark):
+    """Four different first names only: the second half of a name still tells windows apart."""
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(40))) for i in range(6)] + [(9, " ".join(f"w2_{k}" for k in range(5, 30)))]
+    words = [t.encode().split() for _, t in rows]
+    name = np.concatenate([substring.level_names(w, [7, 13]) % np.uint64(4) for w in words])
+    second = np.concatenate([substring.first_names(w, 13, substring._SECOND) for w in words])
+    id_ = np.concatenate([np.full(len(w) - 12, i) for (i, _), w in zip(rows, words)])
+    order = np.lexsort((id_, second, name))
+    told, _ = substring._answers(name[order], second[order], id_[order], True)
+    assert sorted(id_[order][told]) == [9] * 13
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, substring.remove_repeats(df).collect()), key=str) == brute(rows, 13)
+
+
 def test_levels_double():
     assert substring.lengths(13) == [7, 13] and substring.lengths(50) == [7, 13, 25, 50] and substring.lengths(5) == [5]
     words = [f"w{i}".encode() for i in range(60)]
