@@ -45,6 +45,23 @@ def test_a_group_with_chains_and_misses(spark):
     assert sorted(map(tuple, minhash.groups(df).collect()), key=str) == brute(rows)
 
 
+def test_blocks_and_small_hubs_do_not_change_the_groups(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    base = [f"w{r.randrange(10_000)}" for _ in range(100)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(r.choice([3, 4, 5, 6, 7, 8])):
+            t[r.randrange(100)] = f"v{r.randrange(2000)}"
+        rows.append((i, " ".join(t[: r.choice([100, 96, 88, 80])])))
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(minhash, "SALT_ROWS", 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, minhash.groups(df).collect()), key=str) == brute(rows)
+
+
 def test_min_and_max_estimate_similarity():
     a = minhash.shingle_set(" ".join(f"w{i}" for i in range(1000)), 5)
     b = minhash.shingle_set(" ".join(f"w{i}" for i in range(200, 1200)), 5)
