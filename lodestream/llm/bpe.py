@@ -13,6 +13,7 @@ Defined results
 * null and empty texts have no tokens; both digests are then those of the empty string.
 * an added token's string within a text is that one token, as in the tokenizers library.
 * very long words are merged with a heap, in n log n.
+* tokenizer files with settings that this operator doesn't know are refused.
 * repeated rows are encoded alike; null ids are carried; other columns are never looked at.
 """
 
@@ -64,14 +65,17 @@ class ByteBpe:
         pre, model = spec["pre_tokenizer"], spec["model"]
         if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or model["type"] != "BPE":
             raise ValueError("this operator reads byte-level BPE without normaliser or prefix space")
+        if model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+            raise ValueError("dropout, ignored merges, byte fallback, affixes of subwords and other decoders aren't supported")
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens with strip or word rules aren't supported")
-        self.disputed = self._disputed()
+        self.pattern = self._pattern()
 
-    def _disputed(self) -> str:
-        """A character class of code points that the library's tables and `regex` class differently, found by probing.
+    def _pattern(self) -> str:
+        """SPLIT with the classes of the tokenizer's own Unicode tables, which may be of another version than those of `regex`.
 
-        A run of one class is one piece for the library unless a code point of another class breaks it.
+        The code points that the two class differently are found by probing: a run of one class is one piece for the
+        tokenizer unless a code point of another class breaks it. Each of those is then probed beside every class.
         """
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -83,17 +87,30 @@ class ByteBpe:
                 run = anchor + "".join(kind.findall(some))
                 if len(split.pre_tokenize_str(run)) > 1:
                     odd += [ord(c) for c in run if c not in "'\n\t " and len(split.pre_tokenize_str(anchor + c + anchor)) > 1]
-        odd = sorted(set(odd))
-        ranges = []
-        for c in odd:
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-        return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]" if ranges else ""
+        moved: dict[str, list[int]] = {anchor: [] for anchor, _ in kinds}
+        for c in sorted(set(odd)):
+            own = [anchor for anchor in "a1!" if len(split.pre_tokenize_str(anchor + chr(c) + anchor)) == 1]
+            moved[own[0] if own else " "].append(c)
+
+        def ranges(codes: list[int]) -> str:
+            out: list[list[int]] = []
+            for c in codes:
+                if out and out[-1][1] == c - 1:
+                    out[-1][1] = c
+                else:
+                    out.append([c, c])
+            return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+        if not odd:
+            return SPLIT
+        every = ranges(sorted(set(odd)))
+        of = {k: f"[[{name}--[{every}]]" + (f"||[{ranges(moved[anchor])}]" if moved[anchor] else "") + "]" for anchor, k, name in (("a", "L", r"\p{L}"), ("1", "N", r"\p{N}"), (" ", "S", r"\s"))}
+        other = f"[^{of['S']}{of['L']}{of['N']}]"
+        not_space = f"[^{of['S']}]"
+        return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{of['L']}+| ?{of['N']}+| ?{other}+|{of['S']}+(?!{not_space})|{of['S']}+"
 
     def __getstate__(self) -> dict:
-        return {"json": self.json, "disputed": self.disputed}
+        return {"json": self.json, "pattern": self.pattern}
 
     def open(self) -> ByteBpe:
         """Build the tables for use; cheap enough for once a worker."""
@@ -115,18 +132,9 @@ class ByteBpe:
         for token, i in self.added.items():
             self.piece[i] = token.encode()
         self.added_at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.split = regex.compile(SPLIT).findall
-        self.odd = re.compile(self.disputed) if self.disputed else None
+        self.words = regex.compile(self.pattern).findall  # pieces that are merged on their own, between added tokens
         return self
 
-    def words(self, text: str) -> list[str]:
-        """The pieces that are merged on their own; added tokens' strings must have been cut out before."""
-        if self.odd and not text.isascii() and self.odd.search(text):
-            from tokenizers.pre_tokenizers import ByteLevel
-
-            return [text[a:b] for _, (a, b) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
-        return self.split(text)
-
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair of least rank, leftmost first, is merged until none is left."""
         ids = [self.byte_id[b] for b in word]

@@ -47,6 +47,26 @@ def test_encodes_as_the_library_does(library, tables, tmp_path):
         assert tables.decode(own) == library.decode(ids, skip_special_tokens=False), t
 
 
+def test_every_code_point_is_split_as_the_library_does(library, tables):
+    """Each assigned or unassigned code point between letters, digits, spaces and marks."""
+    split = library.pre_tokenizer.pre_tokenize_str
+    for block in range(0, 0x110000, 0x400):
+        if not 0xD800 <= block < 0xE000:
+            text = "".join(f"a{chr(c)}a 1{chr(c)}1!{chr(c)}! {chr(c)} " for c in range(block, block + 0x400) if c not in (0x3C, 0x7C, 0x3E))
+            assert tables.words(text) == [text[a:b] for _, (a, b) in split(text)], hex(block)
+
+
+def test_refuses_settings_that_it_does_not_know(tmp_path):
+    import json
+
+    for change in ({"dropout": 0.1}, {"byte_fallback": True}, {"ignore_merges": True}, {"end_of_word_suffix": "</w>"}):
+        spec = json.loads(open(PATH, encoding="utf-8").read())
+        spec["model"] |= change
+        (tmp_path / "t.json").write_text(json.dumps(spec))
+        with pytest.raises(ValueError):
+            bpe.ByteBpe(str(tmp_path / "t.json"))
+
+
 def test_decodes_any_ids_as_the_library_does(library, tables):
     r = random.Random(8)
     for _ in range(2000):
