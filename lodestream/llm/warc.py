@@ -48,18 +48,21 @@ def _block(first: str, pairs: list[tuple[str, str]]) -> bytes:
     return "".join([first, *(f"{k}: {v}\r\n" for k, v in pairs), "\r\n"]).encode()
 
 
-def record_bytes(id_: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = "2024-01-01T00:00:00Z") -> bytes:
-    """One record as a gzip member. A revisit keeps the HTTP headers, with the length of the payload it leaves out."""
+def record_bytes(id_: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = "2024-01-01T00:00:00Z", refers_url: str | None = None, copy: int = 0) -> bytes:
+    """One record as a gzip member. A revisit keeps the HTTP headers, with the length of the payload it leaves out.
+
+    A record is named by id, address and payload; `copy` numbers rows that repeat all three.
+    """
     http = _block("HTTP/1.1 200 OK\r\n", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))])
     content = http if revisit else http + payload
-    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    named = lambda i: "<urn:x-page:null>" if i is None else f"<urn:x-page:{i}>"
+    address = lambda u: (u or "").replace("\r", "%0D").replace("\n", "%0A")
+    named = lambda i, u, c=0: f"<urn:x-page:{'null' if i is None else i}:{hashlib.sha256(f'{u} {digest}'.encode()).hexdigest()[:32]}{f':{c}' if c else ''}>"
     pairs = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", named(id_)), ("WARC-Date", date), ("WARC-Target-URI", target),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", named(id_, url, copy)), ("WARC-Date", date), ("WARC-Target-URI", address(url)),
         ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(content).hexdigest()}"),
     ]
     if revisit:
-        pairs += [("WARC-Refers-To", named(refers_to)), ("WARC-Profile", PROFILE)]
+        pairs += [("WARC-Refers-To", named(refers_to, refers_url)), ("WARC-Refers-To-Target-URI", address(refers_url)), ("WARC-Profile", PROFILE)]
     head = _block(VERSION.decode(), [*pairs, ("Content-Length", str(len(content)))])
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(head + content + END) + packer.flush()
@@ -145,7 +148,17 @@ def records(raw: BinaryIO) -> Iterator[Record]:
         yield Record(headers, http, payload)
 
 
+#: Names that Spark's paths have for stores which Arrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfs", "wasbs": "abfs"}
+
+
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and the place in it; DBFS paths are looked for under their mount."""
+    scheme, mark, rest = folder.partition("://")
+    if mark and scheme in SCHEMES:
+        folder = f"{SCHEMES[scheme]}://{rest}"
+    elif folder.startswith("dbfs:/"):
+        folder = "/dbfs/" + folder[6:].lstrip("/")
     return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}" if folder.startswith("/") else folder.replace("file:/", "file:///", 1))
 
 
@@ -155,25 +168,30 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("n"))
-    firsts = slim.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    firsts = firsts.select(F.upper("digest").alias("key"), "first")
-    rows = slim.join(firsts.hint("merge"), F.upper("digest") == F.col("key"), "left").select("id", "url", "payload", "digest", "first", (F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).alias("revisit"))
+    lead = F.min_by(F.struct("id", "url"), F.struct(F.col("id").isNull(), "id", "url")).alias("lead")
+    firsts = slim.where(F.col("n") >= least_bytes).groupBy("digest").agg(lead, F.count(F.lit(1)).alias("k")).where("k > 1")
+    firsts = firsts.select(F.upper("digest").alias("key"), F.col("lead.id").alias("first"), F.col("lead.url").alias("first_url"))
+    # rows that repeat id, address and payload stand together, and are numbered
+    rows = slim.join(firsts.hint("merge"), F.upper("digest") == F.col("key"), "left").select("id", "url", "payload", "digest", "first", "first_url", (F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).alias("revisit")).sortWithinPartitions("digest", "id", "url")
     _place(folder)[0].create_dir(_place(folder)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _place(folder)
         out, name, n, size = None, "", 0, 0
+        last, copy = None, 0
 
         def told() -> pa.RecordBatch:
             out.close()
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
         for batch in batches:
-            for id_, url, text, digest, first, revisit in zip(*(batch.column(c) for c in ("id", "url", "payload", "digest", "first", "revisit"))):
+            for id_, url, text, digest, first, first_url, revisit in zip(*(batch.column(c) for c in ("id", "url", "payload", "digest", "first", "first_url", "revisit"))):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{top}/{name}", compression=None)
-                data = record_bytes(id_.as_py(), url.as_py(), text.as_py().encode(), digest.as_py(), first.as_py(), revisit.as_py())
+                key = id_.as_py(), url.as_py(), digest.as_py()
+                last, copy = key, copy + 1 if key == last else 0
+                data = record_bytes(*key[:2], text.as_py().encode(), key[2], first.as_py(), revisit.as_py(), refers_url=first_url.as_py(), copy=copy)
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= ARCHIVE:
@@ -194,7 +212,7 @@ def read_archives(archives: DataFrame, path_col: str = "path") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = ["id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-        number = lambda x: None if x in (None, "<urn:x-page:null>") else int(x.strip("<>").rsplit(":", 1)[1])
+        number = lambda x: None if x is None or x.startswith("<urn:x-page:null:") else int(x.split(":")[2])
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)

@@ -60,3 +60,31 @@ def test_round_trip_of_pages(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     none = warc.write_archives(pages.limit(0))
     assert none.count() == 0 and warc.read_archives(none).count() == 0
+
+
+def test_names_are_unique_and_revisits_name_their_response(spark, tmp_path):
+    long = "z" * 200
+    rows = [(1, "u1", long), (1, "u1", long), (1, "other", long), (2, "u2", long), (2, "u2", "short"), (3, "u3", "short"), (None, "n", long)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    found = [r.headers for a in archives.collect() for r in warc.read_bytes(open(a.path[7:], "rb").read())]
+    names = [h["warc-record-id"] for h in found]
+    assert len(set(names)) == len(rows)
+    revisits = [h for h in found if h["warc-type"] == "revisit"]
+    assert len(revisits) == 2 and all(h["warc-refers-to"] in names and h["warc-refers-to-target-uri"] in ("u1", "other") for h in revisits)
+
+
+def test_more_than_one_archive_and_a_very_long_record(spark, monkeypatch, tmp_path):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, f"u{i}", "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=200_000))) for i in range(6)] + [(9, "u9", "long " * 4_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "ARCHIVE", 300_000)
+    archives = warc.write_archives(pages, f"file://{tmp_path}/w")
+    assert archives.count() >= 2 and archives.agg({"records": "sum"}).first()[0] == 7
+    got = {x.id: x for x in warc.read_archives(archives).select("id", "payload_bytes", "payload_digest").collect()}
+    assert all(got[i].payload_bytes == len(t) and got[i].payload_digest == sha(t.encode()) for i, _, t in rows)
+
+
+def test_places_of_stores():
+    assert warc._place("file:///tmp/x")[1] == "/tmp/x" and warc._place("dbfs:/a/b")[1] == "/dbfs/a/b" and warc._place("/a/b")[1] == "/a/b"
