@@ -9,7 +9,8 @@
   scaled to the target, is the source's cumulative demand; inverting it at the middle of what a document takes in an
   epoch gives the document's training position in that epoch. Documents are range-sorted by position.
 
-A source may hold any share of the rows: running totals come from totals of (source, slot) cells, whose number grows
+Targets are found by windows over one row a source, in one task: that is meant for up to some millions of sources. A
+source may hold any share of the rows: running totals come from totals of (source, slot) cells, whose number grows
 with the table, so that no task orders a whole source.
 
 Defined results
@@ -21,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,3 +136,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     same = docs[id_col].eqNullSafe(F.col("__id")) & (word_count(docs[text_col]) == F.col("__size")) & docs[source_col].eqNullSafe(F.col("__source"))
     out = docs.join(chosen, same).select(*[docs[c] for c in docs.columns], F.explode("__positions").alias("__position"))
     return out.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
+
+
+def positions(mixed: DataFrame) -> DataFrame:
+    """A table that `mix` was written to, with each row's `position` in the training order, from 0.
+
+    The order is that of the files' names and of the rows in each. The window runs over one row a file. Where rows
+    don't come from files, the order is that of the DataFrame's own partitions.
+    """
+    try:
+        rows = mixed.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        rows = mixed.withColumn("__id", F.monotonically_increasing_id())
+        rows = rows.withColumn("__file", F.lpad(F.shiftright("__id", 33).cast("string"), 12, "0")).withColumn("__row", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
+    files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    starts = files.select(F.upper("__file").alias("__key"), (F.sum("__n").over(W.orderBy("__file")) - F.col("__n")).alias("__start"))
+    return rows.join(F.broadcast(starts), F.upper("__file") == F.col("__key")).withColumn("position", F.col("__start") + F.col("__row")).drop("__file", "__row", "__key", "__start")

@@ -75,12 +75,23 @@ def test_inverse_meets_the_integral(spark):
 
 
 def test_mix_is_in_training_order(odd, none):
+    """The rows come in the order of the plan's positions, also when read again from files."""
     planned = mixing.plan(odd).where("taken > 0").collect()
     out = mixing.mix(odd)
     assert out.columns == odd.columns
-    want = [i for _, i in sorted((p, str(r.id)) for r in planned for p in r.positions)]
-    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(want)
-    assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
+    at = {}
+    for r in planned:
+        at.setdefault((r.id, r.source, r.size), set()).update(r.positions)
+    key = lambda r: (r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")))
+    assert sorted(map(str, (key(r) for r in out.collect()))) == sorted(str((r.id, r.source, r.size)) for r in planned for _ in r.positions)
+    from lodestream.session import written
+
+    for rows in (out.collect(), [r for r in mixing.positions(written(out, "mixed")).orderBy("position").collect()]):
+        now = -1.0
+        for r in rows:  # each row can stand at one of its document's positions without going back
+            now = min(p for p in at[key(r)] if p >= now)
+    assert [r.position for r in mixing.positions(out).select("position").orderBy("position").collect()] == list(range(out.count()))
+    assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0 and mixing.positions(none).count() == 0
 
 
 def test_sources_without_words(spark):
