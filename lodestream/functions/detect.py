@@ -15,14 +15,20 @@ LINE_KINDS = {
     "tabular": (r"^[^|\n]*( \| [^|\n]*)+$", 0.5),
     "code": (r"^ *(def |class |import |from [a-z_.]+ import |function |const |let |var |public |private |fn |func |package |#include)", 0.15),
 }
-#: What changes between otherwise equal texts.
+#: What changes between otherwise equal texts. Look-arounds and \b are Java's; boundaries are of ASCII words.
 VOLATILE = {
     "uuid": r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    "datetime": r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}",
-    "version": r"v[0-9]+[.][0-9]+([.][0-9]+)?",
-    "hex_long": r"[0-9a-f]{32,64}",
-    "jwt": r"eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+",
-    "number": r"[0-9]{10,13}",
+    "datetime": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?",
+    "date": r"\d{4}-\d{2}-\d{2}(?!\d)",
+    "unix_timestamp": r"(?<![0-9])\d{10,13}(?![0-9])",
+    "time": r"(?<![0-9])\d{1,2}:\d{2}(?::\d{2})?(?:\s*(?:AM|PM|am|pm))?(?![0-9])",
+    "version": r"\bv\d+\.\d+(?:\.\d+)?(?:-[a-zA-Z0-9.]+)?",
+    "api_key": r"\b(?:sk|pk|api|key|token|bearer|auth)[-_][a-zA-Z0-9]{16,}",
+    "prefixed_id": r"\b[a-z]{2,6}_[a-zA-Z0-9]{8,}",
+    "hex_32": r"\b[a-fA-F0-9]{32}\b",
+    "hex_40": r"\b[a-fA-F0-9]{40}\b",
+    "hex_64": r"\b[a-fA-F0-9]{64}\b",
+    "jwt": r"eyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+",
 }
 STRUCTURE = {"question": r"[?]", "bullet": r"(?m)^ *[-*] ", "numbered": r"(?m)^ *[0-9]+[.)] ", "fence": r"```", "heading": r"(?m)^#{1,6} ", "must": r"(must|should|never|always|only)"}
 PATH_KINDS = {

@@ -69,14 +69,29 @@ def capture_diff(spark, sf_dir):
     return e.groupBy("user_id").agg(F.sum(side(F.lit(1))).cast("long").alias("n_delta"), F.round(F.sum(side(F.col("value").cast("decimal(28,2)"))).cast("double"), 2).alias("total_delta"))
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, lower(trim(text, ' ')) AS t, lag(lower(trim(text, ' '))) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)
-SELECT conv_id, turn, regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g') = regexp_replace(b, '[ \t\n\x0B\f\r]+', ' ', 'g') AS exact, contains(t, b) OR contains(b, t) AS contained FROM c WHERE b IS NOT NULL""")
+@query(r"""WITH c AS (SELECT conv_id, turn, lower(trim(text, ' ')) AS t, lag(lower(trim(text, ' '))) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+w AS (SELECT conv_id, turn, t, b, regexp_extract_all(t, '[a-z0-9_]+') AS ts, regexp_extract_all(b, '[a-z0-9_]+') AS bs FROM c WHERE b IS NOT NULL),
+k AS (SELECT conv_id, turn, x, count(*) FILTER (side = 1) AS n, count(*) FILTER (side = 2) AS m FROM (SELECT conv_id, turn, unnest(ts) AS x, 1 AS side FROM w UNION ALL SELECT conv_id, turn, unnest(bs), 2 FROM w) GROUP BY conv_id, turn, x),
+f AS (SELECT conv_id, turn, sum(least(n, m)) AS common FROM k GROUP BY conv_id, turn),
+e AS (SELECT w.conv_id, w.turn, regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g') = regexp_replace(b, '[ \t\n\x0B\f\r]+', ' ', 'g') AS exact, contains(t, b) OR contains(b, t) AS contained,
+  CASE WHEN len(ts) + len(bs) = 0 THEN 0 ELSE round(2.0::DOUBLE * coalesce(common, 0)::DOUBLE / (len(ts) + len(bs)), 6) END::DOUBLE AS f1 FROM w LEFT JOIN f ON w.conv_id = f.conv_id AND w.turn = f.turn)
+SELECT *, exact OR f1 >= 0.7 OR contained AS equivalent FROM e""")
 def answer_equivalence(spark, sf_dir):
-    """Whether a text says what the one before it says, or holds it whole."""
+    """Whether a text says what the one before it says: the same, most of its words, or all of it.
+
+    There is no model here for similarity of meaning; its place among the limbs is left out.
+    """
     low = F.trim(F.lower("text"))
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", low.alias("t"), F.lag(low).over(W.partitionBy("conv_id").orderBy("turn")).alias("b"), F.col("text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", low.alias("t"), F.lag(low).over(W.partitionBy("conv_id").orderBy("turn")).alias("b")).where("b IS NOT NULL")
     t, b = F.col("t"), F.col("b")
-    return c.where("b IS NOT NULL").select("conv_id", "turn", (T.normalised(t) == T.normalised(b)).alias("exact"), (F.contains(t, b) | F.contains(b, t)).alias("contained"))
+    words = lambda x: F.regexp_extract_all(x, F.lit("[a-z0-9_]+"), F.lit(0))
+    count = lambda x, w: F.size(F.filter(x, lambda y: y == w))
+    common = F.aggregate(F.array_distinct("ts"), F.lit(0), lambda a, w: a + F.least(count(F.col("ts"), w), count(F.col("bs"), w)))
+    c = c.withColumn("ts", words(t)).withColumn("bs", words(b))
+    both = F.size("ts") + F.size("bs")
+    f1 = F.when(both == 0, 0.0).otherwise(F.round(2.0 * common / both, 6))
+    exact, contained = T.normalised(t) == T.normalised(b), F.contains(t, b) | F.contains(b, t)
+    return c.select("conv_id", "turn", exact.alias("exact"), contained.alias("contained"), f1.alias("f1")).withColumn("equivalent", F.col("exact") | (F.col("f1") >= 0.7) | F.col("contained"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z0-9]{8,}'), lambda w: regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[0-9]')) AS ws FROM documents)

@@ -30,9 +30,26 @@ def content_cascade(spark, sf_dir):
     return both.select("id", detect.content_kind(F.col("text")).alias("kind"))
 
 
-@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS n_{k}" for k, p in detect.VOLATILE.items()) + " FROM documents")
+@query(r"""WITH h AS (SELECT item_id, (['a1b2c3d4-0000-1111-2222-333344445555', '2024-05-06T07:08:09Z', '2024-05-06', '1700000000', '12:34:56', 'v1.2.3', 'sk-abcdefghij0123456789', 'req_abcdefgh12', 'd41d8cd98f00b204e9800998ecf8427e', 'da39a3ee5e6b4b0d3255bfef95601890afd80709', 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855', 'eyJhbGci.eyJzdWIi.sig_1', 'v12 12345678901234 x1:2'])[1 + item_id % 13] AS x FROM benchmark)
+SELECT item_id, (x LIKE 'a1b2%')::INT AS n_uuid, (x LIKE '%T07%')::INT AS n_datetime, (x LIKE '2024%')::INT AS n_date, (x = '1700000000' OR x LIKE 'a1b2%' OR x LIKE 'sk-%')::INT AS n_unix_timestamp, (x = '12:34:56' OR x LIKE '%T07%')::INT AS n_time,
+ (x = 'v1.2.3')::INT AS n_version, (x LIKE 'sk-%')::INT AS n_api_key, (x LIKE 'req%')::INT AS n_prefixed_id, (x LIKE 'd41d%')::INT AS n_hex_32, (x LIKE 'da39%')::INT AS n_hex_40, (x LIKE 'e3b0%')::INT AS n_hex_64, (x LIKE 'eyJ%')::INT AS n_jwt FROM h""")
+def dynamic_kinds(spark, sf_dir):
+    """Each kind of changing value at a place of its own, as listed by hand, and values that are none."""
+    given = (
+        "a1b2c3d4-0000-1111-2222-333344445555", "2024-05-06T07:08:09Z", "2024-05-06", "1700000000", "12:34:56", "v1.2.3", "sk-abcdefghij0123456789", "req_abcdefgh12",
+        "d41d8cd98f00b204e9800998ecf8427e", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "eyJhbGci.eyJzdWIi.sig_1", "v12 12345678901234 x1:2",
+    )
+    x = F.element_at(F.array(*map(F.lit, given)), (F.col("item_id") % len(given) + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select("item_id", *[F.regexp_count(x, F.lit(p)).alias(f"n_{k}") for k, p in detect.VOLATILE.items()])
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}')) AS n_uuid, len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 10 AND 13)) AS n_unix_timestamp,
+ len(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: regexp_full_match(x, '[a-fA-F0-9]{32}'))) AS n_hex_32, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: regexp_full_match(x, '[a-fA-F0-9]{40}'))) AS n_hex_40, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: regexp_full_match(x, '[a-fA-F0-9]{64}'))) AS n_hex_64,
+ len(regexp_extract_all(text, 'eyJ[a-zA-Z0-9_-]+[.]eyJ[a-zA-Z0-9_-]+[.][a-zA-Z0-9_-]+')) AS n_jwt FROM documents""")
 def dynamic_patterns(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.regexp_count("text", F.lit(p)).alias(f"n_{k}") for k, p in detect.VOLATILE.items()])
+    """How many values of some kinds that change a text holds; the SQL reads whole words and runs instead of boundaries."""
+    kinds = ("uuid", "unix_timestamp", "hex_32", "hex_40", "hex_64", "jwt")
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.regexp_count("text", F.lit(detect.VOLATILE[k])).alias(f"n_{k}") for k in kinds])
 
 
 @query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS n_{k}" for k, p in detect.STRUCTURE.items()) + " FROM documents")

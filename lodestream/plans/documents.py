@@ -83,11 +83,11 @@ def token_f1(spark, sf_dir):
 
 
 @query(f"""{_TURNS}, w AS (SELECT conv_id, turn, {_WORDS.format("text")} AS o, {_WORDS.format("before")} AS c FROM p),
-g AS (SELECT conv_id, turn, CASE WHEN len(o) < 3 THEN [] ELSE list_transform(range(1, len(o) - 1), lambda i: array_to_string(o[i:i + 2], ' ')) END AS og,
-  CASE WHEN len(c) < 3 THEN [] ELSE list_transform(range(1, len(c) - 1), lambda i: array_to_string(c[i:i + 2], ' ')) END AS cg FROM w)
+g AS (SELECT conv_id, turn, CASE WHEN len(o) < 8 THEN [] ELSE list_transform(range(1, len(o) - 6), lambda i: array_to_string(o[i:i + 7], ' ')) END AS og,
+  CASE WHEN len(c) < 8 THEN [] ELSE list_transform(range(1, len(c) - 6), lambda i: array_to_string(c[i:i + 7], ' ')) END AS cg FROM w)
 SELECT conv_id, turn, round(CASE WHEN len(og) = 0 THEN 0 ELSE len(list_filter(og, lambda x: list_contains(cg, x))) / len(og) END, 6)::DOUBLE AS echo FROM g""")
 def echo_ratio(spark, sf_dir):
-    return similarity.contained_share(_turn_pairs(spark, sf_dir), ["conv_id", "turn"], "text", "before", 3)
+    return similarity.contained_share(_turn_pairs(spark, sf_dir), ["conv_id", "turn"], "text", "before", 8)
 
 
 _BM25 = f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{_TERM}') AS ts FROM documents), q AS (SELECT item_id AS query, regexp_extract_all(lower(text), '{_TERM}') AS ts FROM benchmark WHERE item_id % 50 = 0),

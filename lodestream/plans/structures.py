@@ -200,11 +200,15 @@ def anonymous_queries(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "([?&][a-z_]+)=[^&#]*", "$1=*").alias("shape"))
 
 
-@query("SELECT conv_id, turn, md5(" + "".join("regexp_replace(" for _ in detect.VOLATILE) + "text" + "".join(f", '{p}', '', 'g')" for p in detect.VOLATILE.values()) + ") AS static_md5 FROM conversations")
+#: The kinds whose patterns both engines read; look-arounds are Java's.
+_STATIC = {k: p for k, p in detect.VOLATILE.items() if "(?!" not in p and "(?<" not in p}
+
+
+@query("SELECT conv_id, turn, md5(" + "".join("regexp_replace(" for _ in _STATIC) + "text" + "".join(f", '{p}', '', 'g')" for p in _STATIC.values()) + ") AS static_md5 FROM conversations")
 def static_text(spark, sf_dir):
     """Texts without what changes between otherwise equal ones."""
     out = F.col("text")
-    for p in detect.VOLATILE.values():
+    for p in _STATIC.values():
         out = F.regexp_replace(out, p, "")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(out.cast("binary")).alias("static_md5"))
 
@@ -249,18 +253,18 @@ def assembled_messages(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("parts"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
-_GRAMS = "CASE WHEN n = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END"
+_GRAMS = "CASE WHEN len(ws) < n THEN [] ELSE list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' ')) END"
 
 
-@query(f"""WITH w AS (SELECT conv_id, turn, {_WORDS} AS ws FROM conversations), g AS (SELECT conv_id, turn, n, unnest({_GRAMS}) AS gram FROM w, (VALUES (1), (2)) AS s(n)),
+@query(f"""WITH w AS (SELECT conv_id, turn, {_WORDS} AS ws FROM conversations), g AS (SELECT conv_id, turn, n, unnest({_GRAMS}) AS gram FROM w, (VALUES (1), (2), (3), (4)) AS s(n)),
 c AS (SELECT conv_id, turn, n, gram, count(*) AS k FROM g GROUP BY ALL),
 m AS (SELECT a.conv_id, a.turn, a.n, sum(least(a.k, coalesce(b.k, 0)))::DOUBLE / sum(a.k) AS p FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 AND a.n = b.n AND a.gram = b.gram GROUP BY ALL)
 SELECT conv_id, turn, round(exp(avg(ln(p))), 6) AS bleu FROM m WHERE p > 0 AND turn > 0 GROUP BY conv_id, turn""")
 def bleu(spark, sf_dir):
-    """Each turn against the one before it: the geometric mean of clipped precisions of words and pairs that aren't 0."""
+    """Each turn against the one before it: the geometric mean of clipped precisions of one to four words that aren't 0."""
     w = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.words(F.col("text")).alias("ws"))
-    pair = F.transform(F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", 2, F.size("ws")).alias("b")), lambda z: F.concat(z["a"], F.lit(" "), z["b"]))
-    both = F.array(F.struct(F.lit(1).alias("n"), F.col("ws").alias("gs")), F.struct(F.lit(2).alias("n"), F.filter(pair, lambda x: x.isNotNull()).alias("gs")))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, F.lit(n)), " "))
+    both = F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.size("ws") >= n, of(n)).otherwise(F.array().cast("array<string>")).alias("gs")) for n in range(1, 5)])
     g = w.select("conv_id", "turn", F.explode(both).alias("s")).select("conv_id", "turn", "s.n", F.explode("s.gs").alias("gram"))
     c = g.groupBy("conv_id", "turn", "n", "gram").agg(F.count(F.lit(1)).alias("k"))
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), "n", "gram", F.col("k").alias("seen"))
