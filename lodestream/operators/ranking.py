@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
 
+#: Terms, of 64 bytes or so each, up to which a query set's are broadcast.
+BROADCAST_TERMS = 200_000
 K1, B, LN2 = 1.5, 0.75, 0.6931471805599453
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, and the document's number of terms."""
+def term_counts(docs: DataFrame, id_col: str, text_col: str, among: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, and the document's number of terms; only of the terms in `among`, where it is given.
+
+    `among` meets the terms before they are counted, so that nothing else is shuffled; it is broadcast if it is small.
+    """
     terms = docs.select(F.col(id_col).alias("id"), T.terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
     terms = terms.select("id", F.size("terms").alias("length"), "terms")  # below the explode, which then carries no array
-    return terms.select("id", "length", F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = terms.select("id", "length", F.explode("terms").alias("term"))
+    if among is not None:
+        few = among.count() <= BROADCAST_TERMS
+        terms = terms.join(F.broadcast(among) if few else among, "term", "left_semi")
+    return terms.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def keyword_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, corpus_idf: bool = False) -> DataFrame:
@@ -24,8 +33,8 @@ def keyword_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: s
     score is min(raw / 10, 1), raised by 0.3 (to 1 at most) where a matched term has 8 bytes or more. The join on terms
     shuffles matching postings only.
     """
-    found = term_counts(docs, id_col, text_col)
     asked = term_counts(queries, query_id, query_text).select(F.col("id").alias("query"), "term", F.col("tf").alias("qf"))
+    found = term_counts(docs, id_col, text_col, asked.select("term").distinct())
     size = docs.agg(F.avg(F.size(T.terms(F.coalesce(F.col(text_col), F.lit(""))))).alias("mean"), F.count(F.lit(1)).alias("docs"))
     joined = found.join(asked, "term").join(F.broadcast(size))
     idf: Column = F.lit(LN2)
