@@ -71,14 +71,19 @@ class PrefixHashes:
 
     def span(self, at: np.ndarray | int, to: np.ndarray | int) -> np.ndarray:
         """62-bit hashes of spans [at, to), comparable between places and texts."""
-        out = np.uint64(0)
-        for (p, _), (_, inverse), s in zip(PRIMES, powers(self.n), self.sums):
-            part = (s[to] + np.uint64(p) - s[at]) % np.uint64(p) * inverse[at] % np.uint64(p)
-            out = (out << np.uint64(31)) | part
-        return out
+        return self.part(0, at, to) << np.uint64(31) | self.part(1, at, to)
+
+    def part(self, k: int, at: np.ndarray | int, to: np.ndarray | int) -> np.ndarray:
+        """Of the k-th prime, 31 bits."""
+        p, s, inverse = np.uint64(PRIMES[k][0]), self.sums[k], powers(self.n)[k][1]
+        return (s[to] + p - s[at]) % p * inverse[at] % p
 
     def same(self, other: PrefixHashes, at: int, there: int, length: int) -> bool:
-        return bool(self.span(at, at + length) == other.span(there, there + length))
+        """Equality of two spans; single places are read as Python's integers, which are faster than arrays of one."""
+        for (p, _), (_, inverse), s, t in zip(PRIMES, powers(max(self.n, other.n)), self.sums, other.sums):
+            if (s.item(at + length) - s.item(at)) * inverse.item(at) % p != (t.item(there + length) - t.item(there)) * inverse.item(there) % p:
+                return False
+        return True
 
     def extension(self, other: PrefixHashes, at: int = 0, there: int = 0) -> int:
         """Length of the longest common extension from at and there on, by bisection."""
@@ -108,14 +113,17 @@ def shared(a: PrefixHashes, b: PrefixHashes, block: int = BLOCK) -> float:
     end, last = a.n - suffix, b.n - block  # blocks of a lie between prefix and suffix, those of b anywhere
     at = np.arange(prefix, end - block + 1, block)
     if len(at) and last >= 0:
-        there = np.arange(last + 1)
-        names = b.span(there, there + block)
+        # half of the hash finds where b may hold a block, the whole of it decides
+        own, there = a.span(at, at + block), np.arange(last + 1)
+        half, names = np.unique(own >> np.uint64(31)), b.part(0, there, there + block)
+        near = there[half[np.minimum(np.searchsorted(half, names), len(half) - 1)] == names]
+        names = b.span(near, near + block)
         order = np.argsort(names, kind="stable")
-        names, own = names[order], a.span(at, at + block)
-        place = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        names, near = np.append(names[order], np.uint64(1 << 63)), np.append(near[order], 0)  # the last is no hash
+        place = np.searchsorted(names[:-1], own)
         free = prefix
         for k in np.flatnonzero(names[place] == own).tolist():
-            i, j = int(at[k]), int(order[place[k]])
+            i, j = int(at[k]), int(near[place[k]])
             if i < free:
                 continue
             back = a.extension_back(b, i, j, i - free)
