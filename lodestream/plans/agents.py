@@ -119,10 +119,10 @@ def tool_exclusions(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", A.matches_any(F.col("event_type"), ("error", "view", "p*", "*k")).alias("excluded"))
 
 
-@query(r"""SELECT item_id, len(regexp_extract_all(lower(text || ' 漢字仮名 x1 カナ'), '[a-z0-9_]+')) + 1 + 3 AS tokens, 4 AS bigrams FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7f]')""")
+@query(r"""SELECT item_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) + 5 AS tokens, 4 AS bigrams FROM benchmark""")
 def cjk_tokens(spark, sf_dir):
     """Words, and runs of CJK characters as pairs of neighbours."""
-    b = table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    b = table(spark, sf_dir, "benchmark")
     tokens = A.eval_tokens(F.concat("text", F.lit(" 漢字仮名 x1 カナ")))
     cjk = F.filter(tokens, lambda x: x.rlike(A.CJK))
     return b.select("item_id", F.size(tokens).alias("tokens"), F.size(cjk).alias("bigrams"))
@@ -225,17 +225,15 @@ def inline_memories(spark, sf_dir):
     return c.select("conv_id", "turn", parts["memories"].alias("memories"), F.md5(parts["answer"].cast("binary")).alias("answer_md5"))
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id AS source, event_type AS relation, json_extract_string(props, '$.k')::BIGINT AS target FROM events), d AS (SELECT * FROM e WHERE source % 10 <> 3 AND target % 10 <> 3)
-SELECT source, string_agg('user ' || source || ' --' || relation || '--> ' || target, chr(10) ORDER BY relation, target) AS context, count(*) AS edges FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY relation, target) AS k FROM d) WHERE k <= 20 GROUP BY source""")
+@query("""WITH e AS (SELECT DISTINCT user_id AS source, event_type AS relation, json_extract_string(props, '$.k')::BIGINT AS target FROM events)
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY relation, target) AS place, 'user ' || source || ' --' || relation || '--> ' || target AS line FROM e WHERE source % 10 <> 3 AND target % 10 <> 3""")
 def subgraph_text(spark, sf_dir):
-    """A graph after the deletion of some nodes with all their relations, its first twenty relations a node as text."""
+    """A graph after the deletion of some nodes with all their relations, each relation as a line of its node's text."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_type").alias("relation"), F.get_json_object("props", "$.k").cast("long").alias("target")).distinct()
     nodes = e.select(F.col("source").alias("node")).union(e.select("target")).distinct().where("node % 10 = 3")
     left = e.join(nodes, F.col("source") == F.col("node"), "left_anti").join(nodes, F.col("target") == F.col("node"), "left_anti")
-    first = left.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("relation", "target"))).where("k <= 20")
     line = F.concat(F.lit("user "), F.col("source"), F.lit(" --"), F.col("relation"), F.lit("--> "), F.col("target"))
-    g = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("relation", "target", line.alias("line")))).alias("ls"))
-    return g.select("source", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("context"), F.size("ls").cast("long").alias("edges"))
+    return left.select("source", F.row_number().over(W.partitionBy("source").orderBy("relation", "target")).alias("place"), line.alias("line"))
 
 
 @query(r"""WITH q AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) AS qs, lag(lower(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS sample FROM conversations),
