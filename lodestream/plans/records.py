@@ -255,13 +255,17 @@ def holdout_estimate(spark, sf_dir):
     return rollup.holdout_estimate(events, ["event_type"], F.col("treated"), "value")
 
 
-@query("""WITH b AS (SELECT * FROM events WHERE user_id % 2 = 0), e AS (SELECT * FROM events WHERE user_id % 2 = 1),
-k2 AS (SELECT event_type, props, sum(value::DECIMAL(28, 2))::DOUBLE / count(value) AS m FROM b GROUP BY ALL), k1 AS (SELECT event_type, sum(value::DECIMAL(28, 2))::DOUBLE / count(value) AS m FROM b GROUP BY ALL), k0 AS (SELECT sum(value::DECIMAL(28, 2))::DOUBLE / count(value) AS m FROM b)
-SELECT event_id, coalesce(k2.m, k1.m, k0.m) AS expected FROM e LEFT JOIN k2 USING (event_type, props) LEFT JOIN k1 USING (event_type), k0""")
+@query("""WITH x AS (SELECT *, coalesce(user_id, 0) % 2 = 0 AS even FROM events),
+k2 AS (SELECT NOT even AS even, event_type, props, sum(value::DECIMAL(28, 2))::DOUBLE / count(value) AS m FROM x GROUP BY ALL),
+k1 AS (SELECT NOT even AS even, event_type, sum(value::DECIMAL(28, 2))::DOUBLE / count(value) AS m FROM x GROUP BY ALL),
+k0 AS (SELECT NOT even AS even, sum(value::DECIMAL(28, 2))::DOUBLE / count(value) AS m FROM x GROUP BY ALL)
+SELECT event_id, coalesce(k2.m, k1.m, k0.m) AS expected FROM x LEFT JOIN k2 USING (even, event_type, props) LEFT JOIN k1 USING (even, event_type) LEFT JOIN k0 USING (even)""")
 def baseline_backoff(spark, sf_dir):
+    """Each event beside what the other half of the users leads to expect; events without a user count as even."""
     events = _events(spark, sf_dir)
-    out = rollup.with_backoff(events.where("user_id % 2 = 1"), events.where("user_id % 2 = 0"), ["event_type", "props"], "value")
-    return out.select("event_id", "expected")
+    even = F.coalesce("user_id", F.lit(0)) % 2 == 0
+    halves = [rollup.with_backoff(events.where(rows), events.where(~rows), ["event_type", "props"], "value") for rows in (even, ~even)]
+    return halves[0].unionByName(halves[1]).select("event_id", "expected")
 
 
 @query("""WITH p(l_shipmode, price, cached_price) AS (VALUES ('A', 3.0::DOUBLE, 0.3::DOUBLE), ('N', 15.0::DOUBLE, 1.5::DOUBLE))
