@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, source: str = "src", target: str = "dst") -> DataFrame:
-    """node, depth: every node within `hops` edges of a seed, either way, at its least depth."""
+    """node, depth: every node within `hops` edges of a seed, either way, at its least depth. Each hop reads the last one once."""
     both = edges.select(F.col(source).alias("u"), F.col(target).alias("v")).union(edges.select(target, source))
     reached = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0))
-    frontier = reached
-    for depth in range(1, hops + 1):
-        step = frontier.join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
-        frontier = step.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth))
-        reached = reached.union(frontier)
+    here, there = F.struct("node", "depth"), F.struct(F.col("v").alias("node"), (F.col("depth") + 1).alias("depth"))
+    for _ in range(hops):
+        steps = reached.join(both, F.col("node") == F.col("u"), "left")
+        steps = steps.select(F.explode(F.when(F.col("u").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("s")).select("s.*")
+        reached = steps.groupBy("node").agg(F.min("depth").alias("depth"))
     return reached
 
 

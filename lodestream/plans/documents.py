@@ -262,9 +262,11 @@ def _edges(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e),
-w AS (SELECT 'c1' AS node, 0 AS depth UNION SELECT v, depth + 1 FROM w JOIN b ON node = u WHERE depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node""")
+w AS (SELECT 'c' || c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 50 = 0 UNION SELECT v, depth + 1 FROM w JOIN b ON node = u WHERE depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def k_hop(spark, sf_dir):
-    return graphs.neighbourhood(_edges(spark, sf_dir), spark.createDataFrame([("c1",)], "node string"), 3)
+    """What lies within three edges of the customers whose key is divisible by 50, at the distance of the nearest."""
+    seeds = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return graphs.neighbourhood(_edges(spark, sf_dir), seeds, 3)
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 'r1' AS node, 0 AS depth, 'r1' AS path UNION ALL SELECT dst, depth + 1, path || '>' || dst FROM w JOIN e ON node = src WHERE depth < 3)
