@@ -263,6 +263,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     pairs = written(members.where("hub < node").groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node"), "pairs")
     linked = lambda found: found.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    known = lambda label: label.select(F.col("component").alias("a"), F.col("node").alias("b"))
     first = written(compared(pairs, sets, percent), "compared")
     label = written(components(linked(first)), "labels")
     state = written(still_open(labelled(label, members.select("band", "node", "n"))), "open")
@@ -278,7 +279,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         hub = state.groupBy("band").agg(F.max_by("node", F.struct(F.col("shared") / F.col("n"), F.xxhash64("node"))).alias("hub"))
         state = written(state.withColumn("key", F.bitwise_not("band")).join(hub.select(F.bitwise_not("band").alias("key"), "hub"), "key").drop("key"), "hubs")
         second = written(compared(state.where("hub != node").select("hub", "node").distinct(), sets, percent), "compared")
-        label = written(components(linked(first).union(linked(second))), "labels")
+        label = written(components(known(label).union(linked(second))), "labels")
         state = still_open(labelled(label, state.drop("component")))
         inside = second.select(F.bitwise_not("node").alias("key"), "hub", "both")
         state = state.withColumn("key", F.bitwise_not("node")).join(inside, ["key", "hub"], "left").select("band", "node", "component", "n", "shared", F.coalesce("both", "n").alias("h"))
@@ -296,7 +297,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         ways = left.join(right.hint("merge"), ["band", "class", "block"]).where((F.col("cx") < F.col("cy")) & _could_link(percent) & (F.col("band") == F.array_min(F.array_intersect("allx", "ally"))))
         pairs = written(ways.select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")).distinct(), "pairs")
         third = written(compared(pairs, sets, percent), "compared")
-        label = written(components(linked(first).union(linked(second)).union(linked(third))), "labels")
+        if not (more := linked(third)).isEmpty():
+            label = written(components(known(label).union(more)), "labels")
 
     discard(members, sets)
     named = narrow.select(F.bitwise_not("node").alias("key"), "id", "n", "node").join(label.select(F.bitwise_not("node").alias("key"), "component"), "key", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
