@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and their SQL, each a thin form of an operator over a whole table."""
+"""The queries op1 to op13 and their SQL, each a thin form of an operator over a whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, exact, fingerprint, langid, minhash, mixing, pii, quality, substring, warc
+from lodestream.llm import bpe, divergence, exact, filters, fingerprint, langid, minhash, mixing, pieces, pii, quality, substring, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,93 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.sampled(_documents(spark, sf_dir), labels).withColumnRenamed("id", "doc_id")
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = pieces.encode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), w AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM d
+), t AS (
+  SELECT row, lang, source, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM w
+), k AS (
+  SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 30
+), v AS (
+  SELECT lang, count(*) AS v FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL
+), s AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (c + 5)) // ((sum(c) OVER (PARTITION BY lang, source))::HUGEINT + 5 * v) AS p FROM s JOIN v USING (lang)
+), l AS (
+  SELECT lang, term, sum(c) AS c FROM s GROUP BY ALL
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // ((sum(c) OVER (PARTITION BY lang))::HUGEINT + 5 * v) AS q FROM l JOIN v USING (lang)
+), x AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p.p > q.q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = filters.flagged(_documents(spark, sf_dir))
+    return filters.interactions(flags, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), m AS (
+  SELECT doc_id, part,
+    (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM w
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL
+), f AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(letter, bit)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, list_sum([0] || bits[1:step - 1])::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (mask & (before | bit) = 0) AS kept, sum(n) FILTER (mask & bit > 0 AND mask & before = 0) AS removed,
+    sum(n) FILTER (mask & bit > 0 AND mask & before > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & bit > 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -162,8 +249,11 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality": op10_quality,
+        "op11_pieces": op11_pieces,
+        "op12_divergence": op12_divergence,
+        "op13_filters": op13_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": OP3_SQL, "op6_warc": OP6_SQL, "op7_mixing": _op7_sql(), "op9_exact_dedup": OP9_SQL}
+    return {"op3_substring": OP3_SQL, "op6_warc": OP6_SQL, "op7_mixing": _op7_sql(), "op9_exact_dedup": OP9_SQL, "op12_divergence": OP12_SQL, "op13_filters": OP13_SQL}
