@@ -32,12 +32,16 @@ from pyspark.sql import functions as F
 
 #: The mark that stands for a space, and the surface of the unknown piece's default (fixed values).
 SPACE = "▁"
+#: Letters after which a text may be cut, as a range for expressions.
+LETTERS = "A-Za-z\u00c0-\u024f"
 #: Kinds of pieces in model files (fixed values).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks that a worker remembers at most, and their length.
-MEMO, MEMO_LENGTH = 800_000, 128
+MEMO, MEMO_LENGTH = 1_600_000, 128
 #: An agenda entry is one integer: rank of the score, then place of the left symbol, then code points of the piece.
 PLACE, LENGTH = 8, 56
+#: Up to this length a list is searched faster than a heap is kept; and the entry of a pair that is no piece.
+SHORT, NEVER = 40, 1 << 80
 
 #: A byte that starts no valid character becomes one U+FFFD, and reading goes on with the next byte.
 codecs.register_error("lodestream_each_byte", lambda e: ("�", e.start + 1))
@@ -66,11 +70,12 @@ class Pieces:
             raise ValueError("normalisers other than identity aren't supported")
         if {p.type for p in proto.pieces} - {NORMAL, UNKNOWN, CONTROL, BYTE} or any(len(p.piece) > 255 for p in proto.pieces):
             raise ValueError("user-defined, unused and very long pieces aren't supported")
-        self.prefix = SPACE if normal.add_dummy_prefix else ""
+        self.prefix = " " if normal.add_dummy_prefix else ""
         self.pieces = [p.piece for p in proto.pieces]
         self.kinds = [p.type for p in proto.pieces]
         self.id = {p.piece: k for k, p in enumerate(proto.pieces) if p.type == NORMAL}
         ranks = {s: k for k, s in enumerate(sorted({p.score for p in proto.pieces if p.type == NORMAL}, reverse=True))}
+        self.rank = {p.piece: ranks[p.score] for p in proto.pieces if p.type == NORMAL}
         self.entry = {p.piece: ranks[p.score] << LENGTH | len(p.piece) for p in proto.pieces if p.type == NORMAL}
         self.byte_id = [0] * 256
         for k, p in enumerate(proto.pieces):
@@ -82,17 +87,37 @@ class Pieces:
         return self
 
     def _pattern(self) -> str:
-        """What a chunk is: whole texts if pieces may span any place."""
-        longer = [p for p in self.id if len(p) > 1]
-        held = set("".join(longer))
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in held)
-        if any(SPACE in p.lstrip(SPACE) for p in longer):
-            return rf"[{alone}]|[^{alone}]+" if alone else r"(?s:.+)"
-        return (rf"[{alone}]|" if alone else "") + rf"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+"
+        """What a chunk is: texts are cut where no piece spans, told by the pairs of characters within pieces.
+
+        That is before a space after another character, around ASCII characters that no longer piece holds, and between
+        a letter of LETTERS and ASCII punctuation that follows none in any piece. Spaces stand for their marks here.
+        """
+        longer = [p.replace(SPACE, " ") for p in self.id if len(p) > 1]
+        pairs = {(a, b) for p in longer for a, b in zip(p, p[1:])}
+        if any(b == " " and a != " " for a, b in pairs):
+            return r"(?s:.+)"
+        held, letter = set("".join(longer)), re.compile(f"[{LETTERS}]")
+        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in held and c != 0x20)
+        follow = {b for a, b in pairs if letter.match(a)}
+        breaks = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not letter.match(chr(c)) and chr(c) in held and chr(c) not in follow)
+        rest = rf"[^ {alone}{LETTERS}]*[{LETTERS}]*"
+        return (rf"[{alone}]|(?=[^{alone}])" if alone else r"(?=[\s\S])") + rf" *{rest}(?:[^ {alone}{LETTERS}{breaks}]{rest})*"
 
     def merge(self, chunk: str) -> list[int]:
-        """Ids of a chunk by the agenda of adjacent pairs."""
-        symbols, entry, n = list(chunk), self.entry.get, len(chunk)
+        """Ids of a chunk by the agenda of adjacent pairs; a short chunk's agenda is a list in the order of places."""
+        symbols, entry, n = list(chunk.replace(" ", SPACE)), self.entry.get, len(chunk)
+        if n <= SHORT:
+            entry = self.rank.get
+            agenda = [entry(pair, NEVER) for pair in map(str.__add__, symbols, symbols[1:])]
+            while agenda and (best := min(agenda)) < NEVER:
+                i = agenda.index(best)
+                symbols[i] = left = symbols[i] + symbols[i + 1]
+                del agenda[i], symbols[i + 1]
+                if i:
+                    agenda[i - 1] = entry(symbols[i - 1] + left, NEVER)
+                if i < len(agenda):
+                    agenda[i] = entry(left + symbols[i + 1], NEVER)
+            return self.ids_of(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [e + (i << PLACE) for i, pair in enumerate(map(str.__add__, symbols, symbols[1:])) if (e := entry(pair))]
         heapq.heapify(agenda)
@@ -111,6 +136,10 @@ class Pieces:
                     heapq.heappush(agenda, e + (i << PLACE))
             if (h := before[i]) >= 0 and (e := entry(symbols[h] + left)):
                 heapq.heappush(agenda, e + (h << PLACE))
+        return self.ids_of(symbols)
+
+    def ids_of(self, symbols: list[str]) -> list[int]:
+        """Ids of symbols, those that aren't pieces by the pieces of their bytes."""
         ids: list[int] = []
         for s in symbols:
             if s:
@@ -146,16 +175,21 @@ class Pieces:
 
 
 class Encoder(dict):
-    """Chunk to (ids joined by commas, their number, surface), filled by merging; half of MEMO is dropped at a time."""
+    """Chunk to its ids joined by commas, filled by merging; half of MEMO is dropped at a time.
+
+    A chunk enters when its ids decode to itself, which any encoding does: so the decoded text is that of the chunks.
+    """
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.before = pieces, {}
 
-    def __missing__(self, chunk: str) -> tuple[str, int, bytes]:
+    def __missing__(self, chunk: str) -> str:
         found = self.before.get(chunk)
         if found is None:
             ids = self.pieces.merge(chunk)
-            found = (",".join(map(str, ids)), len(ids), self.pieces.surface(ids))
+            if self.pieces.surface(ids) != chunk.encode():
+                raise Differs(f"ids of {chunk!r} decode to another text")
+            found = ",".join(map(str, ids))
             if len(chunk) > MEMO_LENGTH:
                 return found
         if len(self) >= MEMO // 2:
@@ -168,10 +202,9 @@ class Encoder(dict):
         """Decimal ids joined by commas, their number, and the text that they decode to."""
         if not text:
             return "", 0, ""
-        prefix = self.pieces.prefix
-        parts = [self[c] for c in self.pieces.chunks(prefix + text.replace(" ", SPACE))]
-        decoded = b"".join([p[2] for p in parts]).decode()
-        return ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), decoded[1:] if prefix else decoded
+        chunks = self.pieces.chunks(self.pieces.prefix + text.replace(SPACE, " "))
+        ids, decoded = ",".join(map(self.__getitem__, chunks)), "".join(chunks)
+        return ids, ids.count(",") + 1, decoded[len(self.pieces.prefix) :]
 
 
 class Differs(ValueError):
@@ -183,7 +216,7 @@ def compare(library, texts: list[str], ids: list[str], decoded: list[str]) -> No
     theirs = library.encode(texts, num_threads=1)
     back = library.decode(theirs, num_threads=1)
     for k, text in enumerate(texts):
-        if ",".join(map(str, theirs[k])) != ids[k] or back[k] != decoded[k]:
+        if str(theirs[k])[1:-1].replace(" ", "") != ids[k] or back[k] != decoded[k]:
             raise Differs(f"sentencepiece differs on a text of {len(text)} characters that begins with {text[:60]!r}")
 
 

@@ -50,6 +50,14 @@ def test_decodes_any_ids_as_the_library_does(library, tables):
         assert tables.decode(ids) == library.decode(ids), ids
 
 
+def test_lists_and_heaps_are_one_agenda(tables, monkeypatch):
+    r = random.Random(9)
+    chunks = ["".join(r.choice(["a", "b", "th", "e", "▁", "ing", "é", "漢", "er", "on"]) for _ in range(r.randrange(25))) for _ in range(2000)]
+    want = [tables.merge(c) for c in chunks]
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    assert [tables.merge(c) for c in chunks] == want
+
+
 def test_equal_scores_are_merged_from_the_left(tables):
     """Pieces of several marks share one score: the leftmost pair goes first."""
     assert [tables.pieces[k] for k in tables.merge("▁" * 3)] == ["▁▁▁"]
@@ -101,7 +109,7 @@ def test_operator_on_odd_rows(spark, odd, odd_rows, none, library):
 
 def test_a_wrong_vocabulary_does_not_pass_the_check(library):
     other = pieces.Pieces(PATH)
-    del other.entry["▁the"]
+    del other.rank["▁the"]
     found = pieces.Encoder(other).encode("the end")
     with pytest.raises(pieces.Differs):
         pieces.compare(library, ["the end"], [found[0]], [found[2]])
