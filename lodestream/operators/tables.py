@@ -11,9 +11,12 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lodestream.session import written
 
@@ -135,6 +138,23 @@ def cells_of(item: dict, table: str, at: int, level: int = 0) -> Iterator[dict]:
         yield cell
 
 
+def cells(items: DataFrame, table: str, at: str, item: str) -> DataFrame:
+    """Cells of the objects in `item` (JSON text), which are the rows of their table; other texts have none."""
+    schema = to_arrow_schema(StructType.fromDDL(CELL))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name, place, text in zip(*(batch.column(c).to_pylist() for c in ("table", "at", "item"))):
+                value = load(text) if text is not None else None
+                if isinstance(value, dict):
+                    found += [{f: c.get(f) for f in schema.names} for c in cells_of(value, name, place)]
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
+
+    slim = items.select(F.col(table).cast("string").alias("table"), F.col(at).cast("long").alias("at"), F.col(item).alias("item"))
+    return slim.mapInArrow(run, CELL)
+
+
 def _columns(cells: DataFrame, sizes: DataFrame) -> DataFrame:
     """table, column (from 1), field, inner, name, tag, nullable: columns by how many rows have them, then by name.
 
@@ -172,46 +192,69 @@ def _lines(cells: DataFrame, columns: DataFrame, rows: DataFrame, widths: DataFr
     return full.select("table", "at", texts("csv", "").alias("csv"), F.concat(F.lit("["), texts("json", "null"), F.lit("]")).alias("json"))
 
 
-def _rendered(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """table, csv, json of tables whose cells have their texts."""
+def _parts(cells: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(table, n, width, head, schema) and (table, at, csv, json) of tables whose cells have their texts."""
     sizes = rows.groupBy("table").agg(F.count("*").alias("n"))
     columns = written(_columns(cells, sizes), "table-columns")
     name = F.col("name")
     as_json = F.concat(F.lit('{"name":'), _json_string(name), F.lit(',"type":"'), "tag", F.when(F.col("nullable"), F.lit('","nullable":true}')).otherwise(F.lit('"}')))
     in_order = lambda of: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", of.alias("text")))), lambda x: x["text"]), ",")
-    heads = columns.groupBy("table").agg(in_order(F.concat(name, F.lit(":"), "tag", F.when(F.col("nullable"), "?").otherwise(""))).alias("head"), in_order(as_json).alias("schema"), F.count("*").cast("int").alias("width"))
+    heads = columns.groupBy("table").agg(
+        in_order(F.concat(name, F.lit(":"), "tag", F.when(F.col("nullable"), "?").otherwise(""))).alias("head"), in_order(as_json).alias("schema"), F.count("*").cast("int").alias("width")
+    )
     heads = sizes.join(heads, "table", "left").fillna("", ["head", "schema"]).fillna(0, ["width"])
-    lines = _lines(cells, columns, rows, heads.select("table", "width"))
+    return heads, _lines(cells, columns, rows, heads.select("table", "width"))
+
+
+def _rendered(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """table, csv, json of tables whose cells have their texts."""
+    heads, lines = _parts(cells, rows)
     body = lambda of, end: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(of).alias("text")))), lambda x: x["text"]), end)
     bodies = lines.groupBy("table").agg(body("csv", "\n").alias("lines"), body("json", ",").alias("rows"))
     n = F.col("n").cast("string")
-    csv = F.concat(F.lit("["), n, F.lit("]{"), "head", F.lit("}\n"), "lines", F.lit("\n"))
+    csv = F.concat(_header(), F.lit("\n"), "lines", F.lit("\n"))
     as_table = F.concat(F.lit('{"_compaction":"table","_schema":['), "schema", F.lit('],"_kept":'), n, F.lit(',"_total":'), n, F.lit(',"_rows":['), "rows", F.lit("]}"))
     return heads.join(bodies, "table").select("table", csv.alias("csv"), as_table.alias("json"))
 
 
+def _header() -> Column:
+    return F.concat(F.lit("["), F.col("n").cast("string"), F.lit("]{"), "head", F.lit("}"))
+
+
 def _json_string(text: Column) -> Column:
     whole = F.to_json(F.struct(text.alias("v")))
     return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
-def tables(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """table, csv, json: the tables whose rows are named in `rows` (table, at), with the tables in their cells.
-
-    csv is a line `[rows]{name:type,...}` (`?` after the type of a column that some row lacks) and a line for each row;
-    json is the form that tables in cells take. Cells of tables that aren't asked for are left out.
-    """
+def _outermost(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cells of the tables named in `rows`, with the tables in them rendered, the deepest first."""
     wanted = rows.select("table").distinct()
-    nested = cells.where("level > 0")
-    deepest = nested.agg(F.max("level")).collect()[0][0] or 0
+    deepest = cells.agg(F.max("level")).collect()[0][0] or 0
     done = None
     for level in range(deepest, -1, -1):
         here = cells.where((F.col("level") == level) & F.col("field").isNotNull())
         here = here.join(wanted, "table", "left_semi") if level == 0 else here
         if done is not None:
             inner = done.select(F.col("table").alias("child"), F.col("json").alias("nested"))
-            here = here.join(inner, "child", "left").withColumn("csv", F.coalesce(F.concat(F.lit('"'), F.replace("nested", F.lit('"'), F.lit('""')), F.lit('"')), "csv")).withColumn("json", F.coalesce("nested", "json"))
+            in_line = F.concat(F.lit('"'), F.replace("nested", F.lit('"'), F.lit('""')), F.lit('"'))
+            here = here.join(inner, "child", "left").withColumn("csv", F.coalesce(in_line, "csv")).withColumn("json", F.coalesce("nested", "json"))
         here = written(here.select("table", "at", "field", "tag", "empty", "csv", "json", "inner"), "table-cells")
-        own = rows.select("table", "at") if level == 0 else cells.where((F.col("level") == level) & F.col("field").isNull()).select("table", "at")
-        done = written(_rendered(here, own), "tables")
-    return done
+        if level:
+            done = written(_rendered(here, cells.where((F.col("level") == level) & F.col("field").isNull()).select("table", "at")), "tables")
+    return here
+
+
+def tables(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """table, csv, json: the tables whose rows are named in `rows` (table, at), with the tables in their cells.
+
+    csv is a line `[rows]{name:type,...}` (`?` after the type of a column that some row lacks) and a line for each row;
+    json is the form that tables in cells take. Cells of tables that aren't asked for are left out.
+    """
+    return written(_rendered(_outermost(cells, rows), rows.select("table", "at")), "tables")
+
+
+def table_lines(cells: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(table, n, header) and (table, at, line): as `tables`, for tables that may be larger than a cell."""
+    heads, lines = _parts(_outermost(cells, rows), rows.select("table", "at"))
+    heads, lines = heads.select("table", "n", _header().alias("header")), lines.select("table", "at", F.col("csv").alias("line"))
+    return written(heads, "table-heads"), written(lines, "table-lines")

@@ -81,35 +81,6 @@ def array_analysis(spark, sf_dir):
     return d.select("user_id", "n", "has_id", "kind", "reason", "strategy", "anomalies", "errors", saves.alias("saves"))
 
 
-_SAMPLE = """x AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM r), y AS (SELECT *, must OR p < 4 OR p >= n - 2 AS kept FROM x),
-z AS (SELECT *, greatest(15 - sum(kept::INT) OVER (PARTITION BY k), 0) AS room, 15 + sum(must::INT) OVER (PARTITION BY k) - sum(kept::INT) OVER (PARTITION BY k) AS cap FROM y),
-s AS (SELECT *, room > 0 AND NOT kept AND p % greatest(1, (n - 1) // (room + 1)) = 0 AS hit FROM z),
-h AS (SELECT *, max(kept::INT) OVER (PARTITION BY k, item) = 1 AS held, min(CASE WHEN hit THEN p END) OVER (PARTITION BY k, item) AS earliest FROM s),
-v AS (SELECT *, hit AND NOT held AND p = earliest AS new FROM h), g AS (SELECT *, sum(new::INT) OVER (PARTITION BY k ORDER BY p) AS nth FROM v)
-SELECT k AS {0}, p AS pos, CASE WHEN n <= 8 THEN 'whole' WHEN must THEN 'marked' WHEN kept THEN 'edge' WHEN new AND nth <= cap THEN 'stride' ELSE 'dropped' END AS why FROM g"""
-
-
-@query(r"""WITH l AS (SELECT doc_id AS k, unnest(string_split(text, chr(10))) AS item, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents),
-q AS (SELECT k, avg(length(item)) AS m, stddev_samp(length(item)) AS sd FROM l GROUP BY k),
-r AS (SELECT l.k, p, item, regexp_matches(lower(item), 'error|fail|exception|traceback|fatal|panic|crash') OR coalesce(sd > 0 AND abs(length(item) - m) > 2 * sd, false) AS must FROM l JOIN q ON l.k = q.k), """ + _SAMPLE.format("doc_id"))
-def string_samples(spark, sf_dir):
-    """Each document's lines as an array of strings: errors, odd lengths, both ends and an even stride stay."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "item")).withColumn("length", F.length("item"))
-    must = F.lower("item").rlike("error|fail|exception|traceback|fatal|panic|crash") | arrays.strays(F.col("length"), "doc_id")
-    lines = lines.withColumn("must", F.coalesce(must, F.lit(False)))
-    return arrays.sampled(lines, "doc_id", "pos", "item", F.col("must"), 15, 4, 2).select("doc_id", "pos", "why")
-
-
-@query("""WITH e AS (SELECT user_id AS k, event_id, value AS item, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p FROM events),
-q AS (SELECT k, avg(item) AS m, stddev_samp(item) AS sd FROM e GROUP BY k), r AS (SELECT e.k, p, item, coalesce(sd > 0 AND abs(item - m) > 2 * sd, false) AS must FROM e JOIN q ON e.k = q.k), """ + _SAMPLE.format("user_id"))
-def number_samples(spark, sf_dir):
-    """Each user's values as an array of numbers: outliers, both ends and an even stride stay."""
-    pos = (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).alias("pos")
-    e = table(spark, sf_dir, "events").select("user_id", pos, F.col("value").alias("item"))
-    e = e.withColumn("must", F.coalesce(arrays.strays(F.col("item"), "user_id"), F.lit(False)))
-    return arrays.sampled(e, "user_id", "pos", "item", F.col("must"), 15, 4, 2).select("user_id", "pos", "why")
-
-
 @query("""WITH o AS (SELECT c_custkey, map_keys(m) AS ks, map_values(m) AS vs FROM (SELECT c_custkey, map {'key': c_custkey::VARCHAR, 'name': c_name, 'nation': c_nationkey::VARCHAR, 'segment': c_mktsegment, 'balance': round(c_acctbal)::BIGINT::VARCHAR, 'note': CASE WHEN c_custkey % 7 = 0 THEN 'payment failed' ELSE repeat(c_name, 4) END, 'tier': (c_custkey % 3)::VARCHAR, 'page': repeat('p', 60), 'extra': repeat('e', 70), 'last': 'z'} AS m FROM customer)),
 e AS (SELECT c_custkey, unnest(ks) AS name, unnest(vs) AS v, generate_subscripts(ks, 1) - 1 AS p FROM o)
 SELECT c_custkey, name, CASE WHEN regexp_matches(lower(v), 'error|fail|exception|traceback|fatal|panic|crash') THEN 'marked' WHEN length(v) <= 10 THEN 'small' WHEN p < 3 OR p >= 9 THEN 'edge' ELSE 'dropped' END AS why FROM e""")

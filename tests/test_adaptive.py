@@ -182,3 +182,10 @@ def test_change_points(spark):
             if len(xs) > 10 and deviation > 0 and abs(sum(xs[p : p + 5]) - sum(xs[p - 5 : p])) / 5 > 2 * deviation:
                 want.add((a, p))
     assert got == want
+
+
+def test_query_with_deflating_equals_the_sequential_rule(spark, small):
+    import __spark_entry__ as entry
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert {r.doc_id: r.k for r in entry.queries()["deflated_k"](spark, small).collect()} == {k: brute_k(t.split("\n")) for k, t in texts.items() if t is not None}

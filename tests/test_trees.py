@@ -259,3 +259,18 @@ def test_recorded_results(spark):
 def test_no_documents(spark):
     out, offloaded = trees.crushed(spark.createDataFrame([], "id long, text string"), "id", "text")
     assert out.count() == 0 and offloaded.count() == 0
+
+
+@pytest.mark.parametrize("name", ["crushed_events", "crushed_conversations"])
+def test_queries_equal_the_recursive_rule(spark, small, name):
+    import __spark_entry__ as entry
+    from lodestream.plans import trees as plans
+
+    docs = {"crushed_events": plans.event_documents, "crushed_conversations": plans.conversation_documents}[name](spark, small)
+    texts = {r.id: r.text for r in docs.collect()}
+    got = {r.id: (r.changed, r.bytes_in, r.bytes_out, r.crushed_md5) for r in entry.queries()[name](spark, small).collect()}
+    assert set(got) == set(texts)
+    for k, t in texts.items():
+        new, changed = brute(load(t))
+        text = dump(new)
+        assert got[k] == (changed, len(t.encode()), len(text.encode()), hashlib.md5(text.encode()).hexdigest()), k
