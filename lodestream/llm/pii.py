@@ -15,8 +15,11 @@
 5. Trusted patterns mark their other instances as spans of their kind, of seeds of a secret too.
 
 Base spans always stay; a discovered span never overlaps one. Every text is read whole; only spans and contexts are
-shuffled. What goes through the driver is the candidate patterns, at most `most_patterns` of them (the most seeds first;
-sorted out exactly by a threshold, so that all of a count go or stay together).
+shuffled. Candidate patterns stay in tables; their sides are looked for in scans of about `scan_sides` each, which is what
+goes through the driver at once. No pattern is left out for being one of many.
+
+Limits of what contexts discover: up to SIDE code points of a line on either side of a token are looked at, and tokens
+have the lengths that `_TOKEN`, `_AT` and `_SECRET` state; identifiers written in longer forms are never discovered.
 
 Defined results
 * null texts count as empty; a text without finds has zero counts, an empty span list and the digest of the empty string.
@@ -34,6 +37,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,8 +193,8 @@ def scored_patterns(edges: DataFrame, rounds: int = 3) -> DataFrame:
         scored = edges.join(instances, "instance").withColumn("belief", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("by_patterns")))
 
 
-def occurrences(docs: DataFrame, wanted: list[str]) -> tuple[dict[str, int], int]:
-    """How often each side occurs in all texts of rows (id, text), and the number of words; one scan with an automaton.
+def occurrences(docs: DataFrame, wanted: list[str]) -> tuple[DataFrame, int]:
+    """(side, n: how often it occurs in all texts of rows (id, text); the number of words); one scan with an automaton.
 
     A side counts where it stands as `sides` would cut it: from the start of a word, or up to the end of one.
     """
@@ -211,39 +215,52 @@ def occurrences(docs: DataFrame, wanted: list[str]) -> tuple[dict[str, int], int
                         first = last - len(wanted[k]) + 2
                         if wanted[k][0] == ">" or first == 0 or not text[first - 1].isalpha():
                             found[k] += 1
-        yield pa.RecordBatch.from_pydict({"k": pa.array([*range(len(wanted)), -1], pa.int32()), "n": pa.array([*found, words], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"side": pa.array([*wanted, None], pa.string()), "n": pa.array([*found, words], pa.int64())})
+
+    sums = written(docs.select("text").mapInArrow(run, "side string, n long").groupBy("side").agg(F.sum("n").alias("n")), "occurrences")
+    words = sums.where("side is null").collect()
+    return sums.where("side is not null"), words[0].n if words else 0
 
-    sums = {r.k: r.n for r in docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    return {side: sums.get(k, 0) for k, side in enumerate(wanted)}, sums.get(-1, 0)
 
+def trusted_patterns(
+    docs: DataFrame, edges: DataFrame, rounds: int = 3, least_seeds: int = 5, least_confidence: float = 0.6, least_share: float = 0.3, least_lift: float = 20.0, scan_sides: int = 20_000
+) -> DataFrame:
+    """pattern, confidence of those that may discover: rows (id, text) and edges (row, pattern, instance, seed, start).
 
-def trusted_patterns(docs: DataFrame, edges: DataFrame, rounds: int = 3, least_seeds: int = 5, least_confidence: float = 0.6, least_share: float = 0.3, least_lift: float = 20.0, most_patterns: int = 20_000) -> DataFrame:
-    """pattern, confidence of those that may discover: rows (id, text) and edges (row, pattern, instance, seed, start)."""
+    Every pattern that is sure enough is judged by how its side occurs in all texts. A scan looks for about scan_sides
+    sides, which is what the driver and a worker's automaton hold; more sides take more scans.
+    """
     spark = docs.sparkSession
     scored = scored_patterns(edges.select("pattern", "instance", "seed"), rounds)
-    able = scored.where((F.col("seeds") >= least_seeds) & (F.col("confidence") >= least_confidence))
-    cut, room = least_seeds, most_patterns
-    for r in able.groupBy(F.floor(F.log2("seeds") * 16).alias("c")).count().orderBy(F.desc("c")).collect():
-        if r["count"] > room:
-            break
-        cut, room = r["c"], room - r["count"]
-    else:
-        cut = -1
-    able = able.where(F.floor(F.log2("seeds") * 16) >= cut) if cut >= 0 else able
-    chosen = {r.pattern: r.confidence for r in able.select("pattern", "confidence").collect()}
-    schema = "pattern string, confidence double"
-    if not chosen:
-        return spark.createDataFrame([], schema)
-    side_of = lambda p: p[min(i for i in (p.find("<"), p.find(">")) if i > 0) :]  # noqa: E731  kinds hold neither sign
-    wanted = sorted({side_of(p) for p in chosen})
-    n, words = occurrences(docs, wanted)
-    names = spark.createDataFrame([(p,) for p in chosen], "pattern string")
-    beside = {r.pattern: r.n for r in edges.join(F.broadcast(names), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tokens = edges.select("row", "start").distinct().count()
-    share = {p: beside.get(p, 0) / max(1, n[side_of(p)]) for p in chosen}
+    side = F.regexp_extract("pattern", "(?s)[<>].*", 0)  # kinds hold neither sign
+    able = scored.where((F.col("seeds") >= least_seeds) & (F.col("confidence") >= least_confidence)).select("pattern", "confidence", side.alias("side"))
+    able = written(able, "able-patterns")
+    sides = able.select("side").distinct()
+    scans = -(-sides.count() // scan_sides)
+    counts, words = spark.createDataFrame([], "side string, n long"), 0
+    for scan in range(scans):
+        wanted = sorted(r.side for r in sides.where(F.pmod(F.xxhash64("side"), F.lit(scans)) == scan).collect())
+        if wanted:
+            here, words = occurrences(docs, wanted)
+            counts = counts.unionByName(here)
+    tokens = edges.select("row", "start").distinct().count() if scans else 0
     base = tokens / max(1, words)
-    kept = [(p, c) for p, c in chosen.items() if share[p] >= least_share and share[p] >= least_lift * base]
-    return spark.createDataFrame(kept, schema)
+    beside = edges.join(able.select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("beside"))
+    share = F.col("beside") / F.greatest(F.col("n"), F.lit(1))
+    judged = able.join(beside, "pattern").join(counts, "side").withColumn("share", share)
+    return written(judged.where((F.col("share") >= least_share) & (F.col("share") >= least_lift * base)).select("pattern", "confidence"), "trusted-patterns")
+
+
+def clear_spans(found: list[dict]) -> list[dict]:
+    """Of spans in the order of their doubt, those that are clear of what has been taken before them."""
+    begins, ends, out = [], [], []
+    for x in found:
+        k = bisect_left(begins, x["end"])  # taken spans don't overlap, so the one before is the only one to look at
+        if x["start"] < x["end"] and not (k and ends[k - 1] > x["start"]):
+            begins.insert(k, x["start"])
+            ends.insert(k, x["end"])
+            out.append({"start": x["start"], "end": x["end"], "kind": x["kind"]})
+    return out
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -251,18 +268,19 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(found(slim).withColumn("row", F.monotonically_increasing_id()), "finds")
     edges = rows.select("row", F.explode("contexts").alias("c")).select("row", "c.*")
-    trusted = trusted_patterns(slim, edges, **options)  # at most most_patterns rows
+    trusted = trusted_patterns(slim, edges, **options).select(F.upper("pattern").alias("key"), F.col("pattern").alias("own"), "confidence")
     kind = F.regexp_extract("pattern", "^([a-z]+)", 1)
-    new = edges.where(~F.col("seed") | F.col("pattern").startswith("secret")).join(F.broadcast(trusted), "pattern")
+    open_ones = edges.where(~F.col("seed") | F.col("pattern").startswith("secret"))
+    new = open_ones.join(trusted, (F.upper("pattern") == F.col("key")) & (F.col("pattern") == F.col("own")))
     new = new.groupBy("row", "start", "end").agg(F.max("confidence").alias("confidence"), F.max_by(kind, F.struct("confidence", "pattern")).alias("kind"))
     new = new.groupBy("row").agg(F.collect_list(F.struct((-F.col("confidence")).alias("doubt"), "start", (F.col("start") - F.col("end")).alias("short"), "end", "kind")).alias("new"))
 
+    @F.pandas_udf("array<struct<start:bigint,end:bigint,kind:string>>")
+    def apart(spans: pd.Series) -> pd.Series:
+        return spans.map(clear_spans)
+
     # the surest first, then those that are clear of what has been taken
-    clear = lambda taken, x: ~F.exists(taken, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    none = F.array().cast("array<struct<doubt:double,start:bigint,short:bigint,end:bigint,kind:string>>")
-    apart = F.aggregate(F.array_sort("new"), none, lambda taken, x: F.when(clear(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
-    plain = F.transform(apart, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    new = new.select("row", plain.alias("new"))
+    new = new.select("row", apart(F.array_sort("new")).alias("new"))
 
     def parsed(span: F.Column) -> F.Column:
         parts = F.split(span, ":")

@@ -99,6 +99,7 @@ def test_sides_and_their_occurrences(spark):
     at = t.index("743")
     assert list(pii.sides(t, at, at + 12)) == ["<desk: ", "<the desk: ", "<call the desk: ", ">, now ", ">, now or "]
     n, words = pii.occurrences(spark.createDataFrame([(1, t), (2, None)], "id long, text string"), ["<desk: ", "<call the desk: ", ">, now "])
+    n = {r.side: r.n for r in n.collect()}
     assert n == {"<desk: ": 2, "<call the desk: ": 1, ">, now ": 1} and words > 10
 
 
@@ -138,6 +139,34 @@ def test_planted_identifiers_are_discovered_with_precision_and_recall(spark):
     assert all(got[i].n_spans == len(list(filter(None, got[i].spans.split(",")))) for i in got)
 
 
+def test_no_pattern_is_left_out_for_being_one_of_many(spark):
+    """Six patterns of one class of seeds: as many scans as it takes give what one scan gives."""
+    rows = [(k * 10 + j, f"{word} {' '.join(['x'] * 60)} my {word} line: {200 + k}-555-{1000 + k * 50 + j} {' '.join(['y'] * 40)}") for k, word in enumerate("red green blue black white brown".split()) for j in range(8)]
+    seeds = [(r, p, f"{r}", True, 0) for k, word in enumerate("red green blue black white brown".split()) for r in range(k * 10, k * 10 + 8) for p in (f"phone<my {word} line: ",)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    edges = spark.createDataFrame(seeds, "row long, pattern string, instance string, seed boolean, start long")
+    want = {r.pattern for r in pii.trusted_patterns(docs, edges, least_lift=0.0).collect()}
+    assert len(want) == 6
+    for sides in (1, 3):
+        assert {r.pattern for r in pii.trusted_patterns(docs, edges, least_lift=0.0, scan_sides=sides).collect()} == want
+
+
+def test_spans_that_are_chosen_stay_apart():
+    r = random.Random(2)
+    found = []
+    for _ in range(300):
+        start = r.randrange(2000)
+        found.append({"start": start, "end": start + r.randrange(1, 40), "kind": "phone"})
+    taken = []
+    for x in found:
+        if all(y["end"] <= x["start"] or x["end"] <= y["start"] for y in taken):
+            taken.append(x)
+    assert pii.clear_spans(found) == taken and pii.clear_spans([]) == []
+    many = [{"start": 3 * k, "end": 3 * k + 2, "kind": "ip"} for k in range(100_000)]
+    r.shuffle(many)
+    assert len(pii.clear_spans(many)) == 100_000
+
+
 def test_over_odd_rows(odd, odd_rows, none):
     got = sorted(((r.id, r.base_sha256, r.n_ip, r.n_email) for r in pii.extract(odd).collect()), key=str)
     want = []
