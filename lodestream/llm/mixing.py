@@ -141,7 +141,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def positions(mixed: DataFrame) -> DataFrame:
     """A table that `mix` was written to, with each row's `position` in the training order, from 0.
 
-    The order is that of the files' names and of the rows in each. The window runs over one row a file. Where rows
+    The order is that of the numbers in the files' names, then of the names, and of the rows in each. The window runs
+    over one row a file. Where rows
     don't come from files, the order is that of the DataFrame's own partitions.
     """
     try:
@@ -150,5 +151,8 @@ def positions(mixed: DataFrame) -> DataFrame:
         rows = mixed.withColumn("__id", F.monotonically_increasing_id())
         rows = rows.withColumn("__file", F.lpad(F.shiftright("__id", 33).cast("string"), 12, "0")).withColumn("__row", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
     files = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
-    starts = files.select(F.upper("__file").alias("__key"), (F.sum("__n").over(W.orderBy("__file")) - F.col("__n")).alias("__start"))
-    return rows.join(F.broadcast(starts), F.upper("__file") == F.col("__key")).withColumn("position", F.col("__start") + F.col("__row")).drop("__file", "__row", "__key", "__start")
+    # by the numbers of task and file, which outgrow the width that they are padded to
+    number = lambda pattern: F.coalesce(F.expr("try_cast(regexp_extract(__file, '" + pattern + "', 1) AS long)"), F.lit(-1))
+    in_order = W.orderBy(number("^part-([0-9]+)"), number("-c([0-9]+)[.]"), "__file")
+    starts = files.select(F.upper("__file").alias("__key"), (F.sum("__n").over(in_order) - F.col("__n")).alias("__start"))
+    return rows.join(starts, F.upper("__file") == F.col("__key")).withColumn("position", F.col("__start") + F.col("__row")).drop("__file", "__row", "__key", "__start")

@@ -100,3 +100,16 @@ def test_sources_without_words(spark):
     assert {r.target for r in mixing.plan(df.where("source = 'a'")).collect()} == {0.0}
     assert sorted(r.doc_id for r in mixing.mix(df).collect()) == [3, 3]
     assert mixing.ordered(mixing.plan(df)).count() == 3
+
+
+def test_positions_follow_numbers_beyond_the_width_of_file_names(spark, tmp_path):
+    """Task numbers are padded to five digits: part-100000 comes after part-99999, though not as text."""
+    rows = [(k, f"text {k}") for k in range(40)]
+    names = ["part-00002-x-c000.parquet", "part-99999-x-c000.parquet", "part-99999-x-c001.parquet", "part-99999-x-c1000.parquet", "part-100000-x-c000.parquet"]
+    (tmp_path / "mixed").mkdir()
+    for k, name in enumerate(names):
+        spark.createDataFrame(rows[8 * k : 8 * k + 8], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"one-{k}"))
+        made = next((tmp_path / f"one-{k}").glob("part-*.parquet"))
+        made.rename(tmp_path / "mixed" / name)
+    got = mixing.positions(spark.read.parquet(str(tmp_path / "mixed"))).collect()
+    assert {r.doc_id: r.position for r in got} == {k: k for k in range(40)}
