@@ -171,27 +171,24 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     lead = F.min_by(F.struct("id", "url"), F.struct(F.col("id").isNull(), "id", "url")).alias("lead")
     firsts = slim.where(F.col("n") >= least_bytes).groupBy("digest").agg(lead, F.count(F.lit(1)).alias("k")).where("k > 1")
     firsts = firsts.select(F.upper("digest").alias("key"), F.col("lead.id").alias("first"), F.col("lead.url").alias("first_url"))
-    # rows that repeat id, address and payload stand together, and are numbered
-    rows = slim.join(firsts.hint("merge"), F.upper("digest") == F.col("key"), "left").select("id", "url", "payload", "digest", "first", "first_url", (F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).alias("revisit")).sortWithinPartitions("digest", "id", "url")
+    slim = _numbered(slim)
+    rows = slim.join(firsts.hint("merge"), F.upper("digest") == F.col("key"), "left").select("id", "url", "payload", "digest", "copy", "first", "first_url", (F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).alias("revisit"))
     _place(folder)[0].create_dir(_place(folder)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _place(folder)
         out, name, n, size = None, "", 0, 0
-        last, copy = None, 0
 
         def told() -> pa.RecordBatch:
             out.close()
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
         for batch in batches:
-            for id_, url, text, digest, first, first_url, revisit in zip(*(batch.column(c) for c in ("id", "url", "payload", "digest", "first", "first_url", "revisit"))):
+            for id_, url, text, digest, copy, first, first_url, revisit in zip(*batch.columns):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{top}/{name}", compression=None)
-                key = id_.as_py(), url.as_py(), digest.as_py()
-                last, copy = key, copy + 1 if key == last else 0
-                data = record_bytes(*key[:2], text.as_py().encode(), key[2], first.as_py(), revisit.as_py(), refers_url=first_url.as_py(), copy=copy)
+                data = record_bytes(id_.as_py(), url.as_py(), text.as_py().encode(), digest.as_py(), first.as_py(), revisit.as_py(), refers_url=first_url.as_py(), copy=copy.as_py())
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= ARCHIVE:
@@ -203,6 +200,21 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     return written(rows.mapInArrow(run, "path string, records long, bytes long"), "archives")
 
 
+def _numbered(slim: DataFrame) -> DataFrame:
+    """Rows (id, url, payload, digest, n) with `copy`, the number of a row among those that repeat id, address and payload.
+
+    Rows that repeat are counted, and so many are made from one of them: no order within a task is relied on.
+    """
+    key = F.concat_ws("\x01", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("="), "url"), F.lit("null")), "digest")
+    several = written(slim.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key"), "repeated-pages")
+    if several.isEmpty():
+        return slim.withColumn("copy", F.lit(0))
+    keyed = slim.withColumn("key", key)
+    held = keyed.join(several, "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in slim.columns], F.count(F.lit(1)).cast("int").alias("copies"))
+    held = held.select(*slim.columns, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    return keyed.join(several, "key", "left_anti").select(*slim.columns, F.lit(0).alias("copy")).unionByName(held)
+
+
 def read_archives(archives: DataFrame, path_col: str = "path") -> DataFrame:
     """One row a record of the archives named in `path`: id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 

@@ -88,3 +88,29 @@ def test_more_than_one_archive_and_a_very_long_record(spark, monkeypatch, tmp_pa
 
 def test_places_of_stores():
     assert warc._place("file:///tmp/x")[1] == "/tmp/x" and warc._place("dbfs:/a/b")[1] == "/dbfs/a/b" and warc._place("/a/b")[1] == "/a/b"
+
+
+def test_record_ids_are_unique_however_partitions_are_split(spark, tmp_path):
+    """One page repeated 4000 times, with skewed join partitions split: no two records share a name."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = [(1, "http://a/", "x" * 200)] * 4000 + [(2, "http://a/", "x" * 200)] * 20 + [(k, f"http://b/{k}", "y" * (k % 300)) for k in range(3, 480)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(16)
+        archives = warc.write_archives(pages, str(tmp_path / "archives"))
+        names, referred = [], set()
+        for r in archives.collect():
+            with open(r.path, "rb") as f:
+                for record in warc.records(f):
+                    names.append(record.headers["warc-record-id"])
+                    referred |= {record.headers["warc-refers-to"]} if "warc-refers-to" in record.headers else set()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(names) == len(rows) and len(set(names)) == len(names)
+    assert referred and referred <= set(names)
