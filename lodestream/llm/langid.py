@@ -1,9 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-* A text is split at white space; each piece without digits gives its runs of letters in lower case, and each run is
-  scored as a sequence of characters between boundary marks; a text that has letters beside digits only is scored on
-  those. Models don't look across words, so that a word has one score in each
-  language, which a worker remembers.
+* A text is split at white space; each piece gives its runs of letters in lower case, and each run is scored as a
+  sequence of characters between boundary marks, also those beside digits. Models don't look across words, so that a
+  word has one score in each language, which a worker remembers.
 * For each language: counts of character n-grams of the highest order; continuation counts (distinct characters
   before) below; one discount an order, n1 / (n1 + 2 n2); interpolation down to a uniform distribution.
 * Models are arrays of 64-bit n-gram hashes in order, searched by bisection, with log probabilities beside them, and
@@ -48,7 +47,6 @@ UNKNOWN = "und"
 MARK = "\x02"
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
-_DIGIT = regex.compile(r"\p{N}")
 #: Pieces, and characters in them, whose scores a worker remembers before it starts anew.
 MEMO, MEMO_CHARS = 400_000, 20_000_000
 #: Rows (id, language) of the training sample up to which it is broadcast.
@@ -153,14 +151,11 @@ class Identifier:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("memo", "memory", "chars")}
 
-    def piece_scores(self, pieces: list[str], digits: bool = False) -> np.ndarray:
-        """A row for each piece: log probability in each language, then the number of characters scored.
-
-        Pieces with a digit are identifiers rather than words: without `digits` they score nothing.
-        """
+    def piece_scores(self, pieces: list[str]) -> np.ndarray:
+        """A row for each piece: log probability of its letters in each language, then the number of characters scored."""
         runs, owner = [], []
         for i, piece in enumerate(pieces):
-            for run in _LETTERS.findall(piece) if digits or not _DIGIT.search(piece) else ():
+            for run in _LETTERS.findall(piece):
                 runs.append(run.lower())
                 owner.append(i)
         out = np.zeros((len(pieces), len(self.languages) + 1))
@@ -199,8 +194,6 @@ class Identifier:
         out[:, -1] = 0
         for i, pieces in enumerate(split):
             total = self.memory[np.fromiter(map(memo.__getitem__, pieces), np.int64, len(pieces))].sum(0, dtype=float)
-            if not total[-1]:  # no words: what letters there are must do
-                total = self.piece_scores(pieces, digits=True).sum(0)
             if total[-1]:
                 out[i, :-1] = -total[:-1] / total[-1]
                 out[i, -1] = total[-1]
@@ -261,7 +254,7 @@ def fit(docs: DataFrame, order: int = 4, most_docs: int = 1500, held_back: int =
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 own = found.setdefault(lang, Counter())
-                for run in _LETTERS.findall(" ".join(p for p in text.split() if not _DIGIT.search(p))):
+                for run in _LETTERS.findall(text):
                     run = MARK + run.lower() + MARK
                     own.update(run[max(0, e - order) : e] for e in range(2, len(run) + 1))
         for lang, own in found.items():

@@ -101,7 +101,7 @@ def test_rejection_rates(fitted):
 def test_prediction_score_and_limit_as_brute_force(fitted):
     _, identifier = fitted
     for t in (text("en", 7000, 12), text("fr", 7001, 3), "the eau 9x9", langid.negatives(text("de", 7002, 20))["random"]):
-        runs = [r.lower() for p in t.split() if not any(c.isdigit() for c in p) for r in langid._LETTERS.findall(p)]
+        runs = [r.lower() for r in langid._LETTERS.findall(t)]
         n = sum(len(r) + 1 for r in runs)
         h = []
         for k in range(len(identifier.languages)):
@@ -115,6 +115,14 @@ def test_prediction_score_and_limit_as_brute_force(fitted):
         assert least[0] == pytest.approx(h[best], abs=1e-4) and bool(out[0]) == rejected
 
 
+def test_letters_beside_digits_count(fitted):
+    """A text half of whose words hold a digit, in another language than the rest, is judged by all its letters."""
+    _, identifier = fitted
+    german = [w[:2] + "7" + w[2:] for w in text("de", 8000, 60).split()]
+    mixed = " ".join(german + text("en", 8001, 12).split())
+    assert identifier.predict([mixed])[0] == ["de"] and identifier.entropies([mixed])[0, -1] > 2 * identifier.entropies([text("en", 8001, 12)])[0, -1]
+
+
 def test_ties_go_to_the_first_language():
     model = langid.CharModel({langid.MARK + "a": 3, langid.MARK + "b": 1}, 2)
     identifier = langid.Identifier({"zz": model, "aa": model}, 2)
