@@ -317,11 +317,6 @@ def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.cast("binary")).alias("text_md5"), F.length(text).alias("chars"))
 
 
-@query()
-def compressed_logs(spark, sf_dir):
-    return compressors.compressed_logs(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 @query()
 def crushed_text(spark, sf_dir):
     return compressors.crushed_text(table(spark, sf_dir, "documents"), "doc_id", "text")
