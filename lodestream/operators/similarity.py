@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
+from lodestream.operators import adaptive
 from lodestream.session import written
 
 
@@ -148,3 +149,24 @@ def contained_share(rows: DataFrame, key: list[str], output: str, context: str,
     known = each("c").distinct().withColumn("known", F.lit(True))
     share = said.join(known, [*key, "gram"], "left").groupBy(*key).agg((F.sum(F.when(F.col("known"), F.col("times")).otherwise(0)) / F.sum("times")).alias("share"))
     return rows.select(*key).join(share, key, "left").select(*key, F.round(F.coalesce("share", F.lit(0.0)), 6).alias("echo"))
+
+
+def merged(rows: DataFrame, id_col: str, text_col: str, importance: str, references: str, uses: str, above: float = 0.7) -> DataFrame:
+    """leader, id, importance, references, uses, members: rows in the order of their ids, similar ones merged into one.
+
+    As a pass in order would do it: a row that none before has taken leads a group and takes every later row that is
+    free and whose word set is more than `above` similar to its own. Of a group the row of most importance stays (the
+    first of equals), with the references of all, each once and in order, and the most uses. Rows without words, and
+    those that nothing is similar to, are groups of one. Rows that repeat an id are one row: give each its own.
+    """
+    pairs = word_jaccard_pairs(rows, id_col, text_col, above).where(F.col("jaccard") > above)
+    led = adaptive.first_representatives(pairs.select(F.lit("").alias("array"), "a", "b")).select("at", "representative")
+    own = rows.select(F.col(id_col).alias("id"), F.col(importance).alias("importance"), F.col(references).alias("references"), F.col(uses).alias("uses"))
+    grouped = own.join(led, F.col("id") == F.col("at"), "left").withColumn("leader", F.coalesce("representative", "id"))
+    best = F.max(F.struct(F.col("importance"), (-F.col("id")).alias("back"))).alias("best")
+    sums = grouped.groupBy("leader").agg(best, F.max("uses").alias("uses"), F.count("*").alias("members"))
+    each = grouped.select("leader", F.explode("references").alias("reference")).where("reference is not null").distinct()
+    all_references = each.groupBy("leader").agg(F.array_sort(F.collect_list("reference")).alias("references"))
+    out = sums.join(all_references, "leader", "left")
+    none = F.array().cast(own.schema["references"].dataType)
+    return out.select("leader", (-F.col("best.back")).alias("id"), F.col("best.importance").alias("importance"), F.coalesce("references", none).alias("references"), "uses", "members")
