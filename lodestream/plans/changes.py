@@ -1,10 +1,10 @@
-"""Queries over diffs, and memories that are merged."""
+"""Queries over diffs, memories that are merged, and an index of vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestream.operators import diffs, similarity
+from lodestream.operators import ann, diffs, similarity
 from lodestream.plans.registry import query, table
 
 _EACH = 8  # lines of either side in a hunk
@@ -64,3 +64,10 @@ def merged_memories(spark, sf_dir):
     rows = d.select("doc_id", "text", (F.xxhash64("doc_id") % 10).alias("importance"), F.array("source", "lang").alias("refs"), F.length("text").alias("uses"))
     out = similarity.merged(rows, "doc_id", "text", "importance", "refs", "uses", 0.7)
     return out.select("leader", F.col("id").alias("doc_id"), "importance", F.array_join("references", ",").alias("references"), "uses", "members")
+
+
+@query()
+def approximate_top_k(spark, sf_dir):
+    """The ten vectors most similar to each whose id is divisible by 50, by an inverted-file index over all of them."""
+    v = table(spark, sf_dir, "embeddings")
+    return ann.VectorIndex.build(v, "vec_id", "embedding").nearest(v.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
