@@ -29,26 +29,79 @@ from lodestream.session import written
 WHOLE, ALIKE, LEAST_GAIN = 8, 3, 0.05
 #: Shares kept without a bend, the diversity from which a floor holds, the ratio gap and the growth by it.
 BASE_SHARE, DIVERSE, RATIO_GAP, GROWTH, LEAST_BYTES = 0.3, 0.7, 0.15, 1.2, 200
+#: Characters in a gram, characters hashed at once, and grams that a worker remembers at most.
+GRAM, RUN, MEMO = 4, 1 << 18, 500_000
+_GRAMS: dict[str, int] = {}
 #: Positions in a chunk of a running sum.
 CHUNK = 4096
 
 
 def hash_of(text: str) -> int:
     """64 bits by majority over the first eight MD5 bytes of a text's four-character grams; short texts are one gram."""
-    votes = _votes(text, {})
-    return int(sum(1 << j for j in range(64) if votes[j] > 0))
-
-
-def _votes(text: str, memo: dict[str, np.ndarray]) -> np.ndarray:
-    total = np.zeros(64, np.int64)
-    for i in range(max(1, len(text) - 3)):
-        gram = text[i : i + 4]
-        bits = memo.get(gram)
-        if bits is None:
-            digest = np.frombuffer(hashlib.md5(gram.encode()).digest()[7::-1], np.uint8)
-            bits = memo[gram] = np.unpackbits(digest, bitorder="little").astype(np.int8) * 2 - 1
-        total += bits
-    return total
+    return int(hashes_of([text])[0])
+
+
+def _gram_hash(gram: str) -> int:
+    return int.from_bytes(hashlib.md5(gram.encode()).digest()[:8], "big")
+
+
+def hashes_of(texts: list[str], memo: dict | None = None) -> np.ndarray:
+    """The hashes of many texts: grams are numbers of 64 bits, each distinct one is digested once, and bits are summed."""
+    memo = {} if memo is None else memo
+    out = np.zeros(len(texts), np.uint64)
+    held: list[int] = []
+    size = 0
+    for k, text in enumerate(texts):
+        if len(text) <= GRAM:  # one gram, whose majority is itself
+            out[k] = _gram_hash(text)
+            continue
+        held.append(k)
+        size += len(text)
+        if size >= RUN:
+            out[held] = _run_hashes([texts[j] for j in held], memo)
+            held, size = [], 0
+    if held:
+        out[held] = _run_hashes([texts[j] for j in held], memo)
+    return out
+
+
+def _run_hashes(texts: list[str], memo: dict) -> np.ndarray:
+    """Hashes of texts longer than a gram, laid end to end; characters are numbered, 16 bits each."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    known, numbers = np.unique(codes, return_inverse=True)
+    if len(known) > 1 << 16:  # more characters than numbers: halves have fewer
+        if len(texts) == 1:
+            votes = np.zeros(64, np.int64)
+            for i in range(len(texts[0]) - GRAM + 1):
+                h = _gram_hash(texts[0][i : i + GRAM])
+                votes += np.array([1 if h >> j & 1 else -1 for j in range(64)])
+            return np.array([sum(1 << j for j in range(64) if votes[j] > 0)], np.uint64)
+        half = len(texts) // 2
+        return np.concatenate([_run_hashes(texts[:half], memo), _run_hashes(texts[half:], memo)])
+    numbers = numbers.astype(np.uint64)
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(n)
+    packed = numbers[: len(numbers) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        packed = packed << np.uint64(16) | numbers[k : len(numbers) - GRAM + 1 + k]
+    inside = np.ones(len(packed), bool)
+    for k in range(1, GRAM):  # grams don't run from one text into the next
+        inside[ends[:-1] - k] = False
+    grams, at = np.unique(packed[inside], return_inverse=True)
+    letters = [chr(c) for c in known.tolist()]
+    values = np.zeros(len(grams), np.uint64)
+    if len(memo) > MEMO:
+        memo.clear()
+    for k, g in enumerate(grams.tolist()):
+        gram = letters[g >> 48] + letters[g >> 32 & 0xFFFF] + letters[g >> 16 & 0xFFFF] + letters[g & 0xFFFF]
+        h = memo.get(gram)
+        if h is None:
+            h = memo[gram] = _gram_hash(gram)
+        values[k] = h
+    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts = n - GRAM + 1
+    ones = np.add.reduceat(bits[at], np.cumsum(counts) - counts, axis=0, dtype=np.int32)
+    return (np.uint64(1) << np.arange(64, dtype=np.uint64)) @ (2 * ones > counts[:, None]).T.astype(np.uint64)
 
 
 def item_hashes(items: Column) -> Column:
@@ -56,10 +109,7 @@ def item_hashes(items: Column) -> Column:
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        memo: dict[str, np.ndarray] = {}
-        weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        out = [int((weights[_votes(t, memo) > 0]).sum()) for t in texts]
-        return pd.Series(np.array(out, np.uint64).astype(np.int64))
+        return pd.Series(hashes_of(texts.tolist(), _GRAMS).astype(np.int64))
 
     return run(F.lower(items))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,18 +81,35 @@ def read_states(ops: DataFrame, session: str, path: str, order: str, default_lim
     """Reads with state: stale if a later edit of the file follows, superseded if a later read covers theirs, else fresh.
 
     ops has kind (read or edit), offset and limit; a read without limit from the start covers everything.
+
+    Whether a later read covers an earlier one is settled at one level of a binary tree over a file's reads in order: the
+    one whose halves part the two. At each level reads are swept by where they begin, with the running maximum of the
+    ends of the later half; so n reads take n log n rows, and none holds a list of others.
     """
-    later = W.partitionBy(session, path).orderBy(order).rowsBetween(1, W.unboundedFollowing)
-    begin = F.coalesce("offset", F.lit(0))
+    begin = F.coalesce("offset", F.lit(0)).cast("long")
     whole = (begin == 0) & F.col("limit").isNull()
     end = F.when(whole, F.lit(2**62)).otherwise(begin + F.coalesce("limit", F.lit(default_limit)))
-    out = ops.withColumn("__b", begin).withColumn("__e", end)
-    edited = F.max((F.col("kind") == "edit").cast("int")).over(later) == 1
-    after = F.collect_list(F.when(F.col("kind") == "read", F.struct("__b", "__e"))).over(later)
-    out = out.withColumn("__edited", F.coalesce(edited, F.lit(False))).withColumn("__after", after)
-    covered = F.exists("__after", lambda r: (r["__b"] <= F.col("__b")) & (r["__e"] >= F.col("__e")))
-    state = F.when(F.col("__edited"), "stale").when(covered, "superseded").otherwise("fresh")
-    return out.where(F.col("kind") == "read").withColumn("state", state).drop("__b", "__e", "__edited", "__after")
+    reads = ops.where(F.col("kind") == "read").withColumns({"__b": begin, "__e": end})
+    edits = ops.where(F.col("kind") == "edit").groupBy(F.col(session).alias("__s"), F.col(path).alias("__p")).agg(F.max(order).alias("__edited"))
+    group = W.partitionBy("__s", "__p")
+    spans = reads.select(F.col(session).alias("__s"), F.col(path).alias("__p"), F.col(order).alias("__o"), "__b", "__e").distinct()
+    spans = spans.withColumn("__at", (F.dense_rank().over(group.orderBy("__o")) - 1).cast("long"))
+    last = spans.groupBy("__s", "__p").agg(F.max("__at").alias("__last")).select(F.col("__s").alias("__s2"), F.col("__p").alias("__p2"), "__last")
+    placed = spans.join(last, F.col("__s").eqNullSafe(F.col("__s2")) & F.col("__p").eqNullSafe(F.col("__p2")))
+    level = F.explode(F.sequence(F.lit(0), F.length(F.bin("__last")) - 1)).alias("__level")
+    placed = placed.where("__last > 0").select("__s", "__p", "__o", "__b", "__e", "__at", level)
+    later = F.expr("shiftright(__at, __level) & 1") == 1
+    block = F.expr("shiftright(__at, __level + 1)")
+    # of reads that begin alike the longer comes first, of equal ones the later
+    sweep = W.partitionBy("__s", "__p", "__level", "__block").orderBy("__b", F.desc("__e"), F.desc("__later")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = placed.withColumns({"__block": block, "__later": later}).withColumn("__reach", F.max(F.when(F.col("__later"), F.col("__e"))).over(sweep))
+    covered = swept.where(~F.col("__later") & (F.col("__reach") >= F.col("__e"))).select("__s", "__p", "__o", "__b", "__e").distinct()
+    covered = covered.toDF("__cs", "__cp", "__co", "__cb", "__ce").withColumn("__covered", F.lit(True))
+    same = lambda *pairs: reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(b)) for a, b in pairs))
+    out = reads.join(edits, same((session, "__s"), (path, "__p")), "left")
+    out = out.join(covered, same((session, "__cs"), (path, "__cp"), (order, "__co"), ("__b", "__cb"), ("__e", "__ce")), "left")
+    state = F.when(F.col("__edited") > F.col(order), "stale").when(F.col("__covered"), "superseded").otherwise("fresh")
+    return out.select(*ops.columns, state.alias("state"))
 
 
 def tool_units(calls: DataFrame, results: DataFrame, conversation: str) -> DataFrame:

@@ -19,3 +19,20 @@ def json_paths(rows: DataFrame, key: str, text: str, depth: int = 8) -> DataFram
         step = F.coalesce(F.concat(F.lit("."), F.col("key")), F.concat(F.lit("["), F.col("pos"), F.lit("]")), F.lit(""))
         level = opened.select("__id", F.concat("path", step).alias("path"), F.coalesce("value", "node").alias("node"))
     return level.select(F.col("__id").alias(key), "path", F.expr("variant_get(node, '$', 'string')").alias("value"))
+
+
+def array_kinds(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, kind of the JSON arrays in `text`: empty, dicts, strings, numbers, bools, nested, or mixed.
+
+    An array is of a kind if all its items are; nulls alone are mixed. Texts that are no JSON array have no row.
+    """
+    parsed = rows.select(F.col(key).alias("__id"), F.try_parse_json(text).alias("node")).where("schema_of_variant(node) like 'ARRAY%'")
+    items = parsed.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("node").outer()))
+    own = F.expr("schema_of_variant(value)")
+    kind = (
+        F.when(own.startswith("OBJECT"), "dicts").when(own.startswith("ARRAY"), "nested").when(own == "STRING", "strings").when(own == "BOOLEAN", "bools")
+        .when(own == "VOID", "mixed").when(own.isNotNull(), "numbers")
+    )
+    found = items.groupBy("__id").agg(F.min(kind).alias("least"), F.max(kind).alias("most"))
+    whole = F.when(F.col("least").isNull(), "empty").when(F.col("least") == F.col("most"), F.col("least")).otherwise("mixed")
+    return found.select(F.col("__id").alias(key), whole.alias("kind"))

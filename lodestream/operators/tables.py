@@ -184,11 +184,17 @@ def _columns(cells: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _lines(cells: DataFrame, columns: DataFrame, rows: DataFrame, widths: DataFrame) -> DataFrame:
     """table, at, csv, json: the line of each row, missing cells empty or null."""
-    found = F.when(F.col("inner_key").isNull(), F.struct("csv", "json")).otherwise(F.get(F.transform(F.filter("inner", lambda x: x["field"] == F.col("inner_key")), lambda x: F.struct(x["csv"].alias("csv"), x["json"].alias("json"))), F.lit(0)))
+    inner = F.get(F.filter("inner", lambda x: x["field"] == F.col("inner_key")), F.lit(0))
+    opened = F.struct(inner["csv"].alias("csv"), inner["json"].alias("json"))
+    found = F.when(F.col("inner_key").isNull(), F.struct("csv", "json")).otherwise(opened)
     each = cells.join(columns.select("table", "field", F.col("inner").alias("inner_key"), "column"), ["table", "field"]).withColumn("cell", found)
     held = each.groupBy("table", "at").agg(F.map_from_entries(F.collect_list(F.struct("column", "cell"))).alias("cells"))
     full = rows.select("table", "at").join(held, ["table", "at"], "left").join(widths, "table")
-    texts = lambda name, missing: F.when(F.col("width") > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.col("width")), lambda k: F.coalesce(F.try_element_at("cells", k)[name], F.lit(missing))), ",")).otherwise("")
+
+    def texts(name: str, missing: str) -> Column:
+        of = F.transform(F.sequence(F.lit(1), F.col("width")), lambda k: F.coalesce(F.try_element_at("cells", k)[name], F.lit(missing)))
+        return F.when(F.col("width") > 0, F.array_join(of, ",")).otherwise("")
+
     return full.select("table", "at", texts("csv", "").alias("csv"), F.concat(F.lit("["), texts("json", "null"), F.lit("]")).alias("json"))
 
 

@@ -95,7 +95,8 @@ def trace_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 state = table[state if nth and of == now else 0]
                 now = of
                 states.append(state)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c + 1 for c in batch.column("chunk").to_pylist()], pa.int64()), pa.array(states, pa.int32())], names=["id", "chunk", "state"])
+            after = pa.array([c + 1 for c in batch.column("chunk").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), after, pa.array(states, pa.int32())], names=["id", "chunk", "state"])
 
     begins = folded.repartition("id").sortWithinPartitions("id", "chunk").mapInArrow(apply, f"id {kind}, chunk long, state int")
 

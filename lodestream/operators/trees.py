@@ -238,16 +238,20 @@ def crushed(docs: DataFrame, id_col: str, text_col: str, bias: float = 1.0, loss
     )
     content = F.concat(F.lit("["), "all", F.lit("]"))
     key = F.substring(F.sha2(content.cast("binary"), 256), 1, 12)
-    note = F.when((F.col("name") == "dicts") & (F.col("gone") > 0), F.concat(F.lit(',{"_ccr_dropped":"<<ccr:'), key, F.lit(" "), F.col("gone").cast("string"), F.lit('_rows_offloaded>>"}'))).otherwise("")
+    noted = (F.col("name") == "dicts") & (F.col("gone") > 0)
+    sentinel = F.concat(F.lit(',{"_ccr_dropped":"<<ccr:'), key, F.lit(" "), F.col("gone").cast("string"), F.lit('_rows_offloaded>>"}'))
+    note = F.when(noted, sentinel).otherwise("")
     cut = whole.join(in_table, "array", "left").select(
         "doc", F.col("parent").alias("path"), F.when(F.col("csv").isNotNull(), quoted(F.col("csv"))).otherwise(F.concat(F.lit("["), "kept", note, F.lit("]"))).alias("text"),
-        (F.col("csv").isNotNull() | (F.col("gone") > 0)).alias("changed"), key.alias("hash"), content.alias("content"), (F.col("csv").isNull() & (F.col("gone") > 0) & (F.col("name") == "dicts")).alias("stored"),
+        (F.col("csv").isNotNull() | (F.col("gone") > 0)).alias("changed"),
+        key.alias("hash"), content.alias("content"), (F.col("csv").isNull() & noted).alias("stored"),
     )
     cut = written(cut, "tree-cut")
 
     opaque = F.col("raw").isNotNull()
     leaves = nodes.where("kind in ('value', 'string')").select("doc", "parent", "depth", "place", "name", "text", opaque.alias("changed"))
-    arrays = nodes.where(F.col("kind").isin("mixed", *CUT.values())).select("doc", "path", "parent", "depth", "place", "name").join(cut.select("doc", "path", "text", "changed"), ["doc", "path"]).drop("path")
+    arrays = nodes.where(F.col("kind").isin("mixed", *CUT.values())).select("doc", "path", "parent", "depth", "place", "name")
+    arrays = arrays.join(cut.select("doc", "path", "text", "changed"), ["doc", "path"]).drop("path")
     ready = written(leaves.unionByName(arrays), "tree-ready")
     containers = written(nodes.where("kind in ('object', 'array', 'json')").select("doc", "path", "parent", "depth", "place", "name", "kind", "size", "text"), "tree-containers")
     top = containers.agg(F.max("depth")).collect()[0][0]

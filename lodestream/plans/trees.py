@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestream.operators import adaptive, compressors, tables, trees
+from lodestream.operators import adaptive, compressors, nested, tables, trees
 from lodestream.plans.registry import query, table
 
 _WORDS = "|".join(["error", "exception", "failed", "failure", "critical", "fatal", "crash", "panic", "abort", "timeout", "denied", "rejected"])
@@ -112,8 +112,10 @@ def _cells(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p, CASE WHEN event_id % 5 <> 0 THEN json_extract(props, '$.k') END AS k FROM events),
-c AS (SELECT user_id, count(*) AS n, count(k) AS ks, string_agg(CASE WHEN k IS NULL THEN event_id || ',' || event_type || ',' || value || ',' ELSE event_id || ',' || event_type || ',' || value || ',' || k END, chr(10) ORDER BY p) AS body FROM e GROUP BY user_id)
-SELECT user_id, n AS lines, '[' || n || ']{event_id:int,event_type:string,value:float' || CASE WHEN ks = 0 THEN '}' WHEN ks < n THEN ',props.k:int?}' ELSE ',props.k:int}' END AS header, md5(body) AS body_md5
+c AS (SELECT user_id, count(*) AS n, count(k) AS ks,
+  string_agg(event_id || ',' || event_type || ',' || value || ',' || coalesce(k::VARCHAR, ''), chr(10) ORDER BY p) AS body FROM e GROUP BY user_id)
+SELECT user_id, n AS lines, '[' || n || ']{event_id:int,event_type:string,value:float'
+  || CASE WHEN ks = 0 THEN '}' WHEN ks < n THEN ',props.k:int?}' ELSE ',props.k:int}' END AS header, md5(body) AS body_md5
 FROM c WHERE ks > 0 AND ks < n""")
 def table_compaction(spark, sf_dir):
     """Each user's events as a table: columns, types and which may lack a value are told from the objects, and a field
@@ -145,7 +147,8 @@ def conversation_documents(spark, sf_dir):
 def _crushed(docs):
     out, _ = trees.crushed(docs, "id", "text")
     sizes = docs.select(F.col("id").cast("string").alias("doc"), F.octet_length("text").alias("bytes_in"))
-    return out.join(sizes, "doc").select(F.col("doc").cast("long").alias("id"), "changed", "bytes_in", F.octet_length("crushed").alias("bytes_out"), F.md5(F.col("crushed").cast("binary")).alias("crushed_md5"))
+    bytes_out, digest = F.octet_length("crushed").alias("bytes_out"), F.md5(F.col("crushed").cast("binary")).alias("crushed_md5")
+    return out.join(sizes, "doc").select(F.col("doc").cast("long").alias("id"), "changed", "bytes_in", bytes_out, digest)
 
 
 @query()
@@ -158,3 +161,26 @@ def crushed_events(spark, sf_dir):
 def crushed_conversations(spark, sf_dir):
     """Conversations as JSON documents, crushed: long texts become markers, what was said is cut."""
     return _crushed(conversation_documents(spark, sf_dir))
+
+
+@query("""WITH a AS (SELECT event_id, event_type, value, props, json_extract_string(props, '$.k') AS k FROM events),
+t AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '[]' WHEN 1 THEN '[' || props || ',' || props || ']' WHEN 2 THEN '["' || event_type || '","x"]'
+  WHEN 3 THEN '[' || k || ',' || value || ']' WHEN 4 THEN '[[' || k || '],[]]'
+  WHEN 5 THEN '[' || (value > 50)::VARCHAR || ',true]' WHEN 6 THEN '[null,null]' WHEN 7 THEN '[' || k || ',"' || k || '"]' ELSE props END AS s FROM a),
+i AS (SELECT event_id, unnest(json_extract(s, '$[*]')) AS x FROM t WHERE json_type(s) = 'ARRAY'),
+k AS (SELECT event_id, CASE json_type(x) WHEN 'OBJECT' THEN 'dicts' WHEN 'ARRAY' THEN 'nested' WHEN 'VARCHAR' THEN 'strings'
+  WHEN 'BOOLEAN' THEN 'bools' WHEN 'NULL' THEN 'mixed' ELSE 'numbers' END AS kind FROM i)
+SELECT t.event_id, CASE WHEN count(kind) = 0 THEN 'empty' WHEN min(kind) = max(kind) THEN min(kind) ELSE 'mixed' END AS kind
+FROM t LEFT JOIN k USING (event_id) WHERE json_type(s) = 'ARRAY' GROUP BY t.event_id""")
+def array_kinds(spark, sf_dir):
+    """What JSON arrays hold, told from all their items; the arrays are made from events' columns."""
+    k, value = F.get_json_object("props", "$.k"), F.col("value").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = [
+        text("[]"), text("[", F.col("props"), ",", F.col("props"), "]"), text('["', F.col("event_type"), '","x"]'), text("[", k, ",", value, "]"), text("[[", k, "],[]]"),
+        text("[", (F.col("value") > 50).cast("string"), ",true]"), text("[null,null]"), text("[", k, ',"', k, '"]'), F.col("props"),
+    ]
+    made = forms[-1]
+    for j, form in enumerate(forms[:-1]):
+        made = F.when(F.col("event_id") % len(forms) == j, form).otherwise(made)
+    return nested.array_kinds(table(spark, sf_dir, "events").select("event_id", made.alias("text")), "event_id", "text")

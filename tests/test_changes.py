@@ -107,3 +107,27 @@ def test_query_on_documents_equals_the_pass_in_order(spark, small):
     want = [(a, b, c, ",".join(refs), uses, n) for a, b, c, refs, uses, n in brute_merge([tuple(r) for r in d.collect()], 0.7)]
     got = entry.queries()["merged_memories"](spark, small).collect()
     assert sorted((r.leader, r.doc_id, r.importance, r.references, r.uses, r.members) for r in got) == want
+
+
+def test_states_of_reads_equal_pairwise_comparison(spark):
+    from lodestream.operators import memory
+
+    r = random.Random(6)
+    ops = []
+    for k in range(600):
+        whole = r.random() < 0.02
+        ops.append((r.choice(["s", "t", None]), r.choice(["f", "g", None]), k // 2, "edit" if r.random() < 0.01 else "read", None if whole else r.randrange(60), None if whole else r.choice([5, 20, 40, None])))
+    df = spark.createDataFrame([(*o, i) for i, o in enumerate(ops)], "s string, f string, o long, kind string, offset long, limit long, i long").repartition(4)
+
+    def span(o):
+        b = o[4] or 0
+        return b, 2**62 if b == 0 and o[5] is None else b + (2000 if o[5] is None else o[5])
+
+    want = {}
+    for i, o in enumerate(ops):
+        if o[3] == "read":
+            later = [x for x in ops if x[:2] == o[:2] and x[2] > o[2]]
+            b, e = span(o)
+            want[i] = "stale" if any(x[3] == "edit" for x in later) else "superseded" if any(span(x)[0] <= b and span(x)[1] >= e for x in later) else "fresh"
+    got = {x.i: x.state for x in memory.read_states(df, "s", "f", "o").collect()}
+    assert got == want and set(want.values()) == {"stale", "superseded", "fresh"}
