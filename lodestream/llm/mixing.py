@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestream.session import written
+
 #: Rows that a cell holds on average; a window orders one cell at a time.
 CELL_ROWS = 20_000
 
@@ -155,4 +157,5 @@ def positions(mixed: DataFrame) -> DataFrame:
     number = lambda pattern: F.coalesce(F.expr("try_cast(regexp_extract(__file, '" + pattern + "', 1) AS long)"), F.lit(-1))
     in_order = W.orderBy(number("^part-([0-9]+)"), number("-c([0-9]+)[.]"), "__file")
     starts = files.select(F.upper("__file").alias("__key"), (F.sum("__n").over(in_order) - F.col("__n")).alias("__start"))
+    starts = written(starts, "file-starts")  # of known size, so that the planner can tell whether to broadcast it
     return rows.join(starts, F.upper("__file") == F.col("__key")).withColumn("position", F.col("__start") + F.col("__row")).drop("__file", "__row", "__key", "__start")
