@@ -269,7 +269,7 @@ def bleu(spark, sf_dir):
     c = g.groupBy("conv_id", "turn", "n", "gram").agg(F.count(F.lit(1)).alias("k"))
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), "n", "gram", F.col("k").alias("seen"))
     shared = F.sum(F.least("k", F.coalesce("seen", F.lit(0))))
-    m = c.join(before, ["conv_id", "turn", "n", "gram"], "left").groupBy("conv_id", "turn", "n").agg((shared / F.sum("k")).alias("p"))
+    m = c.join(before.hint("merge"), ["conv_id", "turn", "n", "gram"], "left").groupBy("conv_id", "turn", "n").agg((shared / F.sum("k")).alias("p"))
     return m.where("p > 0 AND turn > 0").groupBy("conv_id", "turn").agg(F.round(F.exp(F.avg(F.log("p"))), 6).alias("bleu"))
 
 
