@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.operators.selection import k_split
-from lodestream.session import written
+from lodestream.session import discard, written
 
 #: Arrays up to this length stay whole; alike is up to this many differing bits; the bend's least height.
 WHOLE, ALIKE, LEAST_GAIN = 8, 3, 0.05
@@ -132,7 +132,7 @@ def close_pairs(nodes: DataFrame, most: int = ALIKE) -> DataFrame:
     keyed = nodes.select("array", "at", "hash", F.posexplode(F.array(*keys)).alias("which", "key"))
     x, y = keyed.toDF("array", "a", "ah", "which", "key"), keyed.toDF("array", "b", "bh", "which", "key")
     near = F.bit_count(F.col("ah").bitwiseXOR(F.col("bh"))) <= most
-    return x.join(y, ["array", "which", "key"]).where((F.col("a") < F.col("b")) & near).select("array", "a", "b").distinct()
+    return x.join(y.hint("merge"), ["array", "which", "key"]).where((F.col("a") < F.col("b")) & near).select("array", "a", "b").distinct()
 
 
 def first_representatives(pairs: DataFrame) -> DataFrame:
@@ -143,28 +143,29 @@ def first_representatives(pairs: DataFrame) -> DataFrame:
     covered, and decided nodes leave the graph. Rounds are as many as the longest chain of links in ascending order.
     """
     left, decided, rounds = written(pairs.select("array", "a", "b"), "links"), [], 0
-    every = left
+    every, ends = left, lambda df: df.select("array", F.explode(F.array("a", "b")).alias("at")).distinct()
     while not left.isEmpty():
-        own = left.select("array", F.col("a").alias("at")).distinct().join(left.select("array", F.col("b").alias("at")).distinct(), ["array", "at"], "left_anti")
-        covered = left.join(own.withColumnRenamed("at", "a"), ["array", "a"], "left_semi").select("array", F.col("b").alias("at")).distinct()
+        own = left.select("array", F.col("a").alias("at")).distinct().join(left.select("array", F.col("b").alias("at")).distinct().hint("merge"), ["array", "at"], "left_anti")
+        own = written(own, f"links-own-{rounds}")
+        covered = left.join(own.withColumnRenamed("at", "a").hint("merge"), ["array", "a"], "left_semi").select("array", F.col("b").alias("at")).distinct()
         state = written(own.withColumn("own", F.lit(True)).unionByName(covered.withColumn("own", F.lit(False))), f"links-round-{rounds}")
         rest = left
         for side in ("a", "b"):
-            rest = rest.join(state.select("array", F.col("at").alias(side)), ["array", side], "left_anti")
+            rest = rest.join(state.select("array", F.col("at").alias(side)).hint("merge"), ["array", side], "left_anti")
         rest = written(rest.select("array", "a", "b"), f"links-left-{rounds}")
         # nodes whose links have all gone without being covered stand for themselves
-        ends = lambda df: df.select("array", F.explode(F.array("a", "b")).alias("at")).distinct()
-        free = ends(left).join(state.select("array", "at"), ["array", "at"], "left_anti").join(ends(rest), ["array", "at"], "left_anti")
-        decided += [state, free.withColumn("own", F.lit(True))]
+        gone = ends(left).join(state.select("array", "at").hint("merge"), ["array", "at"], "left_anti")
+        free = written(gone.join(ends(rest).hint("merge"), ["array", "at"], "left_anti").withColumn("own", F.lit(True)), f"links-free-{rounds}")
+        decided += [state, free]
+        discard(own, *[left][: left is not every])
         left, rounds = rest, rounds + 1
     if not decided:
         return every.select("array", F.col("a").alias("at"), F.col("a").alias("representative"))
-    state = decided[0]
-    for more in decided[1:]:
-        state = state.unionByName(more)
+    # one scan of all rounds: a union's plan would grow with them
+    state = every.sparkSession.read.schema(decided[0].schema).parquet(*[df._written_to for df in decided])
     owners = state.where("own").select("array", F.col("at").alias("a"))
-    first = every.join(owners, ["array", "a"], "left_semi").groupBy("array", F.col("b").alias("at")).agg(F.min("a").alias("representative"))
-    joined = state.join(first, ["array", "at"], "left")
+    first = every.join(owners.hint("merge"), ["array", "a"], "left_semi").groupBy("array", F.col("b").alias("at")).agg(F.min("a").alias("representative"))
+    joined = state.join(first.hint("merge"), ["array", "at"], "left")
     return joined.select("array", "at", F.when(F.col("own"), F.col("at")).otherwise(F.col("representative")).alias("representative"))
 
 
@@ -173,7 +174,7 @@ def clusters(items: DataFrame, most: int = ALIKE) -> DataFrame:
     hashes = written(items.select("array", "pos", item_hashes(F.col("item")).alias("hash")), "hashes")
     nodes = written(hashes.groupBy("array", "hash").agg(F.min("pos").alias("at")), "hash-nodes")
     found = first_representatives(close_pairs(nodes, most))
-    named = nodes.join(found, ["array", "at"], "left").select("array", "hash", F.coalesce("representative", "at").alias("representative"))
+    named = nodes.join(found.hint("merge"), ["array", "at"], "left").select("array", "hash", F.coalesce("representative", "at").alias("representative"))
     return hashes.join(named.hint("merge"), ["array", "hash"]).select("array", "pos", "representative")
 
 
@@ -182,7 +183,7 @@ def running_total(rows: DataFrame, value: str) -> DataFrame:
     chunked = rows.withColumn("chunk", F.expr(f"pos div {CHUNK}"))
     sums = chunked.groupBy("array", "chunk").agg(F.sum(value).alias("here"))
     before = F.coalesce(F.sum("here").over(W.partitionBy("array").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    joined = chunked.join(sums.select("array", "chunk", before.alias("before")), ["array", "chunk"])
+    joined = chunked.join(sums.select("array", "chunk", before.alias("before")).hint("merge"), ["array", "chunk"])
     inner = F.sum(value).over(W.partitionBy("array", "chunk").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
     return joined.withColumn("total", inner + F.col("before")).drop("chunk", "before")
 
@@ -194,7 +195,7 @@ def pair_curve(items: DataFrame) -> DataFrame:
     pair = pair.otherwise(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat(F.get("words", i - 1), F.lit(" "), F.get("words", i))))
     first = items.select("array", "pos", words.alias("words")).select("array", "pos", F.explode(pair).alias("pair")).groupBy("array", "pair").agg(F.min("pos").alias("pos"))
     new = first.groupBy("array", "pos").agg(F.count("*").alias("new"))
-    all_items = items.select("array", "pos").join(new, ["array", "pos"], "left").fillna(0, ["new"])
+    all_items = items.select("array", "pos").join(new.hint("merge"), ["array", "pos"], "left").fillna(0, ["new"])
     return running_total(all_items, "new").select("array", "pos", "total")
 
 
@@ -202,7 +203,7 @@ def bend(curve: DataFrame) -> DataFrame:
     """array, knee: items up to where the curve lies highest above its chord; 1 if flat, null if it lies too low."""
     whole = curve.groupBy("array").agg(F.min("total").alias("low"), F.max("total").alias("high"), F.count("*").alias("n"))
     gain = (F.col("total") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0)) - F.col("pos") / F.nullif(F.col("n") - 1, F.lit(0))
-    best = curve.join(whole, "array").withColumn("gain", gain).groupBy("array").agg(
+    best = curve.join(whole.hint("merge"), "array").withColumn("gain", gain).groupBy("array").agg(
         F.max(F.struct("gain", (-F.col("pos")).alias("back"))).alias("best"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("n").alias("n")
     )
     knee = F.when(F.col("n") < 3, F.lit(None)).when(F.col("high") == F.col("low"), F.lit(1)).when(F.col("best.gain") >= LEAST_GAIN, 1 - F.col("best.back"))
@@ -261,9 +262,9 @@ def optimal_k(items: DataFrame, bias: float = 1.0, min_k: int = 3, max_k: int |
     """
     items = written(items.select("array", "pos", F.coalesce("item", F.lit("")).alias("item")), "array-items")
     sizes = items.groupBy("array").agg(F.count("*").alias("n"))
-    large = items.join(sizes.where(F.col("n") > WHOLE).select("array"), "array", "left_semi")
+    large = items.join(sizes.where(F.col("n") > WHOLE).select("array").hint("merge"), "array", "left_semi")
     alike = clusters(large).groupBy("array").agg(F.countDistinct("representative").alias("clusters"))
-    known = sizes.join(alike, "array", "left").join(bend(pair_curve(large)), "array", "left")
+    known = sizes.join(alike.hint("merge"), "array", "left").join(bend(pair_curve(large)).hint("merge"), "array", "left")
     n, kinds, knee = F.col("n"), F.col("clusters"), F.col("knee")
     cap = F.lit(max_k) if max_k is not None else n
     share = F.floor(n * (F.lit(BASE_SHARE) + F.lit(1 - BASE_SHARE) * (kinds / n)))
@@ -276,10 +277,10 @@ def optimal_k(items: DataFrame, bias: float = 1.0, min_k: int = 3, max_k: int |
         return known.select("array", "n", "clusters", "knee", "k")
     known = written(known, "array-k")
     open_ones = known.where((n > WHOLE) & (kinds > 3) & (F.col("k") < n) & (F.col("k") < cap)).select("array", "k")
-    ratios = deflated_ratios(items.join(open_ones, "array")).withColumnRenamed("bytes", "size")
+    ratios = deflated_ratios(items.join(open_ones.hint("merge"), "array")).withColumnRenamed("bytes", "size")
     grown = F.least(F.floor(F.col("k") * GROWTH), cap)
     off = (F.col("size") >= LEAST_BYTES) & (F.abs(F.col("whole") - F.col("first")) > RATIO_GAP)
-    known = known.join(ratios, "array", "left").withColumn("k", F.when(off, F.greatest(F.lit(min_k), grown)).otherwise(F.col("k")).cast("long"))
+    known = known.join(ratios.hint("merge"), "array", "left").withColumn("k", F.when(off, F.greatest(F.lit(min_k), grown)).otherwise(F.col("k")).cast("long"))
     return known.select("array", "n", "clusters", "knee", "k")
 
 
@@ -298,28 +299,28 @@ def sampled(items: DataFrame, budgets: DataFrame, distinct: bool = True) -> Data
     one at an earlier stride takes none.
     """
     first, last = edges(F.col("k"))
-    at = items.join(budgets.select("array", "n", "k"), "array").withColumn("kept", F.col("must") | (F.col("pos") < first) | (F.col("pos") >= F.col("n") - last))
+    at = items.join(budgets.select("array", "n", "k").hint("merge"), "array").withColumn("kept", F.col("must") | (F.col("pos") < first) | (F.col("pos") >= F.col("n") - last))
     at = written(at, "sampled")
     sums = at.groupBy("array").agg(F.sum(F.col("kept").cast("int")).alias("n_kept"), F.sum("extra").alias("extra"), F.max("k").alias("k"), F.max("n").alias("n"))
     room = F.greatest(F.col("k") - F.col("n_kept"), F.lit(0))
     step = F.greatest(F.lit(1).cast("long"), F.expr("(n - 1) div (room + 1)"))
     sums = sums.withColumn("room", room).withColumn("step", step).withColumn("places", F.col("k") + F.col("extra") - F.col("n_kept"))
     open_ones = sums.where((F.col("room") > 0) & (F.col("n") > WHOLE)).select("array", "step", "places")
-    tried = at.where(~F.col("kept")).join(open_ones, "array").where(F.col("pos") % F.col("step") == 0)
+    tried = at.where(~F.col("kept")).join(open_ones.hint("merge"), "array").where(F.col("pos") % F.col("step") == 0)
     if distinct:
-        tried = tried.join(at.where("kept").select("array", "item").distinct(), ["array", "item"], "left_anti")
+        tried = tried.join(at.where("kept").select("array", "item").distinct().hint("merge"), ["array", "item"], "left_anti")
         tried = tried.groupBy("array", "item").agg(F.min("pos").alias("pos"), F.first("places").alias("places"))
     nth = F.row_number().over(W.partitionBy("array").orderBy("pos"))
     strided = tried.withColumn("nth", nth).where(F.col("nth") <= F.col("places")).select("array", "pos", F.lit(True).alias("strided"))
     why = F.when(F.col("n") <= WHOLE, "whole").when(F.col("must"), "marked").when(F.col("kept"), "edge").when(F.col("strided"), "stride").otherwise("dropped")
-    return at.join(strided, ["array", "pos"], "left").select("array", "pos", why.alias("why"))
+    return at.join(strided.hint("merge"), ["array", "pos"], "left").select("array", "pos", why.alias("why"))
 
 
 def away(items: DataFrame, value: str, sigmas: float = 2.0) -> DataFrame:
     """items with `deviation` and `away`: whether a value lies more than `sigmas` sample deviations from its array's mean."""
     stats = items.groupBy("array").agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("deviation"))
     strays = F.coalesce((F.col("deviation") > 0) & (F.abs(F.col(value) - F.col("__mean")) > sigmas * F.col("deviation")), F.lit(False))
-    return items.join(stats, "array").withColumn("away", strays).drop("__mean")
+    return items.join(stats.hint("merge"), "array").withColumn("away", strays).drop("__mean")
 
 
 def changes(items: DataFrame, value: str, window: int = 5, sigmas: float = 2.0) -> DataFrame:
@@ -332,4 +333,4 @@ def changes(items: DataFrame, value: str, window: int = 5, sigmas: float = 2.0)
     means = sent.groupBy("array", "pos").agg(before.alias("before"), after.alias("after"))
     whole = items.groupBy("array").agg(F.count("*").alias("n"), F.max("deviation").alias("deviation"))
     inside = (F.col("n") > 2 * window) & (F.col("pos") >= window) & (F.col("pos") < F.col("n") - window)
-    return means.join(whole, "array").where(inside & (F.col("deviation") > 0) & (F.abs(F.col("after") - F.col("before")) > sigmas * F.col("deviation"))).select("array", "pos")
+    return means.join(whole.hint("merge"), "array").where(inside & (F.col("deviation") > 0) & (F.abs(F.col("after") - F.col("before")) > sigmas * F.col("deviation"))).select("array", "pos")

@@ -60,7 +60,7 @@ def line_clusters(spark, sf_dir):
     """Lines that are alike within a document: each stands with the first representative that it is close to."""
     lines = _lines(spark, sf_dir)
     large = lines.groupBy("array").agg(F.count("*").alias("n")).where(F.col("n") > adaptive.WHOLE).select("array")
-    found = adaptive.clusters(lines.join(large, "array", "left_semi"))
+    found = adaptive.clusters(lines.join(large.hint("merge"), "array", "left_semi"))
     return found.select(F.col("array").cast("long").alias("doc_id"), "pos", "representative")
 
 
@@ -99,7 +99,7 @@ def number_samples(spark, sf_dir):
     budgets = adaptive.optimal_k(values.select("array", "pos", "item"), max_k=trees.MOST_ITEMS, deflate=False)
     odd = adaptive.away(values, "x")
     turns = adaptive.changes(odd, "x").withColumn("turn", F.lit(True))
-    marked = odd.join(turns, ["array", "pos"], "left").select("array", "pos", "item", (F.col("away") | F.coalesce("turn", F.lit(False))).alias("must"), F.col("away").cast("int").alias("extra"))
+    marked = odd.join(turns.hint("merge"), ["array", "pos"], "left").select("array", "pos", "item", (F.col("away") | F.coalesce("turn", F.lit(False))).alias("must"), F.col("away").cast("int").alias("extra"))
     return adaptive.sampled(marked, budgets, distinct=False).select(F.col("array").cast("long").alias("user_id"), "pos", "why")
 
 
