@@ -40,6 +40,8 @@ from lodestream.session import put_bytes, written
 
 #: The split pattern of byte-level pre-tokenizers of this family (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same within ASCII, for texts that hold nothing else.
+ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers at most.
 MEMO = 800_000
 
@@ -88,7 +90,8 @@ class ByteBpe:
                 if len(split.pre_tokenize_str(run)) > 1:
                     odd += [ord(c) for c in run if c not in "'\n\t " and len(split.pre_tokenize_str(anchor + c + anchor)) > 1]
         moved: dict[str, list[int]] = {anchor: [] for anchor, _ in kinds}
-        for c in sorted(set(odd)):
+        self.odd = sorted(set(odd))
+        for c in self.odd:
             own = [anchor for anchor in "a1!" if len(split.pre_tokenize_str(anchor + chr(c) + anchor)) == 1]
             moved[own[0] if own else " "].append(c)
 
@@ -103,14 +106,14 @@ class ByteBpe:
 
         if not odd:
             return SPLIT
-        every = ranges(sorted(set(odd)))
+        every = ranges(self.odd)
         of = {k: f"[[{name}--[{every}]]" + (f"||[{ranges(moved[anchor])}]" if moved[anchor] else "") + "]" for anchor, k, name in (("a", "L", r"\p{L}"), ("1", "N", r"\p{N}"), (" ", "S", r"\s"))}
         other = f"[^{of['S']}{of['L']}{of['N']}]"
         not_space = f"[^{of['S']}]"
         return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{of['L']}+| ?{of['N']}+| ?{other}+|{of['S']}+(?!{not_space})|{of['S']}+"
 
     def __getstate__(self) -> dict:
-        return {"json": self.json, "pattern": self.pattern}
+        return {"json": self.json, "pattern": self.pattern, "odd": self.odd}
 
     def open(self) -> ByteBpe:
         """Build the tables for use; cheap enough for once a worker."""
@@ -132,9 +135,20 @@ class ByteBpe:
         for token, i in self.added.items():
             self.piece[i] = token.encode()
         self.added_at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.words = regex.compile(self.pattern).findall  # pieces that are merged on their own, between added tokens
+        self._split, self._plain, self._ascii = regex.compile(self.pattern).findall, regex.compile(SPLIT).findall, re.compile(ASCII_SPLIT, re.ASCII).findall
+        self._is_odd = np.zeros(0x110000, bool)
+        self._is_odd[self.odd] = True
+        self._ascii_odd = bool(self._is_odd[:128].any())
         return self
 
+    def words(self, text: str) -> list[str]:
+        """Pieces that are merged on their own, between added tokens. Only texts with a code point that is classed otherwise need the slow pattern."""
+        if text.isascii() and not self._ascii_odd:
+            return self._ascii(text)
+        if self.odd and self._is_odd[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
+            return self._split(text)
+        return self._plain(text)
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair of least rank, leftmost first, is merged until none is left."""
         ids = [self.byte_id[b] for b in word]

@@ -92,3 +92,17 @@ def test_over_odd_rows(odd, odd_rows, library):
 
 def test_empty_table(none):
     assert bpe.encode(none, PATH).count() == 0
+
+
+def test_only_texts_with_a_code_point_classed_otherwise_take_the_slow_pattern(library, tables, monkeypatch):
+    split = library.pre_tokenizer.pre_tokenize_str
+    taken = []
+    slow = tables._split
+    monkeypatch.setattr(tables, "_split", lambda text: taken.append(text) or slow(text))
+    pieces = [chr(c) for c in range(128)] + ["'re", "  ", "é", "漢", "٣"]
+    r = random.Random(3)
+    texts = [a + b + "x" for a in pieces for b in pieces] + ["".join(r.choices(pieces, k=30)) for _ in range(500)]
+    for text in texts:
+        assert tables.words(text) == [text[a:b] for _, (a, b) in split(text)], text
+    assert not taken
+    assert tables.words("a࢏ b") == [("a࢏ b")[a:b] for _, (a, b) in split("a࢏ b")] and len(taken) == 1
