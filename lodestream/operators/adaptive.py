@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,6 +33,7 @@ BASE_SHARE, DIVERSE, RATIO_GAP, GROWTH, LEAST_BYTES = 0.3, 0.7, 0.15, 1.2, 200
 #: Characters in a gram, characters hashed at once, and grams that a worker remembers at most.
 GRAM, RUN, MEMO = 4, 1 << 18, 500_000
 _GRAMS: dict[str, int] = {}
+_DIGESTS: dict[str, bytes] = {}
 #: Positions in a chunk of a running sum.
 CHUNK = 4096
 
@@ -104,6 +106,22 @@ def _run_hashes(texts: list[str], memo: dict) -> np.ndarray:
     return (np.uint64(1) << np.arange(64, dtype=np.uint64)) @ (2 * ones > counts[:, None]).T.astype(np.uint64)
 
 
+def votes_of(text: str, memo: dict | None = None) -> np.ndarray:
+    """For each of the 64 bits, the greatest first, how many more of a text's grams have it than lack it; a slice of RUN
+    characters at a time, grams that repeat within one digested once."""
+    memo, votes = _DIGESTS if memo is None else memo, np.zeros(64, np.int64)
+    for start in range(0, max(1, len(text) - GRAM + 1), RUN):
+        run = text[start : start + RUN + GRAM - 1]
+        found = Counter(map("".join, zip(*(run[k:] for k in range(GRAM))))) if len(run) > GRAM else {run: 1}
+        if len(memo) > MEMO:
+            memo.clear()
+        raw = b"".join([memo.get(g) or memo.setdefault(g, hashlib.md5(g.encode()).digest()[:8]) for g in found])
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+        counts = np.fromiter(found.values(), np.int64, len(found))
+        votes += 2 * (counts.astype(np.float64) @ bits).astype(np.int64) - counts.sum()
+    return votes
+
+
 def item_hashes(items: Column) -> Column:
     """The hash of each text as a signed long; row by row, with a memo of grams for each batch."""
 
@@ -115,10 +133,15 @@ def item_hashes(items: Column) -> Column:
 
 
 def close_pairs(nodes: DataFrame, most: int = ALIKE) -> DataFrame:
-    """array, a, b: pairs of nodes (array, at, hash) with a before b whose hashes differ in `most` bits at most.
+    """array, a, b: pairs of nodes (array, at, hash) with a before b whose hashes differ in `most` bits at most."""
+    return close_hashes(nodes, ["array"], most).select("array", "a", "b").distinct()
+
+
+def close_hashes(nodes: DataFrame, by: list[str], most: int = ALIKE) -> DataFrame:
+    """by, a, b, distance: pairs of nodes (by, at, hash) with a before b whose hashes differ in `most` bits at most.
 
     Bits are cut into most + 3 blocks, of which three must agree: pairs meet by the value of three blocks, so that a key
-    says about half of the bits and few pairs meet in vain.
+    says about half of the bits and few pairs meet in vain. A pair comes once for each three blocks that agree.
     """
     n = most + 3
     ends = [64 * k // n for k in range(n + 1)]
@@ -129,10 +152,11 @@ def close_pairs(nodes: DataFrame, most: int = ALIKE) -> DataFrame:
         for k in three:
             key = F.shiftleft(key, ends[k + 1] - ends[k]).bitwiseOR(block[k])
         keys.append(key)
-    keyed = nodes.select("array", "at", "hash", F.posexplode(F.array(*keys)).alias("which", "key"))
-    x, y = keyed.toDF("array", "a", "ah", "which", "key"), keyed.toDF("array", "b", "bh", "which", "key")
-    near = F.bit_count(F.col("ah").bitwiseXOR(F.col("bh"))) <= most
-    return x.join(y.hint("merge"), ["array", "which", "key"]).where((F.col("a") < F.col("b")) & near).select("array", "a", "b").distinct()
+    keyed = nodes.select(*by, "at", "hash", F.posexplode(F.array(*keys)).alias("which", "key"))
+    x, y = keyed.toDF(*by, "a", "ah", "which", "key"), keyed.toDF(*by, "b", "bh", "which", "key")
+    distance = F.bit_count(F.col("ah").bitwiseXOR(F.col("bh")))
+    met = x.join(y.hint("merge"), [*by, "which", "key"]).where((F.col("a") < F.col("b")) & (distance <= most))
+    return met.select(*by, "a", "b", distance.alias("distance"))
 
 
 def first_representatives(pairs: DataFrame) -> DataFrame:
