@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestream.functions import text as T
 from lodestream.operators.similarity import runs
+from lodestream.session import small_batches
 
 
 def field_statistics(rows: DataFrame, group: str, value: str, digits: int = 4) -> DataFrame:
@@ -105,3 +110,24 @@ def information_score(rows: DataFrame, group: str, fields: list[str]) -> DataFra
     """rows with rarity: the mean over fields of 1 - the share of the row's value within its group."""
     parts = [1 - F.count(F.lit(1)).over(W.partitionBy(group, f)) / F.count(F.lit(1)).over(W.partitionBy(group)) for f in fields]
     return rows.withColumn("rarity", F.round(reduce(Column.__add__, parts) / len(fields), 6))
+
+
+def importance_counts(rows: DataFrame, text_col: str) -> DataFrame:
+    """kind, n: how many lines of all texts are of each kind by `functions.text.importance`, `none` for the others.
+
+    Lines are told by patterns over whole columns; a task hands on four numbers for each batch.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = pc.list_flatten(pc.split_pattern(batch.column("text"), "\n"))
+            found = {}
+            for kind, listed in T.IMPORTANCE.items():
+                told = pc.match_substring_regex(rest, rf"(^|[^a-z0-9_])({'|'.join(listed)})([^a-z0-9_]|$)")
+                rest, before = rest.filter(pc.invert(told)), len(rest)
+                found[kind] = before - len(rest)
+            found["none"] = len(rest)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+
+    small_batches(rows.sparkSession)
+    parts = rows.where(F.col(text_col).isNotNull()).select(F.lower(text_col).alias("text")).mapInArrow(count, "kind string, n long")
+    return parts.where("n > 0").groupBy("kind").agg(F.sum("n").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
-from lodestream.operators import compressors, graphs, ranking, similarity
+from lodestream.operators import compressors, graphs, profile, ranking, similarity
 from lodestream.plans.registry import query, table
 
 _SPACE = r"[ \t\n\x0B\f\r]+"
@@ -160,8 +160,7 @@ def error_indicators(spark, sf_dir):
 
 @query("WITH l AS (SELECT unnest(string_split(lower(text), chr(10))) AS line FROM documents), k AS (SELECT CASE " + " ".join(f"WHEN regexp_matches(line, '(^|[^a-z0-9_])({'|'.join(ws)})([^a-z0-9_]|$)') THEN '{k}'" for k, ws in T.IMPORTANCE.items()) + " ELSE 'none' END AS kind FROM l) SELECT kind, count(*) AS n FROM k GROUP BY kind")
 def line_importance(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "\n")).alias("line"))
-    return lines.groupBy(F.coalesce(T.importance(F.col("line")), F.lit("none")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return profile.importance_counts(table(spark, sf_dir, "documents"), "text")
 
 
 _TOTAL = "coalesce(list_sum(list_transform(regexp_extract_all(html, '{0}'), lambda x: length(x))), 0)::BIGINT"
