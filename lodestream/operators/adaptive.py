@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestream.operators.selection import k_split
-from lodestream.session import discard, written
+from lodestream.session import discard, small_batches, written
 
 #: Arrays up to this length stay whole; alike is up to this many differing bits; the bend's least height.
 WHOLE, ALIKE, LEAST_GAIN = 8, 3, 0.05
@@ -34,6 +34,8 @@ BASE_SHARE, DIVERSE, RATIO_GAP, GROWTH, LEAST_BYTES = 0.3, 0.7, 0.15, 1.2, 200
 GRAM, RUN, MEMO = 4, 1 << 18, 500_000
 _GRAMS: dict[str, int] = {}
 _DIGESTS: dict[str, bytes] = {}
+#: Most nodes of an array that are compared all with all.
+FEW = 256
 #: Positions in a chunk of a running sum.
 CHUNK = 4096
 
@@ -133,8 +135,29 @@ def item_hashes(items: Column) -> Column:
 
 
 def close_pairs(nodes: DataFrame, most: int = ALIKE) -> DataFrame:
-    """array, a, b: pairs of nodes (array, at, hash) with a before b whose hashes differ in `most` bits at most."""
-    return close_hashes(nodes, ["array"], most).select("array", "a", "b").distinct()
+    """array, a, b: pairs of nodes (array, at, hash) with a before b whose hashes differ in `most` bits at most.
+
+    Arrays of up to FEW nodes are compared within a row, all nodes with all; those of larger ones meet by blocks of bits.
+    """
+    @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
+    def compared(lists: pa.Array) -> pa.Array:
+        ends, found = [0], [np.zeros((2, 0), np.int64)]
+        for held in lists:
+            at, bits = (held.values.field(k).to_numpy() for k in ("at", "hash"))
+            bits = bits.view(np.uint64)
+            x, y = np.nonzero((np.bitwise_count(bits[:, None] ^ bits) <= most) & (at[:, None] < at))
+            found.append(np.stack([at[x], at[y]]))
+            ends.append(ends[-1] + len(x))
+        a, b = np.concatenate(found, axis=1)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]))
+
+    small_batches(nodes.sparkSession)
+    sizes = nodes.groupBy("array").agg(F.count("*").alias("n"))
+    few = nodes.join(sizes.where(F.col("n").between(2, FEW)).select("array").hint("merge"), "array", "left_semi")
+    few = few.groupBy("array").agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), F.col("hash").cast("long").alias("hash"))).alias("held"))
+    few = few.select("array", F.explode(compared("held")).alias("pair")).select("array", "pair.a", "pair.b")
+    many = nodes.join(sizes.where(F.col("n") > FEW).select("array").hint("merge"), "array", "left_semi")
+    return few.unionByName(close_hashes(many, ["array"], most).select("array", "a", "b").distinct())
 
 
 def close_hashes(nodes: DataFrame, by: list[str], most: int = ALIKE) -> DataFrame:

@@ -47,3 +47,19 @@ def test_crushed_text_shuffles_no_segments(spark):
     assert "Exchange" not in plan(out)
     got = {r.id: (r.text, r.kept, r["of"]) for r in out.collect()}
     assert got[0] == ("Four FIVE 6 seven. One two three.", 2, 3) and got[4] == ("", 0, 1) and set(got) == {0, 4}
+
+
+def test_only_large_arrays_meet_by_blocks_of_bits(spark, monkeypatch):
+    from lodestream.operators import adaptive
+
+    base = [(7919 * k * k) % (1 << 40) << 20 for k in range(150)]
+    big = [h ^ flip for h in base for flip in (0, 0b101)]
+    arrays = {"big": big, "small": [-1, -2, -8, -(1 << 63), 5, 7], "one": [3]}
+    rows = [(a, k, h) for a, hashes in arrays.items() for k, h in enumerate(hashes)]
+    taken, whole = [], adaptive.close_hashes
+    monkeypatch.setattr(adaptive, "close_hashes", lambda nodes, *rest: taken.append(nodes) or whole(nodes, *rest))
+    got = [tuple(r) for r in adaptive.close_pairs(spark.createDataFrame(rows, "array string, at long, hash long")).collect()]
+    near = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count() <= 3
+    want = {(a, i, j) for a, hs in arrays.items() for i in range(len(hs)) for j in range(i + 1, len(hs)) if near(hs[i], hs[j])}
+    assert set(got) == want and len(got) == len(want)
+    assert {r.array for r in taken[0].select("array").distinct().collect()} == {"big"}
