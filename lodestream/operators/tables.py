@@ -139,7 +139,7 @@ def cells_of(item: dict, table: str, at: int, level: int = 0) -> Iterator[dict]:
 
 
 def cells(items: DataFrame, table: str, at: str, item: str) -> DataFrame:
-    """Cells of the objects in `item` (JSON text), which are the rows of their table; other texts have none."""
+    """Cells of the objects in `item` (JSON text), which are the rows of their table; other texts have none. Each is read once."""
     schema = to_arrow_schema(StructType.fromDDL(CELL))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +148,11 @@ def cells(items: DataFrame, table: str, at: str, item: str) -> DataFrame:
             for name, place, text in zip(*(batch.column(c).to_pylist() for c in ("table", "at", "item"))):
                 value = load(text) if text is not None else None
                 if isinstance(value, dict):
-                    found += [{f: c.get(f) for f in schema.names} for c in cells_of(value, name, place)]
+                    found += cells_of(value, name, place)
             yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     slim = items.select(F.col(table).cast("string").alias("table"), F.col(at).cast("long").alias("at"), F.col(item).alias("item"))
-    return slim.mapInArrow(run, CELL)
+    return written(slim.mapInArrow(run, CELL), "cells")
 
 
 def _columns(cells: DataFrame, sizes: DataFrame) -> DataFrame:

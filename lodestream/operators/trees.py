@@ -127,7 +127,7 @@ def tree(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{f: row.get(f) for f in schema.names} for row in rows], schema=schema)
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _has_error(text: Column) -> Column:

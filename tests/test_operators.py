@@ -282,3 +282,11 @@ def test_similar_sets_of_all_sizes_are_found_through_places_and_marks(spark):
         got = {(p.a, p.b): p.jaccard for p in similarity.word_jaccard_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t", least).collect()}
         assert got == {p: s for p, s in jaccard.items() if s >= least}
         assert got
+
+
+def test_cells_are_read_from_objects_once(spark):
+    from lodestream.operators import tables
+
+    found = tables.cells(spark.createDataFrame([("t", 0, '{"a": 1}'), ("t", 1, "no object"), ("t", 2, None)], "t string, at long, item string"), "t", "at", "item")
+    assert found._written_to and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.at, r.field, r.csv) for r in found.collect()] == [(0, "a", "1")]
