@@ -207,14 +207,14 @@ def crushed_text(rows: DataFrame, id_col: str, text_col: str, ratio: float = 0.5
 
     @F.arrow_udf("struct<text:string,kept:bigint,of:bigint>")
     def choose(segments: pa.Array, scores: pa.Array) -> pa.Array:
-        return pa.array([_chosen(x.as_py() or [], s.as_py() or [], ratio, overlap) for x, s in zip(segments, scores)], kind)
+        return pa.array([_chosen(x.as_py(), s.as_py(), ratio, overlap) for x, s in zip(segments, scores)], kind)
 
     kind = pa.struct([("text", pa.string()), ("kept", pa.int64()), ("of", pa.int64())])
     small_batches(rows.sparkSession)
     numbered = F.transform(F.split(text_col, _CUTS), lambda x, k: F.struct(k.alias("at"), x.alias("segment")))
-    parts = rows.select(F.col(id_col).alias("id"), F.filter(numbered, lambda x: F.trim(x["segment"]) != "").alias("segments"))
+    parts = rows.select(F.col(id_col).alias("id"), F.filter(numbered, lambda x: F.trim(x["segment"]) != "").alias("segments")).where(F.size("segments") > 0)
     texts = F.transform("segments", lambda x: x["segment"])
-    return parts.select("id", choose(texts, F.transform("segments", scored)).alias("chosen")).select("id", "chosen.*").where(F.col("of") > 0)
+    return parts.select("id", choose(texts, F.transform("segments", scored)).alias("chosen")).select("id", "chosen.*")
 
 
 def _chosen(segments: list[str], scores: list[float], ratio: float, overlap: float) -> dict:
