@@ -70,19 +70,21 @@ def hashes_of(texts: list[str], memo: dict | None = None) -> np.ndarray:
 
 
 def _run_hashes(texts: list[str], memo: dict) -> np.ndarray:
-    """Hashes of texts longer than a gram, laid end to end; characters are numbered, 16 bits each."""
+    """Hashes of texts longer than a gram, laid end to end; a character is 16 bits, numbered where it has more."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
-    known, numbers = np.unique(codes, return_inverse=True)
-    if len(known) > 1 << 16:  # more characters than numbers: halves have fewer
-        if len(texts) == 1:
-            votes = np.zeros(64, np.int64)
-            for i in range(len(texts[0]) - GRAM + 1):
-                h = _gram_hash(texts[0][i : i + GRAM])
-                votes += np.array([1 if h >> j & 1 else -1 for j in range(64)])
-            return np.array([sum(1 << j for j in range(64) if votes[j] > 0)], np.uint64)
-        half = len(texts) // 2
-        return np.concatenate([_run_hashes(texts[:half], memo), _run_hashes(texts[half:], memo)])
-    numbers = numbers.astype(np.uint64)
+    known = None
+    if codes.max() >= 1 << 16:
+        known, codes = np.unique(codes, return_inverse=True)
+        if len(known) > 1 << 16:  # more characters than numbers: halves have fewer
+            if len(texts) == 1:
+                votes = np.zeros(64, np.int64)
+                for i in range(len(texts[0]) - GRAM + 1):
+                    h = _gram_hash(texts[0][i : i + GRAM])
+                    votes += np.array([1 if h >> j & 1 else -1 for j in range(64)])
+                return np.array([sum(1 << j for j in range(64) if votes[j] > 0)], np.uint64)
+            half = len(texts) // 2
+            return np.concatenate([_run_hashes(texts[:half], memo), _run_hashes(texts[half:], memo)])
+    numbers = codes.astype(np.uint64)
     n = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(n)
     packed = numbers[: len(numbers) - GRAM + 1].copy()
@@ -92,19 +94,27 @@ def _run_hashes(texts: list[str], memo: dict) -> np.ndarray:
     for k in range(1, GRAM):  # grams don't run from one text into the next
         inside[ends[:-1] - k] = False
     grams, at = np.unique(packed[inside], return_inverse=True)
-    letters = [chr(c) for c in known.tolist()]
-    values = np.zeros(len(grams), np.uint64)
     if len(memo) > MEMO:
         memo.clear()
-    for k, g in enumerate(grams.tolist()):
-        gram = letters[g >> 48] + letters[g >> 32 & 0xFFFF] + letters[g >> 16 & 0xFFFF] + letters[g & 0xFFFF]
-        h = memo.get(gram)
+    if known is None:
+        keys = grams.tolist()
+    else:
+        letters = [chr(c) for c in known.tolist()]
+        keys = [letters[g >> 48] + letters[g >> 32 & 0xFFFF] + letters[g >> 16 & 0xFFFF] + letters[g & 0xFFFF] for g in grams.tolist()]
+    found = list(map(memo.get, keys))
+    for k, h in enumerate(found):
         if h is None:
-            h = memo[gram] = _gram_hash(gram)
-        values[k] = h
-    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            key = keys[k]
+            gram = key if isinstance(key, str) else chr(key >> 48) + chr(key >> 32 & 0xFFFF) + chr(key >> 16 & 0xFFFF) + chr(key & 0xFFFF)
+            found[k] = memo[key] = _gram_hash(gram)
+    bits = np.unpackbits(np.array(found, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = n - GRAM + 1
-    ones = np.add.reduceat(bits[at], np.cumsum(counts) - counts, axis=0, dtype=np.int32)
+    if len(texts) * len(grams) <= RUN:  # how often each text has each gram
+        times = np.bincount(np.repeat(np.arange(len(texts)) * len(grams), counts) + at, minlength=len(texts) * len(grams))
+        kind = np.float32 if len(codes) < 1 << 24 else np.float64  # counts are exact in it
+        ones = times.reshape(len(texts), -1).astype(kind) @ bits.astype(kind)
+    else:
+        ones = np.add.reduceat(bits[at], np.cumsum(counts) - counts, axis=0, dtype=np.int32)
     return (np.uint64(1) << np.arange(64, dtype=np.uint64)) @ (2 * ones > counts[:, None]).T.astype(np.uint64)
 
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from json.encoder import encode_basestring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,6 +43,9 @@ def _refuse(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+_DECODER = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=_refuse)
+
+
 def load(text: str, containers_only: bool = False) -> object:
     """The value of a JSON text, numbers as they are written; None if it isn't JSON or nested too deeply.
 
@@ -49,14 +54,16 @@ def load(text: str, containers_only: bool = False) -> object:
     if containers_only and text.lstrip()[:1] not in ("{", "["):
         return None
     try:
-        value = json.loads(text, parse_int=Number, parse_float=Number, parse_constant=_refuse)
-        level, depth = [value], 0
+        value = _DECODER.decode(text)
+        # as deep as there are brackets at most
+        level, depth = [value] if text.count("{") + text.count("[") >= NESTING else [], 0
         while level:
             depth += 1
             level = [x for v in level for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())]
             if depth > NESTING:
                 return None
-        dump(value).encode()
+        if "\\u" in text:  # half a character, which is no text, can only be written so
+            dump(value).encode()
         return value
     except (ValueError, RecursionError):
         return None
@@ -64,12 +71,15 @@ def load(text: str, containers_only: bool = False) -> object:
 
 def dump(value: object, sort: bool = False) -> str:
     """Compact JSON with numbers as they were written."""
-    if isinstance(value, Number):
+    kind = type(value)
+    if kind is Number:
         return str(value)
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{dump(v, sort)}" for k, v in (sorted(value.items()) if sort else value.items())) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(dump(v, sort) for v in value) + "]"
+    if kind is str:
+        return encode_basestring(value)
+    if kind is dict:
+        return "{" + ",".join([f"{encode_basestring(k)}:{dump(v, sort)}" for k, v in (sorted(value.items()) if sort else value.items())]) + "}"
+    if kind is list:
+        return "[" + ",".join([dump(v, sort) for v in value]) + "]"
     return json.dumps(value, ensure_ascii=False)
 
 
@@ -100,17 +110,28 @@ def _quoted(text: str) -> str:
     return '"' + text.replace('"', '""') + '"'
 
 
+#: Characters for which a cell is quoted in a line.
+_SPECIAL = re.compile('[,"\n\r]')
+#: How Spark writes characters of a string as JSON.
+_ESCAPED = {k: f"\\u{k:04X}" for k in range(32)} | {ord(c): "\\" + e for c, e in zip('"\\\b\t\n\f\r', '"\\btnfr')}
+
+
+def as_spark(text: str) -> str:
+    """A string as JSON, in the form in which `to_json` writes it."""
+    return '"' + text.translate(_ESCAPED) + '"'
+
+
 def _scalar(value: object) -> dict:
     """Type and texts of a value that isn't looked into."""
     if value is None:
         return {"tag": "null", "empty": True, "csv": "", "json": "null"}
     if isinstance(value, Number):
-        whole = value.lstrip("-").isdigit() and -(2**63) <= int(value) < 2**64
+        whole = value.lstrip("-").isdigit() and (len(value) < 19 or -(2**63) <= int(value) < 2**64)
         return {"tag": "int" if whole else "float", "empty": False, "csv": str(value), "json": str(value)}
     if isinstance(value, bool):
         return {"tag": "bool", "empty": False, "csv": dump(value), "json": dump(value)}
     if isinstance(value, str):
-        return {"tag": "string", "empty": False, "csv": _quoted(value) if any(c in value for c in ',"\n\r') else value, "json": dump(value)}
+        return {"tag": "string", "empty": False, "csv": _quoted(value) if _SPECIAL.search(value) else value, "json": dump(value)}
     return {"tag": "json", "empty": False, "csv": _quoted(dump(value)), "json": dump(value)}
 
 
@@ -138,6 +159,56 @@ def cells_of(item: dict, table: str, at: int, level: int = 0) -> Iterator[dict]:
         yield cell
 
 
+def table_of(items: list[dict]) -> tuple[str, str]:
+    """(csv, json) of one array of objects that a task holds, as `tables` gives them."""
+    have: dict[str, list[tuple]] = {}  # the place of each value of a field, the value, and what it is read as
+    for p, item in enumerate(items):
+        for field, value in item.items():
+            inner = load(value, containers_only=True) if type(value) is str else None
+            have.setdefault(field, []).append((p, value, value if inner is None else inner))
+    head, schema, columns = [], [], []
+    for field in sorted(have, key=lambda f: (-len(have[f]), f.encode())):
+        values, missing = have[field], len(have[field]) < len(items)
+        keys = {tuple(read) if type(read) is dict else None for _, _, read in values}
+        opens = len(keys) == 1 and None not in keys and 1 <= len(next(iter(keys))) <= MOST_INNER and "." not in field
+        for key in next(iter(keys)) if opens else (None,):
+            cells = [_scalar(read[key]) for _, _, read in values] if opens else [_cell(value, read) for _, value, read in values]
+            tags = {x["tag"] for x in cells if not x["empty"]}
+            tag = "string" if not tags else tags.pop() if len(tags) == 1 else "json"
+            nullable = missing or any([x["empty"] for x in cells])
+            name = f"{field}.{key}" if opens else field
+            head.append(f"{name}:{tag}{'?' if nullable else ''}")
+            schema.append('{"name":' + as_spark(name) + f',"type":"{tag}"' + (',"nullable":true}' if nullable else "}"))
+            column: list[dict] = [_MISSING] * len(items)
+            for (p, _, _), cell in zip(values, cells):
+                column[p] = cell
+            columns.append(column)
+    rows = list(zip(*columns)) or [()] * len(items)
+    n = len(items)
+    csv = f"[{n}]{{{','.join(head)}}}\n" + "".join([",".join([x["csv"] for x in row]) + "\n" for row in rows])
+    body = ",".join(["[" + ",".join([x["json"] for x in row]) + "]" for row in rows])
+    return csv, f'{{"_compaction":"table","_schema":[{",".join(schema)}],"_kept":{n},"_total":{n},"_rows":[{body}]}}'
+
+
+#: The texts of a cell that a row lacks.
+_MISSING = {"csv": "", "json": "null"}
+
+
+def _cell(value: object, read: object) -> dict:
+    """Type and texts of a value that is read as another if it is a string that holds JSON, as in `cells_of`."""
+    if read is not value:
+        cell = _scalar(read) | {"tag": "string"}
+    else:
+        cell = _scalar(value)
+        if type(value) is str and (kind := opaque_kind(value)):
+            own = marker(value)
+            cell |= {"csv": own, "json": dump({"_ccr": own[6:18], "_size": Number(len(value.encode())), "_kind": kind})}
+    if type(read) is list and len(read) >= 2 and all(type(x) is dict for x in read):
+        nested = table_of(read)[1]
+        cell |= {"csv": _quoted(nested), "json": nested}
+    return cell
+
+
 def cells(items: DataFrame, table: str, at: str, item: str) -> DataFrame:
     """Cells of the objects in `item` (JSON text), which are the rows of their table; other texts have none. Each is read once."""
     schema = to_arrow_schema(StructType.fromDDL(CELL))

@@ -9,7 +9,8 @@
 
 What is cut off is kept under the hash in its marker (`offloaded`), and `restored` puts it back exactly.
 
-Scale: arrays and tables, wherever they are nested, are cut by joins and aggregates over their rows. A document's text is
+Scale: a document of up to WITHIN bytes is crushed by the same rule within its row (`crushing`); nothing smaller than it is shuffled. In larger
+ones arrays and tables, wherever they are nested, are cut by joins and aggregates over their rows. A document's text is
 a cell of the input and of the result, so one document is what a task must be able to hold. Levels are as many as the
 deepest live container has, fifty at most.
 """
@@ -27,43 +28,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lodestream.operators import adaptive
+from lodestream.operators.crushing import CUT, DEEPEST, ERROR_KEYWORDS, LEAST_ITEMS, LEAST_SAVED, MOST_ITEMS, OBJECT_TOKENS, SMALL_TOKENS, Crusher, array_kind, item_kind
 from lodestream.operators.tables import CELL, Number, cells_of, dump, load, marker, opaque_kind, tables
-from lodestream.session import written
-
-#: Deepest level that is opened, fewest items of an array and keys of an object that are looked at, most
-#: items that stay of an array by its k, and the least share of bytes that a table must save.
-DEEPEST, LEAST_ITEMS, MOST_ITEMS, LEAST_SAVED = 50, 5, 15, 0.15
-#: Fewest tokens of an object that loses keys, and the most tokens of a key that always stays.
-OBJECT_TOKENS, SMALL_TOKENS = 200, 12
-#: Words that mark an item as one that tells of an error.
-ERROR_KEYWORDS = ("error", "exception", "failed", "failure", "critical", "fatal", "crash", "panic", "abort", "timeout", "denied", "rejected")
-#: Arrays of one of these types are cut as a whole, by the type of their items.
-CUT = {"dict": "dicts", "str": "strings", "number": "numbers"}
-
-_SCHEMA = f"doc string, row string, path string, parent string, depth int, place long, name string, kind string, size long, text string, raw string, {CELL}"
-
-
-def item_kind(value: object) -> str:
-    """dict, str, number, bool, list or none."""
-    if isinstance(value, dict):
-        return "dict"
-    if isinstance(value, Number):
-        return "number"
-    if isinstance(value, str):
-        return "str"
-    if isinstance(value, bool):
-        return "bool"
-    return "list" if isinstance(value, list) else "none"
+from lodestream.session import small_batches, written
 
+#: Bytes of a document up to which it is crushed within its row.
+WITHIN = 1 << 18
 
-def array_kind(items: list) -> str:
-    """The type of a whole array: dicts, strings, numbers, bools, nested, mixed or empty."""
-    kinds = {item_kind(x) for x in items}
-    if not kinds:
-        return "empty"
-    if len(kinds) > 1 or kinds == {"none"}:
-        return "mixed"
-    return {**CUT, "bool": "bools", "list": "nested"}[kinds.pop()]
+_SCHEMA = f"doc string, row string, path string, parent string, depth int, place long, name string, kind string, size long, text string, raw string, {CELL}"
 
 
 def _rows_of(doc: str, value: object) -> Iterator[dict]:
@@ -224,7 +196,50 @@ def crushed(docs: DataFrame, id_col: str, text_col: str, bias: float = 1.0, loss
     Null texts count as empty; rows with a null id have no result, rows that repeat an id are one document: give each
     an id of its own.
     """
-    rows = written(tree(docs, id_col, text_col), "tree")
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("original"))
+    done = written(_within_rows(known, bias, lossless), "tree-rows")
+    out = done.where("crushed is not null").select("doc", "crushed", "changed")
+    offloaded = done.select(F.explode("cut").alias("c")).select("c.hash", "c.content").distinct()
+    large = done.where("crushed is null").select("doc", "original")
+    if large.isEmpty():
+        return out, offloaded
+    more, more_offloaded = _by_levels(large, bias, lossless)
+    return out.unionByName(more), offloaded.unionByName(more_offloaded).distinct()
+
+
+def _within_rows(known: DataFrame, bias: float, lossless: bool) -> DataFrame:
+    """doc, crushed, changed, cut (hash, content) of documents of up to WITHIN bytes; of larger ones doc and original alone."""
+    ddl = "doc string, original string, crushed string, changed boolean, cut array<struct<hash:string,content:string>>"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crusher = Crusher(bias, lossless)
+        held: list[dict] = []
+        size = 0
+        for batch in batches:
+            for doc, original, fits in zip(*(batch.column(c) for c in ("doc", "original", "fits"))):
+                row = {"doc": doc.as_py()}
+                if fits.as_py():
+                    row["crushed"], row["changed"] = crusher.document(original.as_py())
+                    row["cut"] = [{"hash": h, "content": c} for h, c in crusher.cut]
+                else:
+                    row["original"] = original.as_py()
+                held.append(row)
+                size += len(original.as_py())
+                if size >= 1 << 22:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held, size = [], 0
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    small_batches(known.sparkSession)
+    # dealt evenly: the work is a task's own, and rows may come in few files
+    dealt = known.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.withColumn("fits", F.octet_length("original") <= WITHIN).mapInArrow(run, ddl)
+
+
+def _by_levels(known: DataFrame, bias: float, lossless: bool) -> tuple[DataFrame, DataFrame]:
+    """As `crushed`, of documents (doc, original) that may be larger than a task holds with all their items."""
+    rows = written(tree(known, "doc", "original"), "tree")
     nodes = rows.where("row = 'node'")
     items = rows.where("row = 'item'").withColumn("array", _array_name())
     cells = rows.where("row = 'cell'").withColumn("table", F.concat("doc", F.lit("\x01"), F.col("table")))
@@ -260,7 +275,6 @@ def crushed(docs: DataFrame, id_col: str, text_col: str, bias: float = 1.0, loss
         children = above.unionByName(ready.where(F.col("depth") == depth + 1))
         above = written(_assembled(containers.where(F.col("depth") == depth), children), f"tree-level-{depth}")
     roots = above.unionByName(ready.where("depth = 0")).select("doc", F.col("text").alias("crushed"), "changed")
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("original"))
     out = known.join(roots, "doc", "left").select("doc", F.coalesce("crushed", "original").alias("crushed"), F.coalesce("changed", F.lit(False)).alias("changed"))
     strings = nodes.where("kind = 'string' and raw is not null").select(F.substring(F.sha2(F.col("raw").cast("binary"), 256), 1, 12).alias("hash"), quoted(F.col("raw")).alias("content"))
     offloaded = cut.where("stored").select("hash", "content").unionByName(strings).distinct()

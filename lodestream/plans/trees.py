@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import adaptive, compressors, nested, tables, trees
 from lodestream.plans.registry import query, table
+from lodestream.session import written
 
 _WORDS = "|".join(["error", "exception", "failed", "failure", "critical", "fatal", "crash", "panic", "abort", "timeout", "denied", "rejected"])
 _BITS = ", ".join(f"sum((h >> {k}) & 1) AS s{k}" for k in range(64))
@@ -145,6 +146,7 @@ def conversation_documents(spark, sf_dir):
 
 
 def _crushed(docs):
+    docs = written(docs, "documents")
     out, _ = trees.crushed(docs, "id", "text")
     sizes = docs.select(F.col("id").cast("string").alias("doc"), F.octet_length("text").alias("bytes_in"))
     bytes_out, digest = F.octet_length("crushed").alias("bytes_out"), F.md5(F.col("crushed").cast("binary")).alias("crushed_md5")

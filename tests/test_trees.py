@@ -274,3 +274,22 @@ def test_queries_equal_the_recursive_rule(spark, small, name):
         new, changed = brute(load(t))
         text = dump(new)
         assert got[k] == (changed, len(t.encode()), len(text.encode()), hashlib.md5(text.encode()).hexdigest()), k
+
+
+@pytest.mark.parametrize("lossless", [True, False])
+def test_documents_within_rows_equal_those_by_levels(spark, texts, lossless, monkeypatch):
+    """Parts of small documents meet no shuffle, and both ways give the same texts and keep the same contents."""
+    from lodestream.session import ship_package
+
+    ship_package(spark)
+    odd = {"controls": json.dumps([{"a": "\x01\x1f\x7f \"\\/", "b\x0b": f"v{k}"} for k in range(30)]), "half": '{"a": "\\ud800"}', "keys": '{"\\u001f\\t": [' + ",".join(f'"x{k}"' for k in range(20)) + "]}"}
+    df = spark.createDataFrame(list((texts | odd).items()), "id string, text string").repartition(3)
+    got = []
+    for limit in (trees.WITHIN, 0 if lossless else 200):
+        monkeypatch.setattr(trees, "WITHIN", limit)
+        out, offloaded = trees.crushed(df, "id", "text", lossless=lossless)
+        if not got:
+            assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        got.append(({r.doc: (r.crushed, r.changed) for r in out.collect()}, {tuple(r) for r in offloaded.collect()}))
+    assert got[0] == got[1]
+    assert set(got[0][0]) == set(texts | odd)
